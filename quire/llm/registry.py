@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .packing import op5_pack
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {"op1_decontaminate": op1_decontaminate, "op5_pack": op5_pack}
 
 
 def oracle_sql() -> dict[str, str]:
