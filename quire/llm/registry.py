@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .packing import op5_pack
+from .simhash import op6_simhash
+from .warc import op10_warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op5_pack": op5_pack}
+    return {"op1_decontaminate": op1_decontaminate, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
