@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .knn import OP2_SQL, op2_knn
 from .packing import op5_pack
 from .simhash import op6_simhash
 from .warc import op10_warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
+    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_knn": OP2_SQL}
