@@ -6,12 +6,13 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .knn import OP2_SQL, op2_knn
 from .packing import op5_pack
 from .simhash import op6_simhash
+from .substrings import OP3_SQL, op3_substrings
 from .warc import op10_warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
+    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_knn": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_knn": OP2_SQL, "op3_substrings": OP3_SQL}
