@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .html_text import op7_html
 from .knn import OP2_SQL, op2_knn
 from .packing import op5_pack
 from .simhash import op6_simhash
@@ -11,7 +12,7 @@ from .warc import op10_warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
+    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
