@@ -160,30 +160,45 @@ def passes(row: dict, tests: list[tuple]) -> bool:
     return True
 
 
+class _Members:
+    """The gzip members of a file, inflated piece by piece from `at` on."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        self.f, self.at, self.buffer = f, at, b""
+
+    def begin(self) -> None:
+        self.z = zlib.decompressobj(31)
+        self.rest = self.buffer
+
+    def pull(self, most: int) -> bytes:
+        """Up to `most` bytes more of the member; none at its end."""
+        while not self.z.eof:
+            out = self.z.decompress(self.rest, most)
+            self.rest = self.z.unconsumed_tail
+            if out:
+                return out
+            if not self.rest and not self.z.eof:
+                self.at += len(self.buffer)
+                self.buffer = self.rest = self.f.read(1 << 20)
+                if not self.buffer:
+                    raise EOFError("the archive ends within a record")
+        return b""
+
+    def end(self) -> None:
+        left = self.z.unused_data
+        self.at += len(self.buffer) - len(left)
+        self.buffer = left
+
+
 def scan(f, start: int, stop: int | None, tests: list[tuple], payloads: bool) -> Iterator[dict]:
     """Records whose gzip members begin in [start, stop): headers first, payloads of those that pass alone."""
-    f.seek(start)
-    at, buffer, whole = start, b"", False
-    size = f.size()
-
-    def more() -> bool:
-        nonlocal buffer, whole
-        got = f.read(1 << 20)
-        buffer += got
-        whole = not got
-        return bool(got)
-
-    while at < (size if stop is None else stop):
-        if not buffer and not more():
-            return
-        inflate, text = zlib.decompressobj(31), b""
-        while b"\r\n\r\n" not in text:
-            text += inflate.decompress(inflate.unconsumed_tail or buffer, 4096)
-            if not inflate.unconsumed_tail and not inflate.eof:
-                at += len(buffer)
-                buffer = b""
-                if not more():
-                    return
+    members, stop = _Members(f, start), f.size() if stop is None else stop
+    while members.at < stop:
+        members.begin()
+        text = b""
+        while b"\r\n\r\n" not in text and (more := members.pull(4096)):
+            text += more
         head, _, body = text.partition(b"\r\n\r\n")
         said = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]))
         row: dict = {c: said.get(h) for c, h in HEADERS.items()} | {c: int(said[h]) if h in said else None for c, h in NUMBERS.items()}
@@ -191,30 +206,17 @@ def scan(f, start: int, stop: int | None, tests: list[tuple], payloads: bool) ->
             row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
         wanted = passes(row, tests)
         keep = wanted and payloads and row["record_type"] != "revisit"
-        parts = [body] if keep else []
-        rest = inflate.unconsumed_tail
-        while not inflate.eof:
-            if rest:
-                got = inflate.decompress(rest, 1 << 20)
-                rest = inflate.unconsumed_tail
-            else:
-                at += len(buffer)
-                buffer = b""
-                if not more():
-                    return
-                got = inflate.decompress(buffer, 1 << 20)
-                rest = inflate.unconsumed_tail
+        parts = [body]
+        while more := members.pull(1 << 20):
             if keep:
-                parts.append(got)
-        left = inflate.unused_data
-        at += len(buffer) - len(left)
-        buffer = left
+                parts.append(more)
+        members.end()
+        if keep:
+            block = b"".join(parts)[: row["content_length"]]
+            row["payload"] = block.partition(b"\r\n\r\n")[2] if said.get("content-type", "").startswith("application/http") else block
+            if row["payload_digest"] and digest(row["payload"]) != row["payload_digest"]:
+                raise ValueError(f"payload of {row['record_id']} does not have the digest its header states")
         if wanted:
-            if keep:
-                block = b"".join(parts)[: row["content_length"]]
-                row["payload"] = block.partition(b"\r\n\r\n")[2] if said.get("content-type", "").startswith("application/http") else block
-                if row["payload_digest"] and digest(row["payload"]) != row["payload_digest"]:
-                    raise ValueError(f"payload of {row['record_id']} does not have the digest its header states")
             yield row
 
 
