@@ -24,7 +24,7 @@ from .common import pick, stored
 #: Bound on the labelled rows that models are fitted on, the least by hash of doc_id.
 MOST_LABELLED = 20_000
 #: Bound on the features chosen for each category.
-FEATURES = 1024
+FEATURES = 512
 FOLDS = 4
 SPACE = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -131,7 +131,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     sample = stored(sample.mapInArrow(numbered, f"doc_id bigint, features array<bigint>, {', '.join(f'{c} int' for c in categories)}"), "labelled")
     sizes = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories]).first()
     n = sizes["n"]
-    counts = sample.select(F.explode("features").alias("f"), *categories).groupBy("f").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in categories]).where("df >= 5")
+    counts = sample.select(F.explode("features").alias("f"), *categories).groupBy("f").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in categories]).where("df >= 3")
     chosen: set[int] = set()
     for c in categories:
         gap = F.col(c) * float(n) - F.col("df") * float(sizes[c])
