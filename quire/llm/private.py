@@ -65,14 +65,16 @@ def _tester(kind: str):
 
 def _spans(found: Column, gaps: Column) -> Column:
     """Start, stop and value of the matches of a text, from them and the gaps between them."""
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast(_SPAN).alias("out"))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
 
-    def step(a: Column, m: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps, a["i"]))
-        stop = start + F.length(m)
-        return F.struct(stop.cast("bigint").alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), m.alias("value")))).alias("out"))
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + F.length(p["g"])
+        stop = start + F.length(p["m"])
+        span = F.struct(start.alias("start"), stop.alias("stop"), p["m"].alias("value"))
+        return F.when(p["m"].isNull(), a).otherwise(F.struct(stop.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(found, none, step, lambda a: a["out"])
+    return F.aggregate(pairs, none, step, lambda a: a["out"])
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
