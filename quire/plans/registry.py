@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import entities
+
+MODULES = (entities,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.ORACLES.items()}
