@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entities
+from . import classify, entities
 
-MODULES = (entities,)
+MODULES = (entities, classify)
 
 
 def queries() -> dict:
