@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classify, entities
+from . import classify, corpus, entities, records
 
-MODULES = (entities, classify)
+MODULES = (entities, classify, corpus, records)
 
 
 def queries() -> dict:
