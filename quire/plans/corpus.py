@@ -27,6 +27,9 @@ _WORD, _PLAIN, _RX = S.query_pattern("the", whole_word=True), S.query_pattern("i
 _COUNT = f"SELECT doc_id, page, len(regexp_extract_all(text, {rx(_WORD)})) AS n FROM ({views.DOC_PAGES})"
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _left(s, d):
     return C.lines_of_documents(load(s, d, "documents"))
 
@@ -35,7 +38,7 @@ def _right(s, d):
     lines = _left(s, d)
     last = lines.groupBy("pair_id").agg(F.max("line_no").alias("last"))
     rows = lines.join(last, "pair_id").where("line_no < last")
-    return rows.select("pair_id", "page", "line_no", F.when(F.col("line_no") % 7 == 6, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    return rows.select("pair_id", "page", "line_no", F.when(F.col("line_no") % 7 == 6, F.translate("text", _SMALL, _SMALL.upper())).otherwise(F.col("text")).alias("text"))
 
 
 def _diff(s, d):
@@ -43,7 +46,7 @@ def _diff(s, d):
 
 
 _L = "SELECT doc_id AS pair_id, CAST(floor(n / 40) + 1 AS INTEGER) AS page, CAST(n AS INTEGER) AS line_no, l[n + 1] AS text FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
-_DIFF = f"""WITH a AS ({_L}), b AS (SELECT pair_id, page, line_no, CASE WHEN line_no % 7 = 6 THEN upper(text) ELSE text END AS text FROM (SELECT *, max(line_no) OVER (PARTITION BY pair_id) AS last FROM a) WHERE line_no < last)
+_DIFF = f"""WITH a AS ({_L}), b AS (SELECT pair_id, page, line_no, CASE WHEN line_no % 7 = 6 THEN translate(text, '{_SMALL}', '{_SMALL.upper()}') ELSE text END AS text FROM (SELECT *, max(line_no) OVER (PARTITION BY pair_id) AS last FROM a) WHERE line_no < last)
 SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.line_no, b.line_no) AS line_no, coalesce(a.page, b.page) AS page, CASE WHEN a.pair_id IS NULL THEN 'added' WHEN b.pair_id IS NULL THEN 'removed' WHEN a.text = b.text THEN 'unchanged' ELSE 'modified' END AS change, a.text AS before, b.text AS after
 FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.line_no = b.line_no"""
 _KINDS = ", ".join(f"count(*) FILTER (change = '{k}') AS {k}" for k in ("unchanged", "modified", "added", "removed"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classify, corpus, entities, records
+from . import classify, corpus, entities, pages, records
 
-MODULES = (entities, classify, corpus, records)
+MODULES = (entities, classify, corpus, records, pages)
 
 
 def queries() -> dict:
