@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.spans import BOUND, find_all, group
+from quire.functions.spans import BOUND, CLOSE, OPEN, find_all, group
 
 # Word lists, codes and patterns of the entity kinds.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -20,41 +20,41 @@ _MONTH = "January|February|March|April|May|June|July|August|September|October|No
 _ABBREVIATED = r"Jan\.?|Feb\.?|Mar\.?|Apr\.?|May|Jun\.?|Jul\.?|Aug\.?|Sep\.?|Sept\.?|Oct\.?|Nov\.?|Dec\.?"
 DATES = (
     # pattern, format, confidence, groups of year, month, day
-    (rf"{BOUND}(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){BOUND}", "ISO", 95, (1, 2, 3)),
-    (rf"(?i){BOUND}({_MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){BOUND}", "LONG", 90, (3, 1, 2)),
-    (rf"(?i){BOUND}({_ABBREVIATED})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){BOUND}", "SHORT", 85, (3, 1, 2)),
-    (rf"(?i){BOUND}(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH})\s+(\d{{4}}){BOUND}", "LONG", 88, (3, 2, 1)),
-    (rf"{BOUND}(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{2,4}}){BOUND}", "US", 70, (3, 1, 2)),
-    (rf"{BOUND}(\d{{1,2}})\.(\d{{1,2}})\.(\d{{2,4}}){BOUND}", "EU", 70, (3, 2, 1)),
+    (rf"{OPEN}(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){CLOSE}", "ISO", 95, (1, 2, 3)),
+    (rf"(?i){OPEN}({_MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){CLOSE}", "LONG", 90, (3, 1, 2)),
+    (rf"(?i){OPEN}({_ABBREVIATED})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){CLOSE}", "SHORT", 85, (3, 1, 2)),
+    (rf"(?i){OPEN}(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH})\s+(\d{{4}}){CLOSE}", "LONG", 88, (3, 2, 1)),
+    (rf"{OPEN}(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{2,4}}){CLOSE}", "US", 70, (3, 1, 2)),
+    (rf"{OPEN}(\d{{1,2}})\.(\d{{1,2}})\.(\d{{2,4}}){CLOSE}", "EU", 70, (3, 2, 1)),
 )
 AMOUNT = r"(?iu)(?:([$€£¥₹]|USD|US\$|EUR|GBP|JPY|INR|Rs\.?|CAD|C\$|AUD|A\$|CHF|CNY|元)\s?)?(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)(?:\s?(USD|EUR|GBP|JPY|INR|CAD|AUD|CHF|CNY))?"
 CURRENCIES = {"$": "USD", "USD": "USD", "US$": "USD", "€": "EUR", "EUR": "EUR", "£": "GBP", "GBP": "GBP", "¥": "JPY", "JPY": "JPY", "₹": "INR", "INR": "INR", "Rs": "INR", "CAD": "CAD", "C$": "CAD", "AUD": "AUD", "A$": "AUD", "CHF": "CHF", "CNY": "CNY", "元": "CNY"}
 _SUFFIXES = "Jr|Sr|II|III|IV|PhD|MD|Esq|CPA|DDS|DO"
-TITLED = rf"{BOUND}(Mr|Mrs|Ms|Miss|Dr|Prof|Rev|Sir|Dame|Lord|Lady)\.?\s+([A-Z][a-z]+)(?:\s+([A-Z][a-z]+))?(?:\s+({_SUFFIXES})\.?)?{BOUND}"
-NAMED = rf"{BOUND}([A-Z][a-z]{{1,15}})\s+([A-Z][a-z]{{1,15}})(?:\s+([A-Z][a-z]{{1,15}}))?{BOUND}"
+TITLED = rf"{OPEN}(Mr|Mrs|Ms|Miss|Dr|Prof|Rev|Sir|Dame|Lord|Lady)\.?\s+([A-Z][a-z]+)(?:\s+([A-Z][a-z]+))?(?:\s+({_SUFFIXES})\.?)?{BOUND}"
+NAMED = rf"{OPEN}([A-Z][a-z]{{1,15}})\s+([A-Z][a-z]{{1,15}})(?:\s+([A-Z][a-z]{{1,15}}))?{CLOSE}"
 NO_NAMES = ("The", "This", "That", "These", "Those", "What", "When", "Where", "Which", "Who", "How", "New", "For", "With", "From", "About")
-EMAIL = rf"{BOUND}([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}){BOUND}"
+EMAIL = rf"{BOUND}([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}){CLOSE}"
 PHONES = (
-    (rf"\+(\d{{1,3}})[-.\s]?(\d{{2,4}})[-.\s]?(\d{{3,4}})[-.\s]?(\d{{3,4}}){BOUND}", "INTERNATIONAL", 90),
-    (rf"\((\d{{3}})\)\s*(\d{{3}})[-.]?(\d{{4}}){BOUND}", "US", 90),
-    (rf"{BOUND}(\d{{3}})-(\d{{3}})-(\d{{4}}){BOUND}", "DASHED", 75),
-    (rf"{BOUND}(\d{{3}})\.(\d{{3}})\.(\d{{4}}){BOUND}", "DOTTED", 75),
-    (rf"{BOUND}(\d{{3}})\s(\d{{3}})\s(\d{{4}}){BOUND}", "UNKNOWN", 75),
+    (rf"\+(\d{{1,3}})[-.\s]?(\d{{2,4}})[-.\s]?(\d{{3,4}})[-.\s]?(\d{{3,4}}){CLOSE}", "INTERNATIONAL", 90),
+    (rf"\((\d{{3}})\)\s*(\d{{3}})[-.]?(\d{{4}}){CLOSE}", "US", 90),
+    (rf"{OPEN}(\d{{3}})-(\d{{3}})-(\d{{4}}){CLOSE}", "DASHED", 75),
+    (rf"{OPEN}(\d{{3}})\.(\d{{3}})\.(\d{{4}}){CLOSE}", "DOTTED", 75),
+    (rf"{OPEN}(\d{{3}})\s(\d{{3}})\s(\d{{4}}){CLOSE}", "UNKNOWN", 75),
 )
 _STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC"
 STREET = rf"(?i)(\d+\s+[A-Za-z0-9\s,.-]+(?:St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Dr(?:ive)?|Rd|Road|Ln|Lane|Way|Ct|Court|Pl|Place|Cir|Circle)\.?)\s*,?\s*([A-Za-z\s]+),?\s*({_STATES})\s*(\d{{5}}(?:-\d{{4}})?)"
-TOWN = rf"(?i){BOUND}([A-Za-z][A-Za-z\s]{{2,25}}),?\s*({_STATES})\s+(\d{{5}}(?:-\d{{4}})?){BOUND}"
+TOWN = rf"(?i){OPEN}([A-Za-z][A-Za-z\s]{{2,25}}),?\s*({_STATES})\s+(\d{{5}}(?:-\d{{4}})?){CLOSE}"
 URL = BOUND + r"(?i)((?:https?|ftp)://)?(?:www\.)?([a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,})+)(/[^\s<>\"{}|\\^`\[\]]*)?"
 TLD = r"(?i)\.(com|org|net|edu|gov|io|co|me|info|biz|us|uk|ca|de|fr|app|dev|ai|tech|xyz|online)\z"
 IDS = (
-    (rf"{BOUND}(\d{{3}})[-\s](\d{{2}})[-\s](\d{{4}}){BOUND}", "SSN"),
-    (rf"{BOUND}(\d{{2}})-(\d{{7}}){BOUND}", "EIN"),
-    (rf"(?i){BOUND}(?:Invoice|INV|Inv)[#:\s-]*([A-Z0-9]+-?\d+|\d{{4,}}){BOUND}", "INVOICE"),
-    (rf"(?i){BOUND}(?:Order|ORD|PO)[#:\s-]*([A-Z0-9]+-?\d+|\d{{4,}}){BOUND}", "ORDER"),
-    (rf"(?i){BOUND}(?:Account|Acct|A/C)[#:\s-]*([A-Z0-9-]{{6,}}){BOUND}", "ACCOUNT"),
-    (rf"(?i){BOUND}(?:Reference|Ref|REF)[#:\s-]*([A-Z0-9-]{{5,}}){BOUND}", "REFERENCE"),
-    (rf"(?i){BOUND}(?:Tracking|Track)[#:\s-]*(\d{{10,}}|[A-Z]{{2}}\d{{9}}[A-Z]{{2}}|1Z[A-Z0-9]{{16}}){BOUND}", "TRACKING"),
-    (rf"(?i){BOUND}(?:ID|License|Lic|Passport)[#:\s-]*([A-Z0-9-]{{5,}}){BOUND}", "REFERENCE"),
+    (rf"{OPEN}(\d{{3}})[-\s](\d{{2}})[-\s](\d{{4}}){CLOSE}", "SSN"),
+    (rf"{OPEN}(\d{{2}})-(\d{{7}}){CLOSE}", "EIN"),
+    (rf"(?i){OPEN}(?:Invoice|INV|Inv)[#:\s-]*([A-Z0-9]+-?\d+|\d{{4,}}){CLOSE}", "INVOICE"),
+    (rf"(?i){OPEN}(?:Order|ORD|PO)[#:\s-]*([A-Z0-9]+-?\d+|\d{{4,}}){CLOSE}", "ORDER"),
+    (rf"(?i){OPEN}(?:Account|Acct|A/C)[#:\s-]*([A-Z0-9-]{{6,}}){BOUND}", "ACCOUNT"),
+    (rf"(?i){OPEN}(?:Reference|Ref|REF)[#:\s-]*([A-Z0-9-]{{5,}}){BOUND}", "REFERENCE"),
+    (rf"(?i){OPEN}(?:Tracking|Track)[#:\s-]*(\d{{10,}}|[A-Z]{{2}}\d{{9}}[A-Z]{{2}}|1Z[A-Z0-9]{{16}}){BOUND}", "TRACKING"),
+    (rf"(?i){OPEN}(?:ID|License|Lic|Passport)[#:\s-]*([A-Z0-9-]{{5,}}){BOUND}", "REFERENCE"),
 )
 
 

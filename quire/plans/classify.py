@@ -16,8 +16,8 @@ def _count(pattern: str, text: str = "text") -> str:
 
 
 def _keywords(columns: str = "doc_id") -> str:
-    words = ", ".join(f"({lit(c)}, {lit(k)}, {lit(k.lower())}, {rx(C.keyword_pattern(k))}, {C.weight(k)})" for c, ks in C.KEYWORDS.items() for k in ks)
-    return f"""SELECT * FROM (SELECT {columns}, category, keyword, CAST(len(regexp_extract_all(low, pattern)) AS INTEGER) AS "count", weight FROM (SELECT *, lower(text) AS low FROM ({BIZ})) JOIN (VALUES {words}) k(category, keyword, plain, pattern, weight) ON contains(low, plain)) WHERE "count" > 0"""
+    words = ", ".join(f"{{c: {lit(c)}, k: {lit(k)}, p: {lit(k.lower())}, r: {rx(C.keyword_pattern(k))}, w: {C.weight(k)}}}" for c, ks in C.KEYWORDS.items() for k in ks)
+    return f"""SELECT * FROM (SELECT {columns}, k.c AS category, k.k AS keyword, CAST(len(regexp_extract_all(low, k.r)) AS INTEGER) AS "count", k.w AS weight FROM (SELECT {columns}, low, unnest(list_filter([{words}], lambda k: contains(low, k.p))) AS k FROM (SELECT *, lower(text) AS low FROM ({BIZ})))) WHERE "count" > 0"""
 
 
 def _pairs(mark: str, regex: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.functions.spans import BOUND
+from quire.functions.spans import BOUND, CLOSE, OPEN
 
 
 def lit(s: str) -> str:
@@ -12,7 +12,10 @@ def lit(s: str) -> str:
 def rx(pattern: str) -> str:
     """A pattern of the library as an RE2 literal: its word bounds are ASCII already."""
     flag = next((f for f in ("(?iu)", "(?i)") if f in pattern), "")
-    return lit(("(?i)" if flag else "") + pattern.replace(flag, "").replace(BOUND, r"\b") if flag else pattern.replace(BOUND, r"\b"))
+    plain = pattern.replace(flag, "") if flag else pattern
+    for bound in (BOUND, OPEN, CLOSE):
+        plain = plain.replace(bound, r"\b")
+    return lit(("(?i)" if flag else "") + plain)
 
 
 def find(source: str, pattern: str, columns: str = "doc_id, page") -> str:

@@ -82,7 +82,11 @@ BIZ = f"SELECT {BIZ_SELECT} FROM orders"
 
 
 def biz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    cores = spark.sparkContext.defaultParallelism
+    # A small file is one split: the text work that follows would then use one core.
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores)
     return orders.selectExpr(*_list(BIZ_SELECT))
 
 
