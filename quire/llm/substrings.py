@@ -1,11 +1,13 @@
 """Exact removal of long repeated passages, by automata of confirmed passages.
 
 Confirming: every window of `size` words is represented by its minimizer, the least of the hashes of the
-`gram`-word runs in it; a window can only repeat where its minimizer is chosen twice. Windows with
-such a minimizer are counted by a 128-bit hash, and those seen twice are confirmed.
-Locating: documents are dealt to shards of bounded text. Confirmed windows go to the shards in which they
-stand; there, runs of them are spelled out as passages, compiled into one Aho-Corasick automaton for
-the shard, and all the shard's documents stream through it. So the automata are bounded by the shard, every
+`gram`-word runs in it; neighbouring windows with one minimizer form a span. A window can only repeat
+where its minimizer is chosen twice. Spans that occur twice as a whole are confirmed by their hash; the windows of
+other spans with a repeated minimizer are compared one by one, by a 128-bit hash, with the windows of the
+distinct spans of that minimizer.
+Locating: documents are dealt to shards of bounded text. What is confirmed goes to the shards in which it
+stands; there, runs of confirmed windows are spelled out as passages, compiled into one Aho-Corasick automaton
+for the shard, and all the shard's documents stream through it. So the automata are bounded by the shard, every
 document passes exactly one, and a passage shared by many documents is sent once to each shard.
 """
 
@@ -74,38 +76,82 @@ def _rolling(h: np.ndarray, n: int, powers: _Powers) -> np.ndarray:
 
 
 def _least_at(x: np.ndarray, n: int) -> np.ndarray:
-    """The index of the first least entry in every run of n entries."""
-    at = np.arange(len(x))
+    """The index of the least entry in every run of n entries, by their high bits; the first of equal ones."""
+    # Fixed, so that equal windows choose alike in documents of any length; longer ones are past any text here.
+    bits = np.uint64(28)
+    if len(x) >> 28:
+        raise ValueError("a document has over 2^28 words")
+    key = (x >> bits << bits) | np.arange(len(x), dtype=np.uint64)
     width = 1
     while width < n:
         step = min(width, n - width)
-        a, b = at[:-step], at[step:]
-        at = np.where(x[b] < x[a], b, a)
+        key = np.minimum(key[:-step], key[step:])
         width += step
-    return at
+    return (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 class _Windows:
+    """Spans and window hashes of word lists."""
+
     def __init__(self, size: int, gram: int):
         self.size, self.gram, self.hashes, self.powers = size, gram, _Hashes(), [_Powers(b) for b in _BASES]
 
-    def minimizers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, gram hashes, and for every window the place of its minimizer."""
+    def spans(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes; and of each span its first window, the window after its last, and (minimizer, span hash) as PAIR."""
         h = self.hashes.of(words)
         grams = _rolling(h, self.gram, self.powers[0])
-        return h, grams, _least_at(grams, self.size - self.gram + 1)
+        at = _least_at(grams, self.size - self.gram + 1)
+        first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
+        after = np.concatenate((first[1:], [len(at)]))
+        up, down = self.powers[1].get(len(h) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+        stop = after - 1 + self.size
+        whole = _mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64) * np.uint64(_BASES[0]))
+        return h, first, after, _paired(grams[at[first]], whole)
+
+    def windows(self, h: np.ndarray) -> np.ndarray:
+        """Hash pairs of all windows."""
+        return _paired(*(_rolling(h, self.size, p) for p in self.powers))
+
+
+PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), PAIR)
+    out["a"], out["b"] = a.view(np.int64), b.view(np.int64)
+    return out
+
+
+class _Known:
+    """A sorted set of pairs."""
+
+    def __init__(self, a, b):
+        self.pairs = np.empty(len(a), PAIR)
+        self.pairs["a"], self.pairs["b"] = a, b
+        self.pairs = self.pairs[np.lexsort((self.pairs["b"], self.pairs["a"]))]
+        self.a = np.ascontiguousarray(self.pairs["a"])
+
+    def where(self, asked: np.ndarray) -> np.ndarray:
+        """Indices of the asked pairs that are in the set."""
+        if not len(self.a) or not len(asked):
+            return np.empty(0, np.int64)
+        low, high = np.searchsorted(self.a, asked["a"], "left"), np.searchsorted(self.a, asked["a"], "right")
+        maybe = np.flatnonzero(high > low)
+        one = maybe[(high - low)[maybe] == 1]
+        found = [one[self.pairs["b"][low[one]] == asked["b"][one]]]
+        for i in maybe[(high - low)[maybe] > 1].tolist():
+            inside = self.pairs["b"][low[i] : high[i]]
+            k = np.searchsorted(inside, asked["b"][i])
+            if k < len(inside) and inside[k] == asked["b"][i]:
+                found.append(np.array([i]))
+        return np.sort(np.concatenate(found))
 
 
 def _split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _pairs(shard: int, high: np.ndarray, low: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-    names = ["shard", "hash", *(["hash2"] if low is not None else []), "n"]
-    arrays = [pa.array(np.full(len(high), shard, np.int64)), pa.array(high.view(np.int64)), *([pa.array(low.view(np.int64))] if low is not None else []), pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
 def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, n_words, spans, kept of every row of (doc_id, text).
 
@@ -127,84 +173,95 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard
             for text, shard in zip(batch.column(1), batch.column(2).to_pylist()):
                 w = _split(text.as_py())
                 if len(w) >= size:
-                    _, grams, at = cut.minimizers(w)
-                    found.setdefault(shard, []).append(grams[at[np.concatenate(([True], at[1:] != at[:-1]))]])
+                    found.setdefault(shard, []).append(cut.spans(w)[3])
             for shard, some in found.items():
-                yield _pairs(shard, *(lambda u: (u[0], None, u[1]))(np.unique(np.concatenate(some), return_counts=True)))
-
-    def twice(frame: DataFrame, keys: list[str]) -> DataFrame:
-        """The (shard, keys) rows of keys that were counted more than once in all."""
-        each = stored(frame.groupBy("shard", *keys).agg(F.sum("n").alias("n")), "counts")
-        total = each.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 1").select(*keys)
-        return each.join(total, keys, "left_semi").select("shard", *keys)
-
-    chosen = twice(rows.mapInArrow(choose, "shard bigint, hash bigint, n bigint"), ["hash"])
+                pairs, n = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int64)), pa.array(np.ascontiguousarray(pairs["a"])), pa.array(np.ascontiguousarray(pairs["b"])), pa.array(n)], names=["shard", "minimizer", "span", "n"])
+
+    spans = stored(rows.mapInArrow(choose, "shard bigint, minimizer bigint, span bigint, n bigint"), "spans")
+    repeated = spans.groupBy("minimizer").agg(F.sum("n").alias("total")).where("total > 1").select("minimizer")
+    spans = stored(spans.join(repeated, "minimizer").groupBy("shard", "minimizer", "span").agg(F.sum("n").alias("n")), "repeated")
+    each = spans.groupBy("minimizer", "span").agg(F.sum("n").alias("copies"), F.min("shard").alias("speaker"))
+    kinds = each.groupBy("minimizer").agg(F.count_if(F.col("copies") == 1).alias("single"), F.count(F.lit(1)).alias("different"))
+    # whole: the span itself repeats; told: its windows are compared, those of a repeated span by one shard alone.
+    told = (F.col("single") > 0) & (F.col("different") > 1) & ((F.col("copies") == 1) | (F.col("shard") == F.col("speaker")))
+    sent = spans.join(each, ["minimizer", "span"]).join(kinds, "minimizer")
+    sent = stored(sent.select("shard", F.col("minimizer").alias("a"), F.col("span").alias("b"), (F.col("copies") > 1).alias("whole"), told.alias("told")).where("whole or told"), "sent")
 
     def candidates(key, left: pa.Table, right: pa.Table) -> pa.Table:
         cut = _Windows(size, gram)
-        known = np.sort(right.column("hash").to_numpy()).view(np.int64)
-        found = []
-        for text in left.column("text"):
+        asks, seen = right.column("whole").to_numpy(), set()
+        known = _Known(right.column("a").to_numpy(), right.column("b").to_numpy())
+        singles = _Known(right.column("a").to_numpy()[~asks], right.column("b").to_numpy()[~asks])
+        found, ask = [np.empty(0, PAIR)], [np.empty(0, bool)]
+        for text in left.column("text") if right.num_rows else ():
             w = _split(text.as_py())
-            if len(w) < size or not len(known):
+            if len(w) < size:
                 continue
-            h, grams, at = cut.minimizers(w)
-            mine = grams[at].view(np.int64)
-            spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            here = np.flatnonzero(known[spot] == mine)
-            if len(here):
-                found.append(np.stack([_rolling(h, size, p)[here] for p in cut.powers], axis=1))
-        if not found:
-            return pa.Table.from_batches([_pairs(key[0].as_py(), *(np.empty(0, np.uint64),) * 2, np.empty(0))])
-        both, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.Table.from_batches([_pairs(key[0].as_py(), np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), n)])
+            h, first, after, pairs = cut.spans(w)
+            here = [i for i in known.where(pairs).tolist() if pairs[i].tobytes() not in seen]
+            if here:
+                hashes = cut.windows(h)
+                alone = set(singles.where(pairs).tolist())
+                for i in here:
+                    if (mark := pairs[i].tobytes()) not in seen:
+                        seen.add(mark)
+                        found.append(hashes[first[i] : after[i]])
+                        ask.append(np.full(after[i] - first[i], i in alone))
+        both = np.concatenate(found)
+        return pa.table({"shard": pa.array(np.full(len(both), key[0].as_py(), np.int64)), "a": pa.array(np.ascontiguousarray(both["a"])), "b": pa.array(np.ascontiguousarray(both["b"])), "asks": pa.array(np.concatenate(ask))})
 
     by_shard = rows.groupBy("shard")
-    windows = by_shard.cogroup(chosen.groupBy("shard")).applyInArrow(candidates, "shard bigint, hash bigint, hash2 bigint, n bigint")
-    confirmed = twice(windows, ["hash", "hash2"])
+    windows = by_shard.cogroup(sent.where("told").groupBy("shard")).applyInArrow(candidates, "shard bigint, a bigint, b bigint, asks boolean")
+    windows = stored(windows, "windows")
+    twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    confirmed = windows.where("asks").select("shard", "a", "b").join(twice, ["a", "b"], "left_semi")
+    # kind 0: spans that repeat as a whole; 1: spans whose windows were compared; 2: windows that repeat.
+    confirmed = sent.select("shard", "a", "b", F.when(F.col("whole"), 0).otherwise(1).alias("kind")).unionByName(confirmed.withColumn("kind", F.lit(2)))
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         cut = _Windows(size, gram)
-        pair = np.dtype([("a", np.int64), ("b", np.int64)])
-        known = np.empty(right.num_rows, pair)
-        known["a"], known["b"] = right.column("hash").to_numpy(), right.column("hash2").to_numpy()
-        known.sort()
-        texts = [_split(t.as_py()) for t in left.column("text")]
+        kind = right.column("kind").to_numpy()
+        a, b = right.column("a").to_numpy(), right.column("b").to_numpy()
+        whole, asked, single = (_Known(a[kind == k], b[kind == k]) for k in range(3))
+        # One character a byte: places in the text are places in its UTF-8 form.
+        texts = [b" ".join(_split(t.as_py())).decode("latin-1") for t in left.column("text")]
+        bounds = []
         passages = set()
-        for w in texts if len(known) else ():
-            if len(w) < size:
-                continue
-            h = cut.hashes.of(w)
-            mine = np.empty(len(w) - size + 1, pair)
-            mine["a"], mine["b"] = (_rolling(h, size, p).view(np.int64) for p in cut.powers)
-            first = np.minimum(np.searchsorted(known["a"], mine["a"]), len(known) - 1)
-            maybe = np.flatnonzero(known["a"][first] == mine["a"])
-            if not len(maybe):
+        for t in texts:
+            begins = np.concatenate(([0], np.flatnonzero(np.frombuffer(t.encode("latin-1"), np.uint8) == 32) + 1, [len(t) + 1])) if t else np.zeros(1, np.int64)
+            bounds.append(begins)
+            if len(begins) <= size or not right.num_rows:
                 continue
-            spot = np.minimum(np.searchsorted(known, mine[maybe]), len(known) - 1)
-            here = maybe[known[spot] == mine[maybe]]
+            h, first, after, pairs = cut.spans(t.encode("latin-1").split(b" "))
+            sure = np.zeros(len(h) - size + 1, bool)
+            for i in whole.where(pairs).tolist():
+                sure[first[i] : after[i]] = True
+            if len(single.a) and len(asked.where(pairs)):
+                sure[single.where(cut.windows(h))] = True
+            here = np.flatnonzero(sure)
             for run in np.split(here, np.flatnonzero(np.diff(here) > 1) + 1) if len(here) else ():
-                passages.add(b" ".join(w[run[0] : run[-1] + size]).decode())
+                passages.add(t[begins[run[0]] : begins[run[-1] + size] - 1])
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in passages:
             automaton.add_word(f" {p} ")
         if passages:
             automaton.make_automaton()
         out: tuple[list, list, list, list] = [], [], [], []
-        for doc, w in zip(left.column("doc_id").to_pylist(), texts):
-            cover = np.zeros(len(w) + 1, np.int64)
-            if passages and len(w) >= size:
-                plain = [x.decode() for x in w]
-                begins = np.concatenate(([0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(w)) + 1)))
-                hits = np.array([(stop - n + 1, stop) for stop, n in automaton.iter(f" {' '.join(plain)} ")], np.int64).reshape(-1, 2)
+        for doc, t, begins in zip(left.column("doc_id").to_pylist(), texts, bounds):
+            n = len(begins) - 1
+            cover = np.zeros(n + 1, np.int64)
+            if passages and n >= size:
+                hits = np.array([(stop - length + 1, stop) for stop, length in automaton.iter(f" {t} ")], np.int64).reshape(-1, 2)
                 np.add.at(cover, np.searchsorted(begins, hits[:, 0]), 1)
                 np.add.at(cover, np.searchsorted(begins, hits[:, 1]), -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+            gone = np.concatenate(([0], np.cumsum(cover)[:-1] > 0, [0])).astype(np.int8)
+            edges = np.flatnonzero(np.diff(gone)).tolist()
+            kept = zip([0, *edges[1::2]], [*edges[0::2], n])
             out[0].append(doc)
-            out[1].append(len(w))
-            out[2].append([{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()])
-            out[3].append(b" ".join([x for x, g in zip(w, gone.tolist()) if not g]).decode())
+            out[1].append(n)
+            out[2].append([{"start": x, "stop": y} for x, y in zip(edges[0::2], edges[1::2])])
+            out[3].append(" ".join(t[begins[x] : begins[y] - 1] for x, y in kept if x < y).encode("latin-1").decode())
         kinds = pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()
         return pa.table([pa.array(a, t) for a, t in zip(out, kinds)], names=["doc_id", "n_words", "spans", "kept"])
 
