@@ -174,7 +174,7 @@ class _Places(dict):
 
 
 def scores(text: Column, chain: Chain) -> Column:
-    """The categories' probabilities of a text, as an array in the chain's order; of null as of empty texts."""
+    """The categories' probabilities of a text, as an array in the chain's order; 0 for null, empty and blank texts."""
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -191,7 +191,9 @@ def scores(text: Column, chain: Chain) -> Column:
                         found.update(places[w])
                     found.update(chain.chosen[f] for f in _of_shape(t, words) if f in chain.chosen)
                 rows.append(np.array(sorted(found), np.int64))
-            yield pd.Series(list(_sigmoid(chain.log_odds(rows))))
+            p = _sigmoid(chain.log_odds(rows))
+            p[[not t or t.isspace() for t in batch]] = 0
+            yield pd.Series(list(p))
 
     return score(text)
 
