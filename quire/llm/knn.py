@@ -77,8 +77,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     """query_id, rank, vec_id, score: for each query row of (vec_id, v) its k largest inner products.
 
     is_query: a condition on vec_id. Candidates are all rows but those of the query's own vec_id;
-    ties go to the smaller vec_id. Repeated vec_ids are one candidate, with their least vector, and
-    queries of one id are answered together. Vectors of unequal length count as padded by zeros.
+    ties go to the smaller vec_id. Repeated vec_ids are reduced to one candidate, with their least vector, before
+    anything is counted, so that k + 1 distances are always those of k other candidates; queries of one
+    id are answered together. Vectors of unequal length count as padded by zeros.
     Squared norms must be below 2^63. Pivots: a bounded sample of the rows, by hash. Empty tables give
     no rows.
     """
@@ -93,7 +94,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     if most >= 2.0**62:
         raise ValueError("squared norms must be below 2^62 for 64-bit scores")
     exact = np.float64 if most < 2.0**52 else np.int64
-    chosen = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
+    full = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dim) - F.size("v")))
+    data = rows.groupBy("vec_id").agg(F.min(full).alias("v")).withColumn("is_query", F.lit(False))
+    # A row is a candidate or a query; the query's id has a candidate of its own.
+    rows = stored(data.unionByName(rows.where("is_query").select("vec_id", full.alias("v"), "is_query").distinct()), "roles")
+    chosen = rows.where("not is_query").select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
     at = np.unique(np.array([r["v"] + [0] * (dim - len(r["v"])) for r in chosen], np.float64), axis=0)
     at = at[np.random.default_rng(0).permutation(len(at))[:pivots]]
     at = np.concatenate((at, np.sqrt(np.maximum(most - (at**2).sum(1), 0))[:, None]), axis=1)
@@ -109,7 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
             if not batch.num_rows:
                 continue
             x, away, asks = near(batch)
-            cell, least = away.argmin(1), away.min(1)
+            cell, least = away[~asks].argmin(1), away[~asks].min(1)
             from_query = _distances(x[asks], np.zeros(asks.sum()), at)
             own, far = from_query.argmin(1), from_query.min(1)
             found = [(int(c), False, int((cell == c).sum()), float(least[cell == c].max()), np.sort(least[cell == c])[: k + 1].tolist()) for c in np.unique(cell)]
@@ -151,7 +156,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
             x, away, asks = near(batch)
             ids = batch.column("vec_id").to_numpy()
             block = np.array([hash(i) % blocks for i in ids.tolist()], np.int32)
-            row, to = np.nonzero((away <= within[None, :]) @ member)
+            row, to = np.nonzero(((away <= within[None, :]) & ~asks[:, None]) @ member)
             parts = [(row, to, block[row], np.zeros(len(row), bool))]
             own = np.flatnonzero(asks)
             cell = _distances(x[own], np.zeros(len(own)), at).argmin(1)

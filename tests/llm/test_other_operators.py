@@ -241,3 +241,20 @@ def test_pick_tells_case_apart(spark):
 def test_crc_of_ids(spark):
     one = token_pieces(spark.createDataFrame([(1, "abc def")], "doc_id bigint, text string")).select("ids", F.crc32("ids").alias("c")).first()
     assert one["c"] == zlib.crc32(one["ids"])
+
+
+def test_top_k_with_ids_repeated_many_times(spark):
+    r = random.Random(9)
+    far = [(i, [r.uniform(-1, 0.2) for _ in range(4)]) for i in range(60)]
+    rows = [*far, *[(1, [0.9, 0.9, 0.9, 0.9])] * 10, *[(40, [0.9, 0.9, 0.9, 0.8])] * 10]
+    plain = {}
+    for i, x in rows:
+        v = [math.floor(256 * float(a)) for a in np.array(x, np.float32)]
+        plain.setdefault(i, []).append(v)
+    expected = set()
+    for q in (0, 20, 40):
+        score = {i: max(sum(a * b for a, b in zip(u, min(vs))) for u in plain[q]) for i, vs in plain.items() if i != q}
+        expected |= {(q, n + 1, i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5])}
+    vectors = K.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    for options in ({}, {"pivots": 4, "group_queries": 2, "block_rows": 20}):
+        assert {tuple(x) for x in K.top_k(vectors, F.col("vec_id") % 20 == 0, 5, **options).collect()} == expected
