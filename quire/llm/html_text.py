@@ -2,8 +2,8 @@
 
 Markup is stripped into lines, one for each block of text. Lines of menus, headers, footers, sidebars,
 notices, adverts, forms and comments count as empty. Over the lengths of the lines, sums of a sliding
-window are taken; text surges where a window of enough text begins at a line that has some, and dives
-where a window holds none; the lines between are the main text.
+window are taken; text surges where a line has some, and dives where a window holds none; the lines
+between are the main text, however short.
 """
 
 from __future__ import annotations
@@ -30,67 +30,76 @@ MARKS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "topbar header masthead footer copyright comment comments commentlist disqus respond replies reply widget widgets pagination pager toolbar skip paywall disclaimer legal".split()
 )
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base link meta title style script noscript template head html".split())
 #: Elements that a mark never takes away: they hold the page or the article itself.
 KEPT = frozenset("html body article main".split())
 WINDOW = 3
-LEAST = 80
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[!?/][^>]*>?)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
-_RIGHTS = re.compile(r"(?:©|\(c\) |copyright\b)", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _chrome(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element with these attributes holds no main text."""
-    if tag in CHROME or tag == "header" and not inside:
-        return True
+HARD, WHOLE, PARTLY = 3, 2, 1
+
+
+def _chrome(tag: str, attrs: str, inside: bool) -> int:
+    """How an element with these attributes holds no main text: by what it is (HARD), by a class or id that is a mark (WHOLE), by a form or a mark among others in a name (PARTLY), or 0."""
+    if tag in CHROME and tag != "form" or tag == "header" and not inside:
+        return HARD
+    found = PARTLY if tag == "form" else 0
     if not attrs or attrs.isspace() or tag in KEPT:
-        return False
+        return found
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return HARD
         if name == "role" and value.lower() in ROLES:
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in MARKS and not (inside and w.lower() == "header") for w in _WORD.findall(value)):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id"):
+            for part in value.split():
+                words = [w.lower() for w in _WORD.findall(part)]
+                if any(w in MARKS and not (inside and w == "header") for w in words):
+                    found = max(found, WHOLE if len(words) == 1 else PARTLY)
+    return found
+
 
+def lines(html: str) -> list[tuple[str, bool, tuple[tuple[int, int], ...], bool]]:
+    """(text, chrome, marked elements around its article or main or else itself, in an article or main) of every block with text.
 
-def lines(html: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, chrome, in an article or main, characters that are links) of every block with text."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
+    A marked element is (number, WHOLE or PARTLY); marks inside an article or main make chrome at once.
+    """
+    out: list[tuple[str, bool, tuple[tuple[int, int], ...], bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    dark = main = anchors = linked = 0
+    marks: list[tuple[int, int]] = []
+    dark = main = count = 0
     at, end = 0, len(html)
 
     def flush() -> None:
-        nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, dark > 0 or not main and _RIGHTS.match(text) is not None, main > 0, linked))
+            out.append((text, dark > 0, tuple(marks), main > 0))
         parts.clear()
-        linked = 0
 
     def pop() -> None:
-        nonlocal dark, main, anchors
-        tag, was = stack.pop()
+        nonlocal dark, main
+        tag, was, soft = stack.pop()
         dark -= was
         main -= tag in MAIN
-        anchors -= tag == "a"
+        if soft:
+            marks.pop()
 
     while at < end:
         found = _TAG.search(html, at)
         text = html[at : found.start() if found else end]
         if text:
-            text = entities.unescape(text) if "&" in text else text
-            parts.append(text)
-            if anchors:
-                linked += len(text.strip())
+            if stack and stack[-1][0] == "head" and not text.isspace():
+                pop()
+            parts.append(entities.unescape(text) if "&" in text else text)
         if not found:
             break
         at = found.end()
@@ -101,7 +110,7 @@ def lines(html: str) -> list[tuple[str, bool, bool, int]]:
         if found[1]:
             if tag in BLOCK:
                 flush()
-            names = [t for t, _ in stack]
+            names = [t for t, _, _ in stack]
             if tag in names:
                 while stack[-1][0] != tag:
                     pop()
@@ -112,50 +121,61 @@ def lines(html: str) -> list[tuple[str, bool, bool, int]]:
             # A paragraph, list item or table part ends where the next block of its kind begins.
             if stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
                 pop()
+        if tag not in HEAD and stack and stack[-1][0] == "head":
+            flush()
+            pop()
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not attrs.endswith("/") else None
             at = close.end() if close else at if attrs.endswith("/") else end
             continue
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
-        was = _chrome(tag, attrs, main > 0)
-        stack.append((tag, was))
+        how = _chrome(tag, attrs, main > 0)
+        soft = 0 < how < HARD and not main
+        stack.append((tag, was := how > 0 and not soft, soft))
         dark += was
+        if soft:
+            count += 1
+            marks.append((count, how))
         main += tag in MAIN
-        anchors += tag == "a"
     flush()
     return out
 
 
-def main_text(html: str | None, window: int = WINDOW, least: int = LEAST) -> str:
+def main_text(html: str | None, window: int = WINDOW) -> str:
     """The main text of a page; empty for null, empty and text-free pages.
 
-    Where the page marks an article or main element, only its lines have lengths, and any text surges.
-    Elsewhere a line's length leaves out its links, a surge takes least characters in its window, and
-    pages in which nothing surges keep all lines outside menus and the like.
+    Where the page marks an article or main element, only its lines have lengths. A form, or an element with a
+    mark among others in a class or id, that holds more than half of the page's text is a wrapper and
+    counts as unmarked. Marks around an article or main count only where another one has none around it.
     """
     if not html:
         return ""
     found = lines(html)
-    marked = any(inside and not dark for _, dark, inside, _ in found)
-    lengths = [0 if dark or marked and not inside else len(text) if marked else max(0, len(text) - linked) for text, dark, inside, linked in found]
-    need = 1 if marked else least
+    total = sum(len(text) for text, dark, _, _ in found if not dark)
+    held: dict[int, int] = {}
+    for text, dark, marks, _ in found:
+        for n, how in marks:
+            held[n] = held.get(n, 0) + (len(text) if how == PARTLY and not dark else 0)
+    under = [any(2 * held[n] <= total for n, _ in marks) for _, _, marks, _ in found]
+    marked = any(inside and not dark for _, dark, _, inside in found)
+    if marked and all(under[k] for k, (_, dark, _, inside) in enumerate(found) if inside and not dark):
+        under = [False] * len(found)
+    lengths = [0 if dark or below or marked and not inside else len(text) for (text, dark, _, inside), below in zip(found, under)]
     n, kept, i = len(lengths), [], 0
     sums = [sum(lengths[k : k + window]) for k in range(n)]
     while i < n:
-        if sums[i] >= need and lengths[i]:
+        if lengths[i]:
             start = i
             while i < n and sums[i]:
                 i += 1
             kept += range(start, i)
         else:
             i += 1
-    if not kept and not marked:
-        kept = range(n)
-    return " ".join(found[k][0] for k in kept if not found[k][1] and (found[k][2] or not marked))
+    return " ".join(found[k][0] for k in kept if lengths[k])
 
 
-def extract(pages: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
     """page_id, url, text of every row of (page_id, url, html).
 
     Null html gives an empty text; repeated rows and null ids or urls keep their row; an empty table gives
@@ -164,7 +184,7 @@ def extract(pages: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataF
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(h.as_py(), window, least) for h in batch.column(2)]
+            text = [main_text(h.as_py(), window) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     return pick(pages, "page_id", "url", "html").mapInArrow(made, "page_id bigint, url string, text string")

@@ -258,3 +258,20 @@ def test_top_k_with_ids_repeated_many_times(spark):
     vectors = K.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
     for options in ({}, {"pivots": 4, "group_queries": 2, "block_rows": 20}):
         assert {tuple(x) for x in K.top_k(vectors, F.col("vec_id") % 20 == 0, 5, **options).collect()} == expected
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><article><p>whole</p></article></body></html>", "whole"),
+        ("<head><link rel=x><p>no body tag", "no body tag"),
+        ("<div class='layout with-sidebar'><article>a</article><div class=sidebar>s</div></div>", "a"),
+        ("<div id='page-header-wrap'><main>b</main></div>", "b"),
+        ("<form action=/><main><p>c<form>inner</form></main></form>", "c"),
+        ("<article>long enough story</article><div class=comments><article>reply</article></div>", "long enough story"),
+        ("<div class='layout with-sidebar'><p>one two three</p><nav>n</nav><nav>n</nav><nav>n</nav><p>short</p></div>", "one two three short"),
+        ("<p>" + "word " * 60 + "</p><nav>a</nav><nav>b</nav><nav>c</nav><p>end</p><p>Copyright law has a history.</p><footer>f</footer>", "word " * 60 + "end Copyright law has a history."),
+    ],
+)
+def test_main_text_is_whole(html, text):
+    assert H.main_text(html) == text
