@@ -68,6 +68,26 @@ def _hits(s, d):
     return R.vector_search(_queries(s, d), _chunks(s, d), 8, -1.0).join(_chunks(s, d).drop("embedding"), "chunk_id")
 
 
+def _whole_chunks(s, d):
+    """Every row with its whole text."""
+    docs = load(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    return load(s, d, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("doc_id"), (F.col("label") + 1).alias("page"), F.coalesce("content", F.lit("")).alias("content"), "embedding")
+
+
+def _every_query(s, d):
+    """A twentieth of all rows, so queries grow with the table."""
+    return load(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _whole_hits(s, d):
+    return R.vector_search(_every_query(s, d), _whole_chunks(s, d), 8, -1.0).join(_whole_chunks(s, d).drop("embedding"), "chunk_id")
+
+
+def _all_scores(s, d):
+    pairs = _every_query(s, d).crossJoin(_whole_chunks(s, d).select("chunk_id", "embedding"))
+    return pairs.select("query_id", "chunk_id", F.round(R.cosine_similarity(F.col("vector"), F.col("embedding")), 6).alias("score"))
+
+
 def _names(s, d):
     return load(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
 
@@ -100,12 +120,18 @@ QUERIES = {
     "g4_compare_pages": lambda s, d: C.compare_pages(_diff(s, d)),
     "g5_identical_documents": lambda s, d: C.identical_documents(load(s, d, "documents")),
     "g6_string_similarity": lambda s, d: _diff(s, d).where("change = 'modified' and length(before) <= 200").select("pair_id", "line_no", C.string_similarity(F.col("before"), F.col("after")).alias("similarity")),
+    "g6_string_similarity_whole": lambda s, d: _diff(s, d).where("change = 'modified'").select("pair_id", "line_no", C.string_similarity(F.col("before"), F.col("after")).alias("similarity")),
     "g7_diff_report": lambda s, d: C.diff_report(_diff(s, d)),
     "h1_chunk_text": lambda s, d: R.chunk_text(load(s, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")),
     "h2_cosine_similarity": lambda s, d: _queries(s, d).join(_chunks(s, d).where("chunk_id >= 10 and chunk_id < 500")).select("query_id", "chunk_id", F.round(R.cosine_similarity(F.col("vector"), F.col("embedding")), 6).alias("score")),
     "h3_vector_search": lambda s, d: R.vector_search(_queries(s, d), _chunks(s, d), 5, 0.05).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")),
     "h4_build_context": lambda s, d: R.build_context(_hits(s, d), 900),
     "h5_citations": lambda s, d: R.citations(_hits(s, d), _names(s, d)).withColumn("score", F.round("score", 6)),
+    # Whole inputs, by brute force in the tests: the SQL twins of the four above hold for ten queries and text prefixes.
+    "h2_cosine_similarity_whole": _all_scores,
+    "h3_vector_search_whole": lambda s, d: R.vector_search(_every_query(s, d), _whole_chunks(s, d), 5, 0.05).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")),
+    "h4_build_context_whole": lambda s, d: R.build_context(_whole_hits(s, d), 900),
+    "h5_citations_whole": lambda s, d: R.citations(_whole_hits(s, d), _names(s, d)).withColumn("score", F.round("score", 6)),
     "h8_index_incremental": lambda s, d: R.index_incremental(_chunks(s, d).select("chunk_id", "doc_id"), _chunks(s, d).where("doc_id % 2 = 0 and chunk_id % 3 = 0").select("chunk_id", "doc_id")),
     "h9_index_stats": lambda s, d: R.index_stats(_chunks(s, d)),
 }
