@@ -23,9 +23,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session, whose driver is its only executor, gets a temporary folder; a cluster gets an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -45,3 +50,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, marks: DataFrame, on: list[str], counted: str, deal: str, how: str = "inner", least: int = 1_000, most: int = 10_000) -> DataFrame:
+    """rows joined to marks (one row for each key, the number of its rows in column counted) without hot tasks.
+
+    A key of over max(least, all rows / most) rows is dealt over several tasks by a hash of the column deal, and its
+    mark is repeated for each; as counts add up to all rows there are at most `most` such keys, so they are
+    broadcast. counted is dropped. Keys may not be null.
+    """
+    total = marks.agg(F.sum(counted)).first()[0] or 0
+    limit = max(least, total // most)
+    hot = marks.where(F.col(counted) > limit).select(*on, F.ceil(F.col(counted) / limit).cast("int").alias("_parts"))
+    left = rows.join(F.broadcast(hot), on, "left")
+    left = left.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(deal, F.lit("part")), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    parts = F.greatest(F.ceil(F.col(counted) / limit).cast("int"), F.lit(1))
+    right = marks.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(counted)
+    return left.join(right, [*on, "_part"], how).drop("_part")

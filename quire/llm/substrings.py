@@ -1,32 +1,36 @@
 """Exact removal of long repeated passages, by automata of confirmed passages.
 
-Confirming: every window of `size` words is represented by its minimizer, the least of the hashes of the
-`gram`-word runs in it; neighbouring windows with one minimizer form a span. A window can only repeat
-where its minimizer is chosen twice. Spans that occur twice as a whole are confirmed by their hash; the windows of
-other spans with a repeated minimizer are compared one by one, by a 128-bit hash, with the windows of the
-distinct spans of that minimizer.
-Locating: documents are dealt to shards of bounded text. What is confirmed goes to the shards in which it
-stands; there, runs of confirmed windows are spelled out as passages, compiled into one Aho-Corasick automaton
-for the shard, and all the shard's documents stream through it. So the automata are bounded by the shard, every
-document passes exactly one, and a passage shared by many documents is sent once to each shard.
+Every window of `size` words is represented by its minimizer, the least of the hashes of the `gram`-word
+runs in it; neighbouring windows with one minimizer form a span. Texts are dealt to blocks of bounded size by their
+place in the input, and a block keeps one place of each of its distinct spans.
+Confirming: a window can only repeat where its minimizer is chosen twice. Spans that occur twice as a whole are
+confirmed by their hash; the windows of other spans with a repeated minimizer are compared one by one, by a 128-bit
+hash, with those of the distinct spans of that minimizer.
+Locating: a block gets the places of the confirmed passages it holds, one place for each. They are read from its texts,
+compiled into one Aho-Corasick automaton over words, and all its documents stream through it; the automaton alone
+finds where else in the block they stand. Automata are bounded by the block, and every document passes one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, spread_join, stored
 
 SIZE = 35
 GRAM = 8
 SHARD_CHARS = 1_000_000
+#: Windows worked on at once; longer documents are cut into stretches of so many.
+STRETCH = 1 << 22
 #: Odd multipliers of the two rolling hashes (any odd 64-bit numbers do).
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -47,6 +51,14 @@ class _Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class _Numbers(dict):
+    """Words numbered from 1 as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown as needed."""
 
@@ -77,10 +89,8 @@ def _rolling(h: np.ndarray, n: int, powers: _Powers) -> np.ndarray:
 
 def _least_at(x: np.ndarray, n: int) -> np.ndarray:
     """The index of the least entry in every run of n entries, by their high bits; the first of equal ones."""
-    # Fixed, so that equal windows choose alike in documents of any length; longer ones are past any text here.
+    # Fixed, so that equal windows choose alike anywhere; a stretch has fewer entries.
     bits = np.uint64(28)
-    if len(x) >> 28:
-        raise ValueError("a document has over 2^28 words")
     key = (x >> bits << bits) | np.arange(len(x), dtype=np.uint64)
     width = 1
     while width < n:
@@ -90,66 +100,61 @@ def _least_at(x: np.ndarray, n: int) -> np.ndarray:
     return (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-class _Windows:
-    """Spans and window hashes of word lists."""
+PAIR = ("minimizer", "span")
+_NO_WINDOWS = pa.table({"shard": pa.array([], pa.int64()), "doc": pa.array([], pa.int32()), "first": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "asks": pa.array([], pa.bool_())})
+_SPANS = "array<struct<minimizer:bigint,span:bigint,n:int,doc:int,first:int,windows:int>>"
 
-    def __init__(self, size: int, gram: int):
-        self.size, self.gram, self.hashes, self.powers = size, gram, _Hashes(), [_Powers(b) for b in _BASES]
 
-    def spans(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes; and of each span its first window, the window after its last, and (minimizer, span hash) as PAIR."""
-        h = self.hashes.of(words)
-        grams = _rolling(h, self.gram, self.powers[0])
-        at = _least_at(grams, self.size - self.gram + 1)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-        after = np.concatenate((first[1:], [len(at)]))
-        up, down = self.powers[1].get(len(h) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-        stop = after - 1 + self.size
-        whole = _mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64) * np.uint64(_BASES[0]))
-        return h, first, after, _paired(grams[at[first]], whole)
+def _split(text: str | None) -> list[bytes]:
+    return text.encode().split() if text else []
 
-    def windows(self, h: np.ndarray) -> np.ndarray:
-        """Hash pairs of all windows."""
-        return _paired(*(_rolling(h, self.size, p) for p in self.powers))
 
+def _sums(h: np.ndarray, powers: _Powers) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers.get(len(h) + 1)[0][: len(h)], dtype=np.uint64)))
 
-PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
 
+def _block_spans(h: np.ndarray, owner: np.ndarray, size: int, gram: int, powers: list[_Powers]) -> list[np.ndarray]:
+    """minimizer, span hash, first window and number of windows of every span of the words h of several documents.
 
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), PAIR)
-    out["a"], out["b"] = a.view(np.int64), b.view(np.int64)
-    return out
+    owner is the document of each word; windows that reach into the next document are none. Long
+    inputs are cut into stretches, whose windows choose alike; a span that a cut divides is two.
+    """
+    found = []
+    for low in range(0, len(h) - size + 1, STRETCH):
+        part, own = h[low : low + STRETCH + size - 1], owner[low : low + STRETCH + size - 1]
+        grams = _rolling(part, gram, powers[0])
+        at = _least_at(grams, size - gram + 1)
+        inside = own[: len(at)] == own[size - 1 :]
+        new = np.concatenate(([True], (at[1:] != at[:-1]) | ~inside[:-1]))
+        first = np.flatnonzero(new & inside)
+        if not len(first):
+            continue
+        ends = np.concatenate((np.flatnonzero(new | ~inside), [len(at)]))
+        after = ends[np.searchsorted(ends, first, "right")]
+        sums, down, stop = _sums(part, powers[1]), powers[1].get(len(part) + 1)[1], after - 1 + size
+        whole = _mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64) * np.uint64(_BASES[0]))
+        found.append((grams[at[first]].view(np.int64), whole.view(np.int64), first + low, after - first))
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 4
 
 
-class _Known:
-    """A sorted set of pairs."""
+def _distinct(minimizer: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first of each run of equal pairs after sorting by a hash of both, and how many there are."""
+    order = np.argsort(_mix(minimizer.view(np.uint64)) ^ span.view(np.uint64), kind="stable")
+    a, b = minimizer[order], span[order]
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return order[start], np.diff(np.concatenate((start, [len(order)])))
 
-    def __init__(self, a, b):
-        self.pairs = np.empty(len(a), PAIR)
-        self.pairs["a"], self.pairs["b"] = a, b
-        self.pairs = self.pairs[np.lexsort((self.pairs["b"], self.pairs["a"]))]
-        self.a = np.ascontiguousarray(self.pairs["a"])
 
-    def where(self, asked: np.ndarray) -> np.ndarray:
-        """Indices of the asked pairs that are in the set."""
-        if not len(self.a) or not len(asked):
-            return np.empty(0, np.int64)
-        low, high = np.searchsorted(self.a, asked["a"], "left"), np.searchsorted(self.a, asked["a"], "right")
-        maybe = np.flatnonzero(high > low)
-        one = maybe[(high - low)[maybe] == 1]
-        found = [one[self.pairs["b"][low[one]] == asked["b"][one]]]
-        for i in maybe[(high - low)[maybe] > 1].tolist():
-            inside = self.pairs["b"][low[i] : high[i]]
-            k = np.searchsorted(inside, asked["b"][i])
-            if k < len(inside) and inside[k] == asked["b"][i]:
-                found.append(np.array([i]))
-        return np.sort(np.concatenate(found))
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n numbers each."""
+    before = np.cumsum(n) - n
+    return np.repeat(start - before, n) + np.arange(n.sum())
 
 
-def _split(text: str | None) -> list[bytes]:
-    return text.encode().split() if text else []
+def _owners(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The document of each word and the first word of each document."""
+    counts = np.array(counts, np.int64)
+    return np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
 
 
 def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -160,112 +165,114 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard
     Null and empty texts have no words; repeated rows and equal doc_ids are documents of their own and
     repeat each other; an empty table gives no rows.
     """
-    rows = pick(docs, "doc_id", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    # Copies of one row may share a shard: they are told apart by the order in it alone.
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _Windows(size, gram)
+        hashes, powers, task, count = _Hashes(), [_Powers(b) for b in _BASES], TaskContext.get().partitionId(), 0
+        ids, texts, held = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            words = [_split(t) for t in texts]
+            owner, begins = _owners([len(w) for w in words])
+            h = np.concatenate([hashes.of(w) for w in words] or [np.empty(0, np.uint64)])
+            a, b, first, n = _block_spans(h, owner, size, gram, powers)
+            one, copies = _distinct(a, b) if len(a) else (np.empty(0, np.int64),) * 2
+            doc = owner[first[one]] if len(one) else one
+            fields = [a[one], b[one], *(x.astype(np.int32) for x in (copies, doc, first[one] - begins[doc], n[one]))]
+            spans = pa.StructArray.from_arrays([pa.array(x) for x in fields], names=["minimizer", "span", "n", "doc", "first", "windows"])
+            spans = pa.ListArray.from_arrays(pa.array([0, len(spans)], pa.int32()), spans)
+            columns = [pa.array([task << 32 | count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), spans]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "ids", "texts", "spans"])
+
         for batch in batches:
-            found: dict[int, list[np.ndarray]] = {}
-            for text, shard in zip(batch.column(1), batch.column(2).to_pylist()):
-                w = _split(text.as_py())
-                if len(w) >= size:
-                    found.setdefault(shard, []).append(cut.spans(w)[3])
-            for shard, some in found.items():
-                pairs, n = np.unique(np.concatenate(some), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int64)), pa.array(np.ascontiguousarray(pairs["a"])), pa.array(np.ascontiguousarray(pairs["b"])), pa.array(n)], names=["shard", "minimizer", "span", "n"])
-
-    spans = stored(rows.mapInArrow(choose, "shard bigint, minimizer bigint, span bigint, n bigint"), "spans")
-    repeated = spans.groupBy("minimizer").agg(F.sum("n").alias("total")).where("total > 1").select("minimizer")
-    spans = stored(spans.join(repeated, "minimizer").groupBy("shard", "minimizer", "span").agg(F.sum("n").alias("n")), "repeated")
-    each = spans.groupBy("minimizer", "span").agg(F.sum("n").alias("copies"), F.min("shard").alias("speaker"))
-    kinds = each.groupBy("minimizer").agg(F.count_if(F.col("copies") == 1).alias("single"), F.count(F.lit(1)).alias("different"))
-    # whole: the span itself repeats; told: its windows are compared, those of a repeated span by one shard alone.
-    told = (F.col("single") > 0) & (F.col("different") > 1) & ((F.col("copies") == 1) | (F.col("shard") == F.col("speaker")))
-    sent = spans.join(each, ["minimizer", "span"]).join(kinds, "minimizer")
-    sent = stored(sent.select("shard", F.col("minimizer").alias("a"), F.col("span").alias("b"), (F.col("copies") > 1).alias("whole"), told.alias("told")).where("whole or told"), "sent")
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                ids.append(doc.as_py())
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
+                if held >= shard_chars or len(texts) >= shard_chars // 16:
+                    yield block()
+                    ids, texts, held, count = [], [], 0, count + 1
+        if texts:
+            yield block()
+
+    # One row a block: every text is split and hashed whole here alone. Blocks are numbered by task, and written, so they stay as they are.
+    blocks = stored(pick(docs, "doc_id", "text").mapInArrow(choose, f"shard bigint, ids array<bigint>, texts array<string>, spans {_SPANS}"), "blocks")
+    spans = blocks.select("shard", F.inline("spans"))
+    each = stored(spans.groupBy(*PAIR).agg(F.sum("n").alias("copies"), F.min("shard").alias("speaker"), F.count(F.lit(1)).alias("rows")), "each")
+    kinds = stored(each.groupBy("minimizer").agg(F.sum("copies").alias("total"), F.count_if(F.col("copies") == 1).alias("single"), F.count(F.lit(1)).alias("different")).where("total > 1").drop("total"), "kinds")
+    compare = (F.col("single") > 0) & (F.col("kinds") > 1)
+    marks = spread_join(each, kinds.withColumn("kinds", F.col("different")), ["minimizer"], "different", "span").where((F.col("copies") > 1) | compare)
+    marks = stored(marks.select(*PAIR, "copies", "speaker", "rows", compare.alias("compare")), "marks")
+    sent = spread_join(spans, marks, list(PAIR), "rows", "shard")
+    # whole: the span itself repeats; told: its windows are compared, those of a repeated span by one block alone.
+    told = F.col("compare") & ((F.col("copies") == 1) | (F.col("shard") == F.col("speaker")))
+    sent = sent.select("shard", "doc", "first", "windows", "n", (F.col("copies") > 1).alias("whole"), told.alias("told"))
+    sent = stored(sent.where("whole or told"), "sent")
 
     def candidates(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        cut = _Windows(size, gram)
-        asks, seen = right.column("whole").to_numpy(), set()
-        known = _Known(right.column("a").to_numpy(), right.column("b").to_numpy())
-        singles = _Known(right.column("a").to_numpy()[~asks], right.column("b").to_numpy()[~asks])
-        found, ask = [np.empty(0, PAIR)], [np.empty(0, bool)]
-        for text in left.column("text") if right.num_rows else ():
-            w = _split(text.as_py())
-            if len(w) < size:
-                continue
-            h, first, after, pairs = cut.spans(w)
-            here = [i for i in known.where(pairs).tolist() if pairs[i].tobytes() not in seen]
-            if here:
-                hashes = cut.windows(h)
-                alone = set(singles.where(pairs).tolist())
-                for i in here:
-                    if (mark := pairs[i].tobytes()) not in seen:
-                        seen.add(mark)
-                        found.append(hashes[first[i] : after[i]])
-                        ask.append(np.full(after[i] - first[i], i in alone))
-        both = np.concatenate(found)
-        return pa.table({"shard": pa.array(np.full(len(both), key[0].as_py(), np.int64)), "a": pa.array(np.ascontiguousarray(both["a"])), "b": pa.array(np.ascontiguousarray(both["b"])), "asks": pa.array(np.concatenate(ask))})
-
-    by_shard = rows.groupBy("shard")
-    windows = by_shard.cogroup(sent.where("told").groupBy("shard")).applyInArrow(candidates, "shard bigint, a bigint, b bigint, asks boolean")
+        hashes, powers = _Hashes(), [_Powers(b) for b in _BASES]
+        doc, first, n = (right.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "windows"))
+        texts = left.column("texts")[0]
+        used, place = np.unique(doc, return_inverse=True)
+        h = [hashes.of(_split(texts[i].as_py())) for i in used.tolist()]
+        begins = _owners([len(x) for x in h])[1]
+        at = _ranges(begins[place] + first, n)
+        h = np.concatenate(h)
+        a, b = (_rolling(h, size, p)[at].view(np.int64) for p in powers)
+        asks = np.repeat(~right.column("whole").to_numpy(), n)
+        columns = [np.full(len(at), key[0].as_py(), np.int64), np.repeat(doc, n).astype(np.int32), _ranges(first, n).astype(np.int32), a, b, asks]
+        return pa.table([pa.array(c) for c in columns], names=["shard", "doc", "first", "a", "b", "asks"])
+
+    texts = blocks.select("shard", "ids", "texts").groupBy("shard")
+    asking = sent.where("told").select("shard", "doc", "first", "windows", "whole").groupBy("shard")
+    windows = texts.cogroup(asking).applyInArrow(lambda key, left, right: candidates(key, left, right) if right.num_rows else _NO_WINDOWS, "shard bigint, doc int, first int, a bigint, b bigint, asks boolean")
     windows = stored(windows, "windows")
-    twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    confirmed = windows.where("asks").select("shard", "a", "b").join(twice, ["a", "b"], "left_semi")
-    # kind 0: spans that repeat as a whole; 1: spans whose windows were compared; 2: windows that repeat.
-    confirmed = sent.select("shard", "a", "b", F.when(F.col("whole"), 0).otherwise(1).alias("kind")).unionByName(confirmed.withColumn("kind", F.lit(2)))
-
-    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        cut = _Windows(size, gram)
-        kind = right.column("kind").to_numpy()
-        a, b = right.column("a").to_numpy(), right.column("b").to_numpy()
-        whole, asked, single = (_Known(a[kind == k], b[kind == k]) for k in range(3))
-        # One character a byte: places in the text are places in its UTF-8 form.
-        texts = [b" ".join(_split(t.as_py())).decode("latin-1") for t in left.column("text")]
-        bounds = []
-        passages = set()
-        for t in texts:
-            begins = np.concatenate(([0], np.flatnonzero(np.frombuffer(t.encode("latin-1"), np.uint8) == 32) + 1, [len(t) + 1])) if t else np.zeros(1, np.int64)
-            bounds.append(begins)
-            if len(begins) <= size or not right.num_rows:
-                continue
-            h, first, after, pairs = cut.spans(t.encode("latin-1").split(b" "))
-            sure = np.zeros(len(h) - size + 1, bool)
-            for i in whole.where(pairs).tolist():
-                sure[first[i] : after[i]] = True
-            if len(single.a) and len(asked.where(pairs)):
-                sure[single.where(cut.windows(h))] = True
-            here = np.flatnonzero(sure)
-            for run in np.split(here, np.flatnonzero(np.diff(here) > 1) + 1) if len(here) else ():
-                passages.add(t[begins[run[0]] : begins[run[-1] + size] - 1])
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in passages:
-            automaton.add_word(f" {p} ")
-        if passages:
+    twice = stored(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("asks").alias("asked")).where("rows > 1 and asked").drop("asked"), "twice")
+    single = spread_join(windows.where("asks").select("shard", "doc", "first", "a", "b"), twice, ["a", "b"], "rows", "shard", "left_semi")
+    confirmed = sent.where("whole").select("shard", "doc", "first", "windows", "n").unionByName(single.select("shard", "doc", "first", F.lit(1).alias("windows"), F.lit(1).alias("n")))
+
+    def locate(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        docs = left.column("ids")[0].as_py()
+        words = [_split(t.as_py()) for t in left.column("texts")[0]]
+        # Words are the letters of the automaton; 0, between documents, is in no passage.
+        numbers = _Numbers()
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        letters = np.zeros(begins[-1], np.uint32)
+        if right.num_rows:
+            for at, w in zip(begins.tolist(), words):
+                letters[at : at + len(w)] = np.fromiter(map(numbers.__getitem__, w), np.uint32, len(w))
+        gone = np.zeros(len(letters) + 1, np.int64)
+        if right.num_rows:
+            doc, first, n, copies = (right.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "windows", "n"))
+            start = begins[doc] + first
+            order = np.argsort(start, kind="stable")
+            start, n, copies = start[order], n[order], copies[order]
+            # What one document of the block alone holds is joined to longer passages; what others hold too stays a passage of its own.
+            alone = copies == 1
+            joined = np.flatnonzero(alone)
+            s, e = start[joined], start[joined] + n[joined]
+            new = np.concatenate(([True], s[1:] != e[:-1])) if len(s) else np.empty(0, bool)
+            runs = [*zip(s[new].tolist(), e[np.concatenate((new[1:], [True]))].tolist())] if len(s) else []
+            runs += zip(start[~alone].tolist(), (start + n)[~alone].tolist())
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+            stream = tuple(letters.tolist())
+            for x, y in runs:
+                automaton.add_word(stream[x : y - 1 + size])
             automaton.make_automaton()
-        out: tuple[list, list, list, list] = [], [], [], []
-        for doc, t, begins in zip(left.column("doc_id").to_pylist(), texts, bounds):
-            n = len(begins) - 1
-            cover = np.zeros(n + 1, np.int64)
-            if passages and n >= size:
-                hits = np.array([(stop - length + 1, stop) for stop, length in automaton.iter(f" {t} ")], np.int64).reshape(-1, 2)
-                np.add.at(cover, np.searchsorted(begins, hits[:, 0]), 1)
-                np.add.at(cover, np.searchsorted(begins, hits[:, 1]), -1)
-            gone = np.concatenate(([0], np.cumsum(cover)[:-1] > 0, [0])).astype(np.int8)
-            edges = np.flatnonzero(np.diff(gone)).tolist()
-            kept = zip([0, *edges[1::2]], [*edges[0::2], n])
-            out[0].append(doc)
-            out[1].append(n)
-            out[2].append([{"start": x, "stop": y} for x, y in zip(edges[0::2], edges[1::2])])
-            out[3].append(" ".join(t[begins[x] : begins[y] - 1] for x, y in kept if x < y).encode("latin-1").decode())
+            hits = np.array(list(automaton.iter(stream)), np.int64).reshape(-1, 2)
+            gone = np.bincount(hits[:, 0] - hits[:, 1] + 1, minlength=len(gone)) - np.bincount(hits[:, 0] + 1, minlength=len(gone))
+        gone = np.concatenate(([0], np.cumsum(gone)[:-1] > 0, [0])).astype(np.int8)
+        edges = np.flatnonzero(np.diff(gone))
+        spans: list[list[dict]] = [[] for _ in docs]
+        for d, x, y in zip((np.searchsorted(begins, edges[::2], "right") - 1).tolist(), edges[::2].tolist(), edges[1::2].tolist()):
+            spans[d].append({"start": x - int(begins[d]), "stop": y - int(begins[d])})
+        kept = []
+        for w, out in zip(words, spans):
+            stops = [0, *(s["stop"] for s in out)]
+            kept.append(b" ".join(chain.from_iterable(w[x:y] for x, y in zip(stops, [*(s["start"] for s in out), len(w)]))).decode())
         kinds = pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()
-        return pa.table([pa.array(a, t) for a, t in zip(out, kinds)], names=["doc_id", "n_words", "spans", "kept"])
+        return pa.table([pa.array(a, t) for a, t in zip((docs, [len(w) for w in words], spans, kept), kinds)], names=["doc_id", "n_words", "spans", "kept"])
 
-    return by_shard.cogroup(confirmed.groupBy("shard")).applyInArrow(locate, "doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")
+    return texts.cogroup(confirmed.groupBy("shard")).applyInArrow(locate, "doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
