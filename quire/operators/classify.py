@@ -1,7 +1,8 @@
 """Document classes from keywords, structure, entities and text statistics.
 
 All functions take documents with doc_id and text (page_count and title where they are used) and stay narrow:
-one row in, one row out, no shuffle. Words are counted in place, without exploding documents by the dictionary.
+one row in, one row out, no shuffle. Words are counted in place, without exploding documents by the dictionary. Null texts have null
+scores and no matches, empty ones zeros; repeated rows are classified alike; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.shared import materialised
 from quire.functions.spans import BOUND
 
 TYPES = ("invoice", "contract", "report", "resume", "academic", "form", "letter", "legal", "financial", "medical", "other")
@@ -39,6 +41,23 @@ RULES = {
     "financial": (25, (r"(?:balance|income)\s+statement", r"(?:total\s+)?(?:assets|liabilities|equity)", r"(?:net\s+)?(?:income|profit|loss)", r"fiscal\s+(?:year|quarter)", r"(?:gaap|ifrs)\s+(?:compliant|standards)")),
     "medical": (25, (r"patient\s+(?:name|id|dob)", r"diagnosis[:\s]+", r"(?:medical|medication)\s+history", r"(?:dosage|dose)[:\s]+\d+\s*(?:mg|ml)", r"(?:bp|blood\s+pressure)[:\s]+\d+\/\d+")),
 }
+TOPICS = {
+    "financial": ("revenue", "profit", "loss", "balance sheet", "income statement", "fiscal", "quarterly"),
+    "contract": ("agreement", "party", "parties", "herein", "whereas", "obligation", "termination"),
+    "academic": ("abstract", "methodology", "hypothesis", "conclusion", "references", "citation"),
+    "legal": ("court", "plaintiff", "defendant", "jurisdiction", "statute", "legal", "law"),
+    "technical": ("api", "documentation", "implementation", "architecture", "system", "configuration"),
+    "report": ("report", "findings", "analysis", "recommendation", "executive summary"),
+}
+QUESTIONS = {
+    "general": ("What is the main topic of this document?", "Summarize the key points in this document", "What are the main conclusions?", "List the important dates mentioned"),
+    "report": ("What are the main findings of this report?", "Summarize the executive summary", "What recommendations are made?", "What data sources were used?"),
+    "contract": ("What are the key terms and conditions?", "When does this contract expire?", "What are the payment terms?", "List all parties involved in this contract"),
+    "academic": ("What is the main thesis or argument?", "Summarize the methodology used", "What are the key findings?", "List the main references cited"),
+    "financial": ("What is the total revenue reported?", "Summarize the financial highlights", "What are the key financial metrics?", "Compare year-over-year performance"),
+    "technical": ("What are the system requirements?", "Explain the architecture described", "List the main features or components", "What are the limitations mentioned?"),
+    "legal": ("What are the key legal provisions?", "Summarize the rights and obligations", "Are there any penalties mentioned?", "What jurisdiction applies?"),
+}
 LIST_LINE = r"(?i)^[\s]*[-*•]\s|^[\s]*\d+[.)]\s|^[\s]*[a-z][.)]\s"
 HEADER_LINE = r"(?i)^[\s]*(?:[A-Z][A-Z\s]+$|(?:chapter|section|article)\s+\d+|^\d+\.\s+[A-Z])"
 SIGNATURE = r"(?i)signature[\s:_]|sign here|authorized by|signed[\s:_]|witness[\s:_]|_+\s*date"
@@ -237,11 +256,63 @@ def quick_classify(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.when(sure < 15, "other").otherwise(_type(F.col("i"))).alias("type"), F.when(sure < 15, 100 - sure).otherwise(sure).alias("confidence"))
 
 
+def classify_enhanced(docs: DataFrame, ml_scores: DataFrame, ml_weight: float = 0.3) -> DataFrame:
+    """doc_id, type, confidence, base_type, used_ml: the base class, blended with a model's (doc_id, ml_type, ml_confidence) where there is one.
+
+    The model's class is taken if it is sure (over 70) and its score by patterns and keywords is over half of the base class's.
+    """
+    base = materialised(classify_documents(docs).select("doc_id", F.col("type").alias("base_type"), F.col("confidence").alias("base")), "classes")
+    points = materialised(combined_scores(docs), "scores")
+    by_type = F.create_map(*[x for t in TYPES for x in (F.lit(t), F.col(t))])
+    points = points.select("doc_id", by_type.alias("points"))
+    rows = base.join(points, "doc_id").join(ml_scores.select("doc_id", "ml_type", "ml_confidence"), "doc_id", "left")
+    of = lambda c: F.coalesce(F.try_element_at("points", F.col(c)), F.lit(0))
+    switch = F.coalesce((F.col("ml_confidence") > 70) & (F.col("ml_type") != F.col("base_type")) & (of("ml_type") > of("base_type") * 0.5), F.lit(False))
+    used = F.col("ml_type").isNotNull()
+    blend = F.floor(F.col("base") * (1 - ml_weight) + F.col("ml_confidence") * ml_weight + 0.5).cast("int")
+    return rows.select("doc_id", F.when(switch, F.col("ml_type")).otherwise(F.col("base_type")).alias("type"), F.when(used, blend).otherwise(F.col("base")).alias("confidence"), "base_type", used.alias("used_ml"))
+
+
+def combined_scores(docs: DataFrame) -> DataFrame:
+    """doc_id and, for each class, its pattern score and 5 x count x weight of its keywords. doc_id tells documents apart."""
+    words = keyword_matches(docs).groupBy("doc_id").pivot("category", list(KEYWORDS)).agg(F.sum(F.col("count") * F.col("weight")))
+    words = words.select(F.col("doc_id").alias("word_id"), *[F.col(t).alias(f"w_{t}") for t in KEYWORDS])
+    rows = pattern_scores(docs).join(words, F.col("doc_id") == F.col("word_id"), "left")
+    return rows.select("doc_id", *[(F.col(t) + (F.coalesce(f"w_{t}", F.lit(0)) * 5 if t in KEYWORDS else F.lit(0))).cast("int").alias(t) for t in TYPES])
+
+
 def classification_summary(results: DataFrame) -> DataFrame:
-    """type, documents for every class (zeros kept), and over all: mean_confidence (rounded), high, low."""
+    """type, documents for every class (zeros kept), and over all: mean_confidence (rounded), high, low.
+
+    results (type, confidence, level); they are read twice, so pass them stored.
+    """
     spark = results.sparkSession
     kinds = spark.createDataFrame([(t,) for t in TYPES], "type string")
     by_type = results.groupBy("type").agg(F.count(F.lit(1)).alias("documents"))
-    whole = results.agg(F.floor(F.avg("confidence") + 0.5).cast("int").alias("mean_confidence"), F.count_if(F.col("level") == "high").alias("high"), F.count_if(F.col("level") == "low").alias("low"))
+    whole = results.agg(F.coalesce(F.floor(F.avg("confidence") + 0.5), F.lit(0)).cast("int").alias("mean_confidence"), F.count_if(F.col("level") == "high").alias("high"), F.count_if(F.col("level") == "low").alias("low"))
     # Both sides have at most a row for each class.
-    return kinds.join(by_type, "type", "left").fillna(0, ["documents"]).join(F.broadcast(whole), F.lit(True))
+    return F.broadcast(kinds).join(by_type, "type", "left").fillna(0, ["documents"]).join(F.broadcast(whole), F.lit(True))
+
+
+def classification_rollup(results: DataFrame, source: str) -> DataFrame:
+    """The source column, type, documents, mean_confidence: by source and type, by source, and over all (nulls)."""
+    return results.rollup(source, "type").agg(F.count(F.lit(1)).alias("documents"), F.floor(F.avg("confidence") + 0.5).cast("int").alias("mean_confidence"))
+
+
+def chat_topic(text: Column) -> Column:
+    """The first topic of whose words the text holds two; general if there is none."""
+    low = F.lower(text)
+    hits = lambda words: reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in words])
+    out = None
+    for topic, words in TOPICS.items():
+        test = hits(words) >= 2
+        out = F.when(test, topic) if out is None else out.when(test, topic)
+    return out.otherwise("general")
+
+
+def suggest_questions(docs: DataFrame) -> DataFrame:
+    """doc_id, topic, place (from 1), question: the questions of each document's topic."""
+    rows = docs.select("doc_id", chat_topic(F.col("text")).alias("topic"))
+    asked = rows.sparkSession.createDataFrame([(t, i + 1, q) for t, qs in QUESTIONS.items() for i, q in enumerate(qs)], "topic string, place int, question string")
+    # A fixed table of four questions for each topic.
+    return rows.join(F.broadcast(asked), "topic").select("doc_id", "topic", "place", "question")

@@ -1,11 +1,22 @@
-"""The document library: filters, versions, folders, tags, statistics."""
+"""The document library: filters, versions, folders, tags, names, annotations, statistics.
+
+Tables are keyed by id or document_id. Null fields fail filters and sort last where descending; repeated rows count; empty
+tables give no rows, and statistics over them one row of zeros or nulls. Columns not named are kept or ignored as stated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.shared import materialised
+
 STATUSES = ("ready", "processing", "archived", "error", "pending")
+# MIME types by extension.
+MIME_TYPES = {
+    "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "svg": "image/svg+xml", "txt": "text/plain", "html": "text/html", "json": "application/json",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+}
 SORTABLE = ("filename", "file_size", "page_count", "created_at", "status", "id")
 
 
@@ -34,6 +45,17 @@ def recent_documents(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.orderBy(F.desc("created_at"), "id").limit(n)
 
 
+def favourites(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The n favourites changed last."""
+    return docs.where("is_favorite").orderBy(F.desc("updated_at"), "id").limit(n)
+
+
+def top_accessed(accesses: DataFrame, n: int = 10) -> DataFrame:
+    """document_id, accesses, last_accessed_at of the n documents with most accesses (document_id, at), the latest and then the smallest id first of equal ones."""
+    counts = accesses.groupBy("document_id").agg(F.count(F.lit(1)).alias("accesses"), F.max("at").alias("last_accessed_at"))
+    return counts.orderBy(F.desc("accesses"), F.desc("last_accessed_at"), "document_id").limit(n)
+
+
 def library_stats(docs: DataFrame) -> DataFrame:
     """grouping (all, status, month), key, documents, pages, bytes, in one pass with grouping sets."""
     month = docs.withColumn("month", F.date_format("created_at", "yyyy-MM"))
@@ -42,6 +64,19 @@ def library_stats(docs: DataFrame) -> DataFrame:
     return sets.select(name.alias("grouping"), F.coalesce("month", "status", F.lit("")).alias("key"), "documents", "pages", "bytes")
 
 
+def content_stats(docs: DataFrame, messages: DataFrame, embeddings: DataFrame, dimensions: int = 384) -> DataFrame:
+    """conversations, messages, conversation_bytes (of the messages as JSON), embedding_bytes, thumbnail_bytes: one row.
+
+    docs (thumbnail), messages (conv_id, turn, role, text), embeddings. Sums over empty tables are 0.
+    """
+    size = F.octet_length(F.to_json(F.struct("turn", "role", "text")))
+    # Each side is one row.
+    talk = messages.agg(F.countDistinct("conv_id").alias("conversations"), F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum(size), F.lit(0)).alias("conversation_bytes"))
+    vectors = embeddings.agg((F.count(F.lit(1)) * dimensions * 4).alias("embedding_bytes"))
+    pictures = docs.agg(F.coalesce(F.sum(F.octet_length("thumbnail")), F.lit(0)).alias("thumbnail_bytes"))
+    return talk.join(F.broadcast(vectors), F.lit(True)).join(F.broadcast(pictures), F.lit(True))
+
+
 def storage_quota(stats: DataFrame, quota: int) -> DataFrame:
     """used, available, percent (1 decimal), level (critical from 95, low from 80, else ok) of the whole library."""
     used = F.col("bytes")
@@ -50,9 +85,9 @@ def storage_quota(stats: DataFrame, quota: int) -> DataFrame:
 
 
 def import_documents(new: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, outcome (imported, skipped, error) of arriving documents (id, file_size): known ids are skipped, empty ones errors."""
-    known = docs.select("id").withColumn("known", F.lit(True))
-    rows = new.dropDuplicates(["id"]).join(known, "id", "left")
+    """id, outcome (imported, skipped, error) of arriving documents (id, file_size): known ids are skipped, empty ones errors; of repeated ids the largest file counts."""
+    known = docs.select("id").distinct().withColumn("known", F.lit(True))
+    rows = new.groupBy("id").agg(F.max("file_size").alias("file_size")).join(known, "id", "left")
     return rows.select("id", F.when(F.coalesce("file_size", F.lit(0)) <= 0, "error").when(F.col("known"), "skipped").otherwise("imported").alias("outcome"))
 
 
@@ -70,6 +105,12 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("document_id").agg(F.max_by(F.struct("version_number", "blob_id", "size"), "version_number").alias("v")).select("document_id", "v.*")
 
 
+def version_history(versions: DataFrame) -> DataFrame:
+    """document_id, place (1 is the newest), version_number, blob_id, size of all versions, newest first."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("version_number")))
+    return versions.select("document_id", place.alias("place"), "version_number", "blob_id", "size")
+
+
 def bytes_as_of(versions: DataFrame, moment) -> DataFrame:
     """document_id, version_number, size as they stood at the moment."""
     return latest_version(versions.where(F.col("created_at") <= F.lit(moment)))
@@ -80,17 +121,30 @@ def delete_documents(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str,
     return {name: t.join(ids, "document_id", "left_anti") for name, t in tables.items()}
 
 
-def folder_tree(folders: DataFrame, depth: int = 20) -> DataFrame:
-    """ancestor, id, level for every folder (id, parent_id) below each one, itself at 0; deeper than depth is a cycle."""
-    up = folders.select("id", "parent_id")
-    found = up.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("level"))
-    step = found
-    for level in range(1, depth + 1):
-        step = step.join(up.select(F.col("id").alias("child"), F.col("parent_id")), F.col("id") == F.col("parent_id")).select("ancestor", F.col("child").alias("id"), F.lit(level).alias("level"))
-        if not step.head(1):
-            break
+def folder_tree(folders: DataFrame) -> DataFrame:
+    """ancestor, id, level for every folder (id, parent_id) below each one, itself at 0, however deep.
+
+    Each level is written to the shared folder and joined once more. A folder that is its own ancestor is met again at the
+    end of its ring, and there it ends. Roots are folders whose parent is null or unknown.
+    """
+    up = folders.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where("id is not null")
+    found = step = folders.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("level"))
+    level = 0
+    while True:
+        level += 1
+        below = step.join(up, "id").where("child <> ancestor").select("ancestor", F.col("child").alias("id"), F.lit(level).alias("level"))
+        step = materialised(below, "folders")
+        if step.isEmpty():
+            return found
         found = found.unionByName(step)
-    return found
+
+
+def delete_folder(folders: DataFrame, docs: DataFrame, folder_id, target=None) -> tuple[DataFrame, DataFrame]:
+    """The folders without one and all below it, and the documents, those in them moved to the target folder (null: to the root)."""
+    gone = folder_tree(folders).where(F.col("ancestor") == F.lit(folder_id)).select(F.col("id").alias("gone"))
+    kept = folders.join(gone, folders["id"] == gone["gone"], "left_anti")
+    moved = docs.join(gone, docs["folder_id"] == gone["gone"], "left").withColumn("folder_id", F.when(F.col("gone").isNotNull(), F.lit(target)).otherwise(F.col("folder_id"))).drop("gone")
+    return kept, moved
 
 
 def folder_counts(docs: DataFrame, folders: DataFrame) -> DataFrame:
@@ -115,14 +169,100 @@ def human_size(n: Column) -> Column:
     units = F.array(*map(F.lit, ("Bytes", "KB", "MB", "GB", "TB")))
     step = F.when(n >= 1024**4, 4).when(n >= 1024**3, 3).when(n >= 1024**2, 2).when(n >= 1024, 1).otherwise(0)
     number = F.regexp_replace(F.format_string("%.2f", F.round(n / F.pow(F.lit(1024.0), step), 2)), r"\.?0+$", "")
-    return F.when(n <= 0, "0 Bytes").otherwise(F.concat_ws(" ", number, F.get(units, step)))
+    return F.when(n < 0, "Invalid size").when(n == 0, "0 Bytes").otherwise(F.concat_ws(" ", number, F.get(units, step)))
 
 
 def extension(name: Column) -> Column:
-    """What follows the last dot, in lower case; empty without one."""
-    return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    """What follows the last dot, in lower case; empty without one, for names that begin with it, and where nothing follows."""
+    return F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1))
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds as "850ms", "2.5s", "1m 30s" or "2h 5m"."""
+    seconds = F.floor(ms / 1000)
+    minutes, hours = F.floor(seconds / 60), F.floor(seconds / 3600)
+    two = lambda a, x, b, y: F.when(b > 0, F.concat(a.cast("string"), F.lit(f"{x} "), b.cast("string"), F.lit(y))).otherwise(F.concat(a.cast("string"), F.lit(x)))
+    return (
+        F.when(ms < 0, "Invalid duration").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(seconds < 60, F.format_string("%.1fs", F.floor(ms / 100 + 0.5) / 10))
+        .when(minutes < 60, two(minutes, "m", seconds % 60, "s")).otherwise(two(hours, "h", minutes % 60, "m"))
+    )
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How long ago: "just now", "5 minutes ago", up to years of 365 days."""
+    seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(at.cast("timestamp"))
+    out = F.when(seconds < 60, "just now")
+    # Unit, its seconds and the seconds at which the next one takes over.
+    for unit, size, up_to in (("minute", 60, 3600), ("hour", 3600, 86_400), ("day", 86_400, 7 * 86_400), ("week", 7 * 86_400, 28 * 86_400), ("month", 30 * 86_400, 360 * 86_400), ("year", 365 * 86_400, None)):
+        # Between 28 and 30 days, and 360 and 365, the larger unit counts 0.
+        n = F.floor(seconds / size)
+        text = F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+        out = out.when(seconds < up_to, text) if up_to else out.otherwise(text)
+    return out
+
+
+def truncate(text: Column, most: int, suffix: str = "...") -> Column:
+    """The text, cut so that with the suffix it has most characters if it has more."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - len(suffix)), F.lit(suffix)))
+
+
+def sanitize_filename(name: Column) -> Column:
+    """Characters that file systems refuse become _, dots in front one _, dots at the end go; "unnamed" where nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"^\.+", "_"), r"\.+$", "")
+    return F.coalesce(F.nullif(F.trim(clean), F.lit("")), F.lit("unnamed"))
+
+
+def output_name(name: Column, suffix: str, extension_to: str | None = None) -> Column:
+    """The file name with the suffix before its extension, or before a new one."""
+    dotted = name.rlike(r"(?s)^.+\.[^.]*$")
+    base = F.when(dotted, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    tail = F.lit("." + extension_to.removeprefix(".")) if extension_to else F.when(dotted, F.regexp_extract(name, r"\.[^.]*$", 0)).otherwise("")
+    return sanitize_filename(F.concat(base, F.lit(suffix), tail))
+
+
+def artifact_name(name: Column) -> Column:
+    """The last part of a path with all but letters, digits, dots, dashes and underscores replaced; null if nothing or only dots are left."""
+    safe = F.regexp_replace(F.regexp_extract(name, r"([^/]*)/*$", 1), "[^a-zA-Z0-9._-]", "_")
+    return F.when(~safe.isin("", ".", ".."), safe)
+
+
+def mime_type(extension_of: Column) -> Column:
+    """The MIME type of an extension, with or without a dot; application/octet-stream for others."""
+    types = F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv])
+    return F.coalesce(F.try_element_at(types, F.regexp_replace(F.lower(extension_of), r"^\.", "")), F.lit("application/octet-stream"))
 
 
 def distinct_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key in the given order; null is a key."""
+    n = _fresh(rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(n) == 1).drop(n)
+
+
+def chunk_rows(rows: DataFrame, size: int, group: str, *order: str) -> DataFrame:
+    """The rows with chunk: 0-based groups of size rows in the given order within each value of the column group."""
+    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / size).cast("int"))
+
+
+def _fresh(rows: DataFrame) -> str:
+    """A column name that the rows don't have."""
+    return "_" * (1 + max(map(len, rows.columns), default=0)) + "n"
+
+
+def annotation_counts(annotations: DataFrame) -> DataFrame:
+    """document_id, page, type, annotations, unlocked: by page and type, by page (type null) and by document (both null)."""
+    return annotations.rollup("document_id", "page", "type").agg(F.count(F.lit(1)).alias("annotations"), F.count_if(~F.coalesce("locked", F.lit(False))).alias("unlocked")).where("document_id is not null")
+
+
+def filter_annotations(annotations: DataFrame, page: int | None = None, kind: str | None = None, unlocked: bool = False) -> DataFrame:
+    """Annotations of a page, of a type, or that aren't locked."""
+    kept = annotations if page is None else annotations.where(F.col("page") == page)
+    kept = kept if kind is None else kept.where(F.col("type") == kind)
+    return kept.where(~F.coalesce("locked", F.lit(False))) if unlocked else kept
+
+
+def move_annotations(annotations: DataFrame, moves: DataFrame, at) -> DataFrame:
+    """The annotations, those in moves (id, to_page) on their new page and changed at the given time; locked ones stay. Of several moves of one the largest page counts."""
+    to = moves.groupBy("id").agg(F.max("to_page").alias("to_page"))
+    rows = annotations.join(to, "id", "left")
+    go = F.col("to_page").isNotNull() & ~F.coalesce("locked", F.lit(False))
+    return rows.withColumn("page", F.when(go, F.col("to_page")).otherwise(F.col("page"))).withColumn("updated_at", F.when(go, F.lit(at)).otherwise(F.col("updated_at"))).drop("to_page")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.folds import fold_rows
+
 
 def parse_page_ranges(spec: Column, last: Column) -> Column:
     """"1-5, 8" as array<struct<start,end>>; null if any part is bad or out of range, or there is none."""
@@ -34,22 +34,58 @@ def split_every(manifest: DataFrame, n: int) -> DataFrame:
     return manifest.groupBy("doc_id", part.alias("part")).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("pages"))
 
 
+def split_plan(manifest: DataFrame, mode: str = "single", pages: tuple[int, ...] = (), parts: int = 2, prefix: str = "split") -> DataFrame:
+    """doc_id, part, first_page, last_page, pages, filename, error: one row for each output.
+
+    mode: single (every page), pages (those listed, in their order), even, odd, or parts (so many runs of equal length, the last ones
+    shorter or missing). Listed pages out of range, and documents without such pages, give one error row.
+    """
+    last = F.max("page").over(Window.partitionBy("doc_id"))
+    rows = manifest.select("doc_id", "page").withColumn("total", last)
+    if mode == "parts":
+        each = F.ceil(F.col("total") / parts)
+        rows = rows.withColumn("part", (F.floor((F.col("page") - 1) / each) + 1).cast("int"))
+    elif mode == "pages":
+        wanted = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(i + 1).alias("part")) for i, p in enumerate(pages)])
+        docs = rows.groupBy("doc_id").agg(F.max("total").alias("total"))
+        bad = docs.where(F.exists(F.array(*map(F.lit, pages)), lambda p: (p < 1) | (p > F.col("total"))))
+        rows = docs.join(bad.select("doc_id"), "doc_id", "left_anti").select("doc_id", "total", F.inline(wanted))
+        failed = bad.select("doc_id", F.lit("PAGE_OUT_OF_RANGE").alias("error"))
+    else:
+        if mode in ("even", "odd"):
+            none = rows.groupBy("doc_id").agg(F.count_if(F.col("page") % 2 == (0 if mode == "even" else 1)).alias("n")).where("n = 0")
+            failed = none.select("doc_id", F.lit("NO_PAGES").alias("error"))
+            rows = rows.where(F.col("page") % 2 == (0 if mode == "even" else 1))
+        rows = rows.withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
+    plan = rows.groupBy("doc_id", "part").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("pages"), F.max("total").alias("total"))
+    single = (F.col("first_page") == F.col("last_page")) | (F.count(F.lit(1)).over(Window.partitionBy("doc_id")) == F.col("total"))
+    name = F.when(single, F.concat(F.lit(f"{prefix}_page"), "first_page", F.lit(".pdf"))).otherwise(F.concat(F.lit(f"{prefix}_pages"), "first_page", F.lit("-"), "last_page", F.lit(".pdf")))
+    plan = plan.select("doc_id", "part", "first_page", "last_page", "pages", name.alias("filename"), F.lit(None).cast("string").alias("error"))
+    return plan.unionByName(failed, allowMissingColumns=True) if mode in ("pages", "even", "odd") else plan
+
+
 def split_by_size(manifest: DataFrame, max_bytes: int) -> DataFrame:
-    """doc_id, part, page: a part ends before the page that would take it over max_bytes (at least 1024); one page may exceed it alone."""
+    """doc_id, part, page: a part ends before the page that would take it over max_bytes (at least 1024); one page may exceed it alone.
+
+    A document's pages stream through one task in order; a null size counts as none.
+    """
     if max_bytes < 1024:
         raise ValueError("max_bytes must be at least 1024")
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page")
-        part, used, parts = 1, 0, []
-        for size in group["byte_size"]:
+    def start():
+        part, used = 1, 0
+
+        def step(size: int | None) -> tuple[int]:
+            nonlocal part, used
+            size = size or 0
             if used and used + size > max_bytes:
                 part, used = part + 1, 0
             used += size
-            parts.append(part)
-        return pd.DataFrame({"doc_id": group["doc_id"], "part": parts, "page": group["page"]})
+            return (part,)
 
-    return manifest.select("doc_id", "page", "byte_size").groupBy("doc_id").applyInPandas(greedy, "doc_id bigint, part int, page int")
+        return step
+
+    return fold_rows(manifest.select("doc_id", "page", "byte_size"), ["doc_id"], ["page"], ["byte_size"], "part int", start).select("doc_id", "part", "page")
 
 
 def split_by_bookmark(manifest: DataFrame, outline: DataFrame) -> DataFrame:
@@ -61,12 +97,36 @@ def split_by_bookmark(manifest: DataFrame, outline: DataFrame) -> DataFrame:
     return starts.select("doc_id", F.row_number().over(w).alias("part"), "start", F.coalesce(F.lead("start").over(w) - 1, F.col("last")).alias("end"))
 
 
+def extract_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page, new_page, error of the pages (doc_id, page) wanted of each document, once each and in order.
+
+    Pages the document doesn't have make it one error row instead.
+    """
+    wanted = pages.select("doc_id", "page").distinct().join(manifest.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = wanted.join(manifest.select("doc_id", "page", F.lit(True).alias("here")), ["doc_id", "page"], "left")
+    found = found.withColumn("bad", F.max(F.col("here").isNull()).over(Window.partitionBy("doc_id")))
+    kept = found.where("not bad").select("doc_id", "page", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")).alias("new_page"), F.lit(None).cast("string").alias("error"))
+    return kept.unionByName(found.where("bad").select("doc_id", F.lit("PAGE_OUT_OF_RANGE").alias("error")).distinct(), allowMissingColumns=True)
+
+
 def remove_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, page, new_page of the pages that stay, numbered anew."""
     kept = manifest.select("doc_id", "page").join(pages, ["doc_id", "page"], "left_anti")
     return kept.withColumn("new_page", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
 
 
+def emptied_documents(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, error of documents of which the pages removed are all there are."""
+    left = manifest.select("doc_id", "page").join(pages, ["doc_id", "page"], "left_anti").select("doc_id").distinct()
+    return manifest.select("doc_id").distinct().join(left, "doc_id", "left_anti").select("doc_id", F.lit("NO_PAGES_LEFT").alias("error"))
+
+
+def reorder_pages(manifest: DataFrame, orders: DataFrame) -> DataFrame:
+    """doc_id, page, new_page: pages at their place in the document's order (doc_id, order: array of pages); places of unknown pages stay empty."""
+    placed = orders.select("doc_id", F.posexplode("order").alias("i", "page"))
+    return placed.join(manifest.select("doc_id", "page"), ["doc_id", "page"]).select("doc_id", "page", (F.col("i") + 1).alias("new_page"))
+
+
 def merge_plan(docs: DataFrame) -> DataFrame:
     """bundle, doc_id, page_offset, page_count: documents (bundle, position, doc_id, page_count) laid end to end."""
     w = Window.partitionBy("bundle").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,21 +147,24 @@ def page_labels(manifest: DataFrame, form: str = "x-of-y", custom: str = "") ->
     return manifest.select("doc_id", "page", label.alias("label"))
 
 
-def bates_numbers(manifest: DataFrame, prefix: str = "", suffix: str = "", start: int = 1, digits: int = 6) -> DataFrame:
-    """doc_id, page, bates: one running number over all documents, in doc_id and page order.
+def bates_numbers(manifest: DataFrame, prefix: str = "", suffix: str = "", start: int = 1, digits: int = 6, per_zone: int = 100_000, most_zones: int = 10_000) -> DataFrame:
+    """doc_id, page, bates: one running number over all documents, in doc_id and page order. doc_id is a number; rows without one are left out.
 
-    Only the documents' page counts are summed up in order, by ranges of doc_id; pages are numbered within their document.
+    Documents are cut into zones of about per_zone at quantiles of doc_id, whatever their spread. Only the zones' sums, most_zones at
+    most, are added up in one task; documents are numbered within their zone and pages within their document.
     """
-    counts = manifest.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    # Blocks of 1,000 ids: sums of blocks are few, and each block is summed up on its own.
-    counts = counts.withColumn("block", F.floor(F.col("doc_id") / 1000))
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("m"))
-    wide = blocks.withColumn("zone", F.floor(F.col("block") / 1000))
-    zones = wide.groupBy("zone").agg(F.sum("m").alias("z"))
+    counts = manifest.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    zones = max(1, min(most_zones, counts.count() // per_zone))
+    cuts = sorted(set(counts.approxQuantile("doc_id", [i / zones for i in range(1, zones)], 0.25 / zones))) if zones > 1 else []
+    inf = float("inf")
+    if cuts:
+        zoned = Bucketizer(splits=[-inf, *cuts, inf], inputCol="at", outputCol="zone").transform(counts.withColumn("at", F.col("doc_id").cast("double"))).drop("at")
+    else:
+        zoned = counts.withColumn("zone", F.lit(0.0))
     before = lambda key, part, x: F.coalesce(F.sum(x).over(Window.partitionBy(*part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    zones = zones.select("zone", before("zone", [], "z").alias("zone_before"))
-    wide = wide.join(zones, "zone").select("block", (F.col("zone_before") + before("block", ["zone"], "m")).alias("block_before"))
-    first = counts.join(wide, "block").select("doc_id", (F.col("block_before") + before("doc_id", ["block"], "n")).alias("first"))
+    sums = zoned.groupBy("zone").agg(F.sum("n").alias("z"))
+    sums = sums.select("zone", before("zone", [F.lit(0)], "z").alias("zone_before"))
+    first = zoned.join(F.broadcast(sums), "zone").select("doc_id", (F.col("zone_before") + before("doc_id", ["zone"], "n")).alias("first"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
     number = (F.col("first") + nth + F.lit(start - 1)).cast("string")
     padded = F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number)
@@ -114,28 +177,30 @@ def image_inventory(images: DataFrame, min_width: int = 0, min_height: int = 0)
     return one.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("images"), F.sum("px").alias("pixels"))
 
 
+def window_counter(limit: int, window_ms: int, reset: int | None = None, count: int = 0):
+    """A client's limiter: a step from a request's time to (allowed, retry_after in seconds), and its state (reset, count)."""
+
+    def step(at: int) -> tuple[bool, int]:
+        nonlocal reset, count
+        if reset is None or reset <= at:
+            reset, count = at + window_ms, 0
+        if count >= limit:
+            return False, -(-(reset - at) // 1000)
+        count += 1
+        return True, 0
+
+    return step, lambda: (reset, count)
+
+
 def rate_limit(requests: DataFrame, limit: int = 30, window_ms: int = 60_000) -> DataFrame:
     """client, request_id, allowed, retry_after: a client's window opens at its first request and holds limit requests.
 
-    requests: (client, request_id, at_ms). One client's requests are folded in time order; retry_after is in seconds.
+    requests: (client, request_id, at_ms). A client's requests stream through one task in order of time; only its window is
+    held. retry_after is in seconds. The order is what the limit is about, so a client is never spread over tasks.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reset, count = None, 0
-        for b in batches:
-            allowed, retry = [], []
-            for at in b["at_ms"].tolist():
-                if reset is None or reset <= at:
-                    reset, count = at + window_ms, 0
-                count += 1
-                allowed.append(count <= limit)
-                retry.append(0 if count <= limit else -(-(reset - at) // 1000))
-            yield pd.DataFrame({"client": b["client"], "request_id": b["request_id"], "allowed": allowed, "retry_after": retry})
-
-    def per_client(group: pd.DataFrame) -> pd.DataFrame:
-        return next(fold(iter([group.sort_values(["at_ms", "request_id"])])))
-
-    return requests.select("client", "request_id", "at_ms").groupBy("client").applyInPandas(per_client, "client bigint, request_id bigint, allowed boolean, retry_after bigint")
+    rows = requests.select("client", "request_id", "at_ms").where("at_ms is not null")
+    found = fold_rows(rows, ["client"], ["at_ms", "request_id"], ["at_ms"], "allowed boolean, retry_after bigint", lambda: window_counter(limit, window_ms)[0])
+    return found.select("client", "request_id", "allowed", "retry_after")
 
 
 def request_counts(requests: DataFrame, width: str = "1 hour") -> DataFrame:

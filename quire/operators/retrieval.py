@@ -3,50 +3,71 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+|[^.!?]+$")
+# The lines of a prompt.
+PROMPT_CONTEXT = ("## Document Context\n", "Use the following excerpts from the document to answer the question.", "Always cite the page number when referencing specific information.\n")
+PROMPT_NO_CONTEXT = ("No relevant context was found in the document for this question.", "Please answer based on your general knowledge, and note that the information may not be from the document.")
+PROMPT_RULES = ("\n## Instructions\n", "- Answer the question based on the provided context", "- Include page number citations when referencing specific information", "- If the context does not contain enough information, say so clearly", "- Be concise and accurate")
 CHUNK = "array<struct<content:string,start_offset:int,end_offset:int>>"
+#: A sentence with the marks that end it, or what follows the last one.
+_SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+|$)")
+
+
+def _pieces(clean: str, size: int) -> list[tuple[str, int, bool]]:
+    """(text, length of all sentences before, is a word) of what chunks are made of: sentences, and the words of a first one that is too long."""
+    found = _SENTENCE.findall(clean) or [clean]
+    before = [0, *accumulate(map(len, found))]
+    out = [(s.strip(), at, False) for s, at in zip(found, before)]
+    if len(out[0][0]) >= size:
+        out[:1] = [(w, 0, True) for w in out[0][0].split(" ")]
+    return out
+
+
+def chunk_bounds(pieces: list[tuple[int, bool]], size: int, overlap: int) -> list[int]:
+    """The pieces that begin a chunk, from lengths alone: a piece begins one if with a space it doesn't fit. A sentence brings the overlap along, a word doesn't."""
+    begins, held = [0], 0
+    for i, (n, word) in enumerate(pieces):
+        if held + n + 1 <= size:
+            held += n + (held > 0)
+        elif word or not held:
+            begins += [i] * (held > 0)
+            held = n
+        else:
+            begins.append(i)
+            held = min(overlap, held) + 1 + n
+    return begins
 
 
 def split_chunks(text: str | None, size: int, overlap: int) -> list[tuple[str, int, int]]:
-    """Chunks of one page: sentences are packed up to size, the last characters of a chunk begin the next one.
+    """(content, start_offset, end_offset) of a page's chunks; white space is collapsed first.
 
-    Only a too long sentence that comes first is packed by words; white space is collapsed first.
+    A text of at most size characters is one chunk. In others a chunk is the last overlap characters of the one before, a space and
+    whole sentences, as many as fit; a sentence that doesn't fit at all is a chunk too. Offsets count the sentences' characters.
     """
     clean = " ".join((text or "").split())
-    if not clean:
-        return []
     if len(clean) <= size:
-        return [(clean, 0, len(clean))]
+        return [(clean, 0, len(clean))] if clean else []
+    pieces = _pieces(clean, size)
+    begins = chunk_bounds([(len(s), word) for s, _, word in pieces], size, overlap)
     out: list[tuple[str, int, int]] = []
-    held, start, at = "", 0, 0
-    for sentence in _SENTENCE.findall(clean) or [clean]:
-        s = sentence.strip()
-        if len(held) + len(s) + 1 <= size:
-            held = f"{held} {s}" if held else s
-        elif held:
-            out.append((held, start, at))
-            tail = held[-overlap:] if overlap else held
-            start, held = at - len(tail), f"{tail} {s}"
-        else:
-            for word in s.split(" "):
-                if len(held) + len(word) + 1 <= size:
-                    held = f"{held} {word}" if held else word
-                else:
-                    if held:
-                        out.append((held, start, at))
-                        start = at
-                    held = word
-        at += len(sentence)
-    if held.strip():
-        out.append((held.strip(), start, len(clean)))
-    return out
+    for a, b in zip(begins, [*begins[1:], len(pieces)]):
+        content = " ".join(s for s, _, _ in pieces[a:b])
+        at, tail = pieces[a][1], ""
+        if out and not pieces[a][2]:
+            tail = out[-1][0][-overlap:] if overlap else ""
+            content = f"{tail} {content}"
+        end = pieces[b][1] if b < len(pieces) else len(clean)
+        out.append((content, at - len(tail), end))
+    last = out[-1]
+    return [*out[:-1], (last[0].strip(), *last[1:])] if last[0].strip() else out[:-1]
 
 
 def chunk_text(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
@@ -68,39 +89,58 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors must have the same length"))).when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, min_similarity: float = 0.3, query_block: int = 1024) -> DataFrame:
-    """query_id, rank, chunk_id, score of the top_k chunks (chunk_id, embedding) for each query (query_id, vector).
+def _blocked(queries: DataFrame, chunks: DataFrame, query_block: int, chunk_block: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """query_id, chunk_id, score of pairs of a query (query_id, vector) and a chunk (chunk_id, embedding) that keep(scores, chunk_ids) chooses in each row of a block.
 
-    The queries go to every task in blocks of query_block, so what is sent is bounded; each task keeps its own top_k a
-    query before the shuffle. Ties go to the smaller chunk_id. Chunks without a vector take no part.
+    Queries and chunks are dealt to blocks of bounded size by their ids; every pair of blocks meets in one task, as one matrix
+    product. Null vectors take no part. Vectors must have one length.
+    """
+    q = queries.where("vector is not null").select(F.col("query_id").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    c = chunks.where("embedding is not null").select(F.col("chunk_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    n_q, n_c = max(1, -(-q.count() // query_block)), max(1, -(-c.count() // chunk_block))
+    spread = lambda d, own, n_own, other, n_other: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        if x.size and len(set(np.diff(flat.offsets.to_numpy()).tolist())) > 1:
+            raise ValueError("vectors must have the same length")
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if left.num_rows and right.num_rows:
+            ids = right.column("id").to_numpy()
+            for mine, row in zip(left.column("id").to_pylist(), unit(left.column("v")) @ unit(right.column("v")).T):
+                best = keep(row, ids)
+                for o, x in zip(out, (np.full(len(best), mine), ids[best], row[best])):
+                    o.append(x)
+        kinds = np.int64, np.int64, np.float64
+        return pa.table([pa.array(np.concatenate(o) if o else np.empty(0, t)) for o, t in zip(out, kinds)], names=["query_id", "chunk_id", "score"])
+
+    left = spread(q, "qb", n_q, "cb", n_c).groupBy("qb", "cb")
+    right = spread(c, "cb", n_c, "qb", n_q).select("id", "v", "qb", "cb").groupBy("qb", "cb")
+    return left.cogroup(right).applyInArrow(score, "query_id bigint, chunk_id bigint, score double")
+
+
+def vector_scores(queries: DataFrame, chunks: DataFrame, query_block: int = 1024, chunk_block: int = 50_000) -> DataFrame:
+    """query_id, chunk_id, score: the cosine of every query (query_id, vector) with every chunk (chunk_id, embedding); 0 where a norm is."""
+    return _blocked(queries, chunks, query_block, chunk_block, lambda row, ids: np.arange(len(row)))
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, min_similarity: float = 0.3, query_block: int = 1024, chunk_block: int = 50_000, document_ids: tuple = ()) -> DataFrame:
+    """query_id, rank, chunk_id, score of the top_k chunks (chunk_id, embedding, and doc_id if document_ids are chosen) for each query (query_id, vector).
+
+    Blocks of queries meet blocks of chunks, and each pair of blocks passes on its own top_k a query. Ties go to the smaller chunk_id; a
+    chunk_id that stands more than once counts once, with its best score. Chunks without a vector take no part.
     """
-    def block(rows: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        q = np.array([r["vector"] for r in rows], np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = np.array(b["embedding"].tolist(), np.float64)
-                if not len(x):
-                    continue
-                s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                c = b["chunk_id"].to_numpy()
-                for i, row in zip(ids, s):
-                    best = np.lexsort((c, -row))[:top_k]
-                    best = best[row[best] >= min_similarity]
-                    yield pd.DataFrame({"query_id": np.full(len(best), i), "chunk_id": c[best], "score": row[best]})
-
-        return chunks.where("embedding is not null").select("chunk_id", "embedding").mapInPandas(score, "query_id bigint, chunk_id bigint, score double")
-
-    found, held = None, []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        held.append(row)
-        if len(held) == query_block:
-            found, held = (block(held) if found is None else found.unionByName(block(held))), []
-    if held or found is None:
-        last = block(held) if held else chunks.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, score double")
-        found = last if found is None else found.unionByName(last)
+    chunks = chunks.where(F.col("doc_id").isin(*document_ids)) if document_ids else chunks
+
+    def best(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        good = np.flatnonzero(row >= min_similarity)
+        return good[np.lexsort((ids[good], -row[good]))][:top_k]
+
+    found = _blocked(queries, chunks.dropDuplicates(["chunk_id"]), query_block, chunk_block, best).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "score")
 
@@ -123,9 +163,32 @@ def citations(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(docs.select("doc_id", "filename"), "doc_id", "left").select("query_id", "rank", F.coalesce("filename", F.lit("Unknown")).alias("filename"), "page", F.substring("content", 1, 200).alias("snippet"), "score")
 
 
+def build_prompts(queries: DataFrame, hits: DataFrame, max_length: int = 4000, page_numbers: bool = True, instructions: str = "") -> DataFrame:
+    """query_id, prompt, tokens (a quarter of the characters, rounded up), has_context for every query (query_id, question).
+
+    hits (query_id, rank, page, content) become excerpts by rank, whole ones only, until one doesn't fit in max_length. Queries without
+    hits get the text for none.
+    """
+    page = F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("] ")) if page_numbers else F.lit("")
+    rows = hits.select("query_id", "rank", F.concat(page, F.coalesce("content", F.lit("")), F.lit("\n")).alias("entry"))
+    so_far = F.sum(F.length("entry")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    # The sum grows with the rank: entries are taken up to the first that doesn't fit.
+    found = rows.withColumn("used", so_far).groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("used") <= max_length, F.struct("rank", "entry")))).alias("kept"), F.count(F.lit(1)).alias("n"))
+    asked = queries.select("query_id", "question").join(found, "query_id", "left")
+    has = F.coalesce(F.col("n") > 0, F.lit(False))
+    context = F.when(has, F.concat(F.array(*map(F.lit, PROMPT_CONTEXT)), F.transform("kept", lambda e: e["entry"]))).otherwise(F.array(*map(F.lit, PROMPT_NO_CONTEXT)))
+    parts = F.concat(F.array(F.lit(instructions)) if instructions else F.array().cast("array<string>"), context, F.array(F.lit("\n## Question\n"), F.col("question")), F.array(*map(F.lit, PROMPT_RULES)))
+    return asked.select("query_id", F.array_join(parts, "\n", "").alias("prompt"), has.alias("has_context")).withColumn("tokens", F.ceil(F.length("prompt") / 4).cast("int"))
+
+
 def attach_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The chunks with their stored vectors (chunk_id, embedding), null where there is none."""
-    return chunks.join(vectors, "chunk_id", "left")
+    """The chunks (doc_id, chunk_id, ...) with their stored vectors (doc_id, chunk_id, embedding), null where there is none."""
+    return chunks.join(vectors.select("doc_id", "chunk_id", "embedding"), ["doc_id", "chunk_id"], "left")
+
+
+def indexed_documents(attached: DataFrame) -> DataFrame:
+    """doc_id, chunks, embedded, indexed (at least one chunk has a vector)."""
+    return attached.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("embedded")).withColumn("indexed", F.col("embedded") > 0)
 
 
 def index_incremental(chunks: DataFrame, index: DataFrame, force: bool = False) -> DataFrame:

@@ -47,6 +47,20 @@ def search_text(pages: DataFrame, query: str, around: int = 30, max_results: int
     return found if max_results is None else found.where(F.col("match_index") < max_results)
 
 
+def match_rects(matches: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, page, start, text, x, y, width, height: the box of all items whose characters a match shares; matches with none are dropped.
+
+    matches (doc_id, page, start, text) of page texts that items (doc_id, page, item_idx, str, x, y, width, height, has_eol) make up in order with a break after
+    each item that ends a line. An interval join within pages.
+    """
+    length = F.length("str") + F.coalesce(F.col("has_eol"), F.lit(False)).cast("int")
+    before = Window.partitionBy("doc_id", "page").orderBy("item_idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = items.select("doc_id", "page", "x", "y", "width", "height", F.coalesce(F.sum(length).over(before), F.lit(0)).alias("i_start"), F.length("str").alias("n"))
+    found = matches.select("doc_id", "page", "start", "text").join(placed, ["doc_id", "page"]).where("i_start < start + length(text) and i_start + n > start")
+    boxes = found.groupBy("doc_id", "page", "start", "text").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max("height").alias("height"))
+    return boxes.select("doc_id", "page", "start", "text", "x", "y", (F.col("right") - F.col("x")).alias("width"), "height")
+
+
 def count_matches(pages: DataFrame, query: str, **options) -> DataFrame:
     """doc_id, page, matches: of a document as a whole where page is null."""
     n = F.regexp_count("text", F.lit(query_pattern(query, **options)))

@@ -1,10 +1,14 @@
-"""Page texts: assembly from positioned items, conversion, paragraphs, hashes."""
+"""Page texts: assembly from positioned items, conversion, paragraphs, hashes.
+
+Null texts stay null in columns and are left out of joined texts; empty ones stay empty; repeated rows and equal ids count each; empty
+tables give no rows; columns not named are ignored.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The replacements of each conversion, in the order in which they apply.
@@ -50,6 +54,7 @@ MARKDOWN_TO_HTML = (
     (r"\n", "<br>"),
 )
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;"))
+HTML_HEAD = ('<!DOCTYPE html>\n<html lang="en">\n<head>\n  <meta charset="UTF-8">\n  <title>', "</title>\n</head>\n<body>\n  <h1>", "</h1>\n")
 OCR_LANGUAGES = ("eng", "spa", "fra", "deu", "ita", "por", "nld", "pol", "rus", "jpn", "chi_sim", "chi_tra", "kor", "ara", "hin")
 
 
@@ -71,6 +76,23 @@ def escape_html(text: Column) -> Column:
     return reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), ESCAPES, text)
 
 
+def pages_to_html(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id, html of (doc_id, page, text) and (doc_id, title): each page as "Page i of n" with its text as it stands; untitled documents are "Converted PDF"."""
+    total = F.count(F.lit(1)).over(Window.partitionBy("doc_id")).cast("string")
+    number = F.concat(F.lit("    <div class=\"page-number\">Page "), F.col("page").cast("string"), F.lit(" of "), total, F.lit("</div>\n"))
+    block = F.concat(F.lit("  <div class=\"page\">\n"), number, F.lit("    <pre>"), escape_html(F.trim(F.coalesce("text", F.lit("")))), F.lit("</pre>\n  </div>"))
+    body = pages.select("doc_id", "page", block.alias("block")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "block"))), lambda b: b["block"]), "\n").alias("body"))
+    rows = body.join(titles.groupBy("doc_id").agg(F.min("title").alias("title")), "doc_id", "left")
+    title = escape_html(F.coalesce("title", F.lit("Converted PDF")))
+    head = F.concat(F.lit(HTML_HEAD[0]), title, F.lit(HTML_HEAD[1]), title, F.lit(HTML_HEAD[2]))
+    return rows.select("doc_id", F.concat(head, "body", F.lit("\n</body>\n</html>")).alias("html"))
+
+
+def valid_ocr_language(code: Column) -> Column:
+    """Whether a language code is one of the 15 that recognition knows; false for null."""
+    return F.coalesce(code.isin(*OCR_LANGUAGES), F.lit(False))
+
+
 def full_text(pages: DataFrame) -> DataFrame:
     """doc_id, text (pages in order, a blank line between, trimmed), characters."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classify, corpus, entities, pages, records
+from . import classify, corpus, entities, layout, more, pages, records
 
-MODULES = (entities, classify, corpus, records, pages)
+MODULES = (entities, classify, corpus, layout, records, pages, more)
 
 
 def queries() -> dict:

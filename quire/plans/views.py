@@ -111,3 +111,38 @@ DOC_PAGES = """SELECT doc_id, page, substring(text, (page - 1) * 1000 + 1, 1000)
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "text", "explode(sequence(1L, greatest(1L, cast(ceil(length(text) / 1000.0D) as bigint)))) AS page")
     return docs.selectExpr("doc_id", "page", "substring(text, cast((page - 1) * 1000 + 1 as int), 1000) AS text")
+
+
+_LINE = "(CASE WHEN k >= 5 THEN 0 ELSE line END)"
+_COL = "(k % 5)"
+#: doc_id, page, item_idx, str, x, y, width, height, font_size, font_name, has_eol: five items for each order line, and a header line.
+_ITEMS = f"""o AS doc_id, CASE WHEN {_LINE} >= 5 THEN 2 ELSE 1 END AS page, cast(5 * {_LINE} + {_COL} as int) AS item_idx,
+ CASE WHEN k >= 5 THEN {_words(_COL, 'No', 'Item', 'Qty', 'Price', 'Status')} WHEN (pk + {_COL}) % 7 = 0 THEN ' ' ELSE {_pick(_COL, 'cast(line as string)', "'Part ' || cast(pk as string)", 'cast(pk % 50 as string)', "cast(sk as string) || '.' || cast(10 + pk % 90 as string)", "'open, ' || cast(sk % 9 as string)")} END AS str,
+ cast(50 + 100 * {_COL} + pk % 3 as double) AS x, cast(700 - 20 * {_LINE} + (sk + {_COL}) % 3 as double) AS y, cast(60 + 39 * (pk % 2) as double) AS width, cast(10 as double) AS height,
+ cast(CASE WHEN {_LINE} % 3 = 0 THEN 18 WHEN line % 3 = 1 AND pk % 5 = 0 THEN 14 ELSE 11 END as double) AS font_size, CASE WHEN {_LINE} % 3 = 0 THEN 'Sans-Bold' ELSE 'Sans' END AS font_name, {_COL} = 4 AS has_eol"""
+_ORDER_LINES = "SELECT l_orderkey AS o, l_linenumber AS line, min(l_partkey) AS pk, min(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey, l_linenumber"
+TEXT_ITEMS = f"SELECT {_ITEMS} FROM (SELECT *, unnest(range(0, CASE WHEN line = 1 THEN 10 ELSE 5 END)) AS k FROM ({_ORDER_LINES}))"
+
+
+def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg({"l_partkey": "min", "l_suppkey": "min"})
+    lines = lines.selectExpr("l_orderkey AS o", "l_linenumber AS line", "`min(l_partkey)` AS pk", "`min(l_suppkey)` AS sk")
+    return lines.selectExpr("*", "explode(sequence(0L, if(line = 1, 9L, 4L))) AS k").selectExpr(*_list(_ITEMS))
+
+
+#: doc_id, page, item_idx, str, x, y, width, height: the items of one form for each customer.
+_FORM = f"""c AS doc_id, CASE WHEN k >= 8 AND c % 3 = 0 THEN 2 ELSE 1 END AS page, cast(k as int) AS item_idx,
+ {_pick('k', "'Name:'", "'________'", "'Email Address *'", "'__________'", "'[ ]'", "'I agree'", "'Date of birth:'", "'Phone:'", "CASE WHEN c % 2 = 0 THEN 'Signature' ELSE 'Total (required)' END", "'-----'", "'Due * '", "'Amount:'")} AS str,
+ cast({_pick('k', '50', '120 + c % 20', '50', '160', '50 + c % 7', '75', '50 + c % 5', '300 + (c * 7) % 300', '55', '50', '400', '50')} as double) AS x,
+ cast({_pick('k', '700', '700 + c % 3', '660', '661', '620', '620', '580', '545', '510', '480 - c % 4', '440', '300')} as double) AS y,
+ cast({_pick('k', '40', '150', '90', '200', '10', '40', '80', '40', '60', '100 + c % 11', '30', '50')} as double) AS width, cast({_pick('k', '12', '12', '12', '12', '10', '10', '12', '12', '12', '3', '12', '12')} as double) AS height"""
+FORM_ITEMS = f"SELECT {_FORM} FROM (SELECT c_custkey AS c, unnest(range(0, 12)) AS k FROM customer)"
+FORM_PAGES = "SELECT c_custkey AS doc_id, unnest([1, 2]) AS page, CAST(600 + c_custkey % 13 AS DOUBLE) AS page_width FROM customer"
+
+
+def form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").selectExpr("c_custkey AS c", "explode(sequence(0L, 11L)) AS k").selectExpr(*_list(_FORM))
+
+
+def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "explode(array(1, 2)) AS page", "cast(600 + c_custkey % 13 as double) AS page_width")
