@@ -19,37 +19,18 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, spread_join, stored
+from .common import forget, pick, spread_join, stored
+from .hashing import BASES, Hashes, Powers, mix, rolling
 
 SIZE = 35
 GRAM = 8
 SHARD_CHARS = 1_000_000
 #: Windows worked on at once; longer documents are cut into stretches of so many.
 STRETCH = 1 << 22
-#: Odd multipliers of the two rolling hashes (any odd 64-bit numbers do).
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
-
-
-class _Hashes(dict):
-    """Word hashes, kept while few enough."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 32:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
 
 class _Numbers(dict):
     """Words numbered from 1 as they come."""
@@ -59,34 +40,6 @@ class _Numbers(dict):
         return n
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.back = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            one = np.ones(1, np.uint64)
-            self.up = np.concatenate((one, np.cumprod(np.full(n, self.base, np.uint64), dtype=np.uint64)))
-            self.down = np.concatenate((one, np.cumprod(np.full(n, self.back, np.uint64), dtype=np.uint64)))
-        return self.up, self.down
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _rolling(h: np.ndarray, n: int, powers: _Powers) -> np.ndarray:
-    """A hash of every run of n consecutive entries, the same wherever it stands."""
-    up, down = powers.get(len(h) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-    return _mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
-
-
 def _least_at(x: np.ndarray, n: int) -> np.ndarray:
     """The index of the least entry in every run of n entries, by their high bits; the first of equal ones."""
     # Fixed, so that equal windows choose alike anywhere; a stretch has fewer entries.
@@ -109,11 +62,11 @@ def _split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _sums(h: np.ndarray, powers: _Powers) -> np.ndarray:
+def _sums(h: np.ndarray, powers: Powers) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers.get(len(h) + 1)[0][: len(h)], dtype=np.uint64)))
 
 
-def _block_spans(h: np.ndarray, owner: np.ndarray, size: int, gram: int, powers: list[_Powers]) -> list[np.ndarray]:
+def _block_spans(h: np.ndarray, owner: np.ndarray, size: int, gram: int, powers: list[Powers]) -> list[np.ndarray]:
     """minimizer, span hash, first window and number of windows of every span of the words h of several documents.
 
     owner is the document of each word; windows that reach into the next document are none. Long
@@ -122,7 +75,7 @@ def _block_spans(h: np.ndarray, owner: np.ndarray, size: int, gram: int, powers:
     found = []
     for low in range(0, len(h) - size + 1, STRETCH):
         part, own = h[low : low + STRETCH + size - 1], owner[low : low + STRETCH + size - 1]
-        grams = _rolling(part, gram, powers[0])
+        grams = rolling(part, gram, powers[0])
         at = _least_at(grams, size - gram + 1)
         inside = own[: len(at)] == own[size - 1 :]
         new = np.concatenate(([True], (at[1:] != at[:-1]) | ~inside[:-1]))
@@ -132,14 +85,14 @@ def _block_spans(h: np.ndarray, owner: np.ndarray, size: int, gram: int, powers:
         ends = np.concatenate((np.flatnonzero(new | ~inside), [len(at)]))
         after = ends[np.searchsorted(ends, first, "right")]
         sums, down, stop = _sums(part, powers[1]), powers[1].get(len(part) + 1)[1], after - 1 + size
-        whole = _mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64) * np.uint64(_BASES[0]))
+        whole = mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64) * np.uint64(BASES[0]))
         found.append((grams[at[first]].view(np.int64), whole.view(np.int64), first + low, after - first))
     return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 4
 
 
 def _distinct(minimizer: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first of each run of equal pairs after sorting by a hash of both, and how many there are."""
-    order = np.argsort(_mix(minimizer.view(np.uint64)) ^ span.view(np.uint64), kind="stable")
+    order = np.argsort(mix(minimizer.view(np.uint64)) ^ span.view(np.uint64), kind="stable")
     a, b = minimizer[order], span[order]
     start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
     return order[start], np.diff(np.concatenate((start, [len(order)])))
@@ -167,7 +120,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard
     """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers, task, count = _Hashes(), [_Powers(b) for b in _BASES], TaskContext.get().partitionId(), 0
+        hashes, powers, task, count = Hashes(), [Powers(b) for b in BASES], TaskContext.get().partitionId(), 0
         ids, texts, held = [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -202,14 +155,16 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard
     compare = (F.col("single") > 0) & (F.col("kinds") > 1)
     marks = spread_join(each, kinds.withColumn("kinds", F.col("different")), ["minimizer"], "different", "span").where((F.col("copies") > 1) | compare)
     marks = stored(marks.select(*PAIR, "copies", "speaker", "rows", compare.alias("compare")), "marks")
+    forget(each, kinds)
     sent = spread_join(spans, marks, list(PAIR), "rows", "shard")
     # whole: the span itself repeats; told: its windows are compared, those of a repeated span by one block alone.
     told = F.col("compare") & ((F.col("copies") == 1) | (F.col("shard") == F.col("speaker")))
     sent = sent.select("shard", "doc", "first", "windows", "n", (F.col("copies") > 1).alias("whole"), told.alias("told"))
     sent = stored(sent.where("whole or told"), "sent")
+    forget(marks)
 
     def candidates(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes, powers = _Hashes(), [_Powers(b) for b in _BASES]
+        hashes, powers = Hashes(), [Powers(b) for b in BASES]
         doc, first, n = (right.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "windows"))
         texts = left.column("texts")[0]
         used, place = np.unique(doc, return_inverse=True)
@@ -217,7 +172,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard
         begins = _owners([len(x) for x in h])[1]
         at = _ranges(begins[place] + first, n)
         h = np.concatenate(h)
-        a, b = (_rolling(h, size, p)[at].view(np.int64) for p in powers)
+        a, b = (rolling(h, size, p)[at].view(np.int64) for p in powers)
         asks = np.repeat(~right.column("whole").to_numpy(), n)
         columns = [np.full(len(at), key[0].as_py(), np.int64), np.repeat(doc, n).astype(np.int32), _ranges(first, n).astype(np.int32), a, b, asks]
         return pa.table([pa.array(c) for c in columns], names=["shard", "doc", "first", "a", "b", "asks"])
@@ -228,6 +183,8 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard
     windows = stored(windows, "windows")
     twice = stored(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("asks").alias("asked")).where("rows > 1 and asked").drop("asked"), "twice")
     single = spread_join(windows.where("asks").select("shard", "doc", "first", "a", "b"), twice, ["a", "b"], "rows", "shard", "left_semi")
+    single = stored(single.select("shard", "doc", "first"), "single")
+    forget(windows, twice)
     confirmed = sent.where("whole").select("shard", "doc", "first", "windows", "n").unionByName(single.select("shard", "doc", "first", F.lit(1).alias("windows"), F.lit(1).alias("n")))
 
     def locate(key, left: pa.Table, right: pa.Table) -> pa.Table:
