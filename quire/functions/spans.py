@@ -9,26 +9,63 @@ from pyspark.sql import functions as F
 BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: The same before and after a part that begins or ends with a word character, at less cost.
 OPEN, CLOSE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Characters that no text may hold: they mark the begin of a match, of a group, and the end of both.
+_BEGIN, _GROUP, _END = "\ufdd0", "\ufdd1", "\ufdd2"
+MATCH = "array<struct<start:int,text:string,groups:array<string>>>"
+STEP = 128
 
 
-def find_all(text: Column, pattern: str, guard: str | None = None) -> Column:
-    """start (0-based, code points) and text of every match: array<struct<start:int,text:string>>.
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The pattern must not match the empty string. guard: a cheaper pattern without which none can match.
+
+def running(lengths: Column) -> Column:
+    """The sums of all entries before each one, of an array of ints.
+
+    Folded in stretches of STEP entries, so a long array costs no more an entry than a short one.
     """
-    hay = text if guard is None else F.when(text.rlike(guard), text).otherwise(F.lit(""))
-    hay = F.coalesce(hay, F.lit(""))
-    pairs = F.zip_with(F.regexp_extract_all(hay, F.lit(pattern), F.lit(0)), F.split(hay, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["g"])
-        grown = F.concat(a["out"], F.array(F.struct(start.alias("start"), p["m"].alias("text"))))
-        return F.when(p["m"].isNull(), a).otherwise(F.struct((start + F.length(p["m"])).alias("at"), grown.alias("out")))
+    def sums(part: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(part, none, step)
+
+    def blocked(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / STEP).cast("int")), lambda k: sums(F.slice(all_, k * STEP + 1, F.lit(STEP))))
+        shifted = lambda ps: F.zip_with(ps, sums(F.transform(ps, lambda p: p["at"]))["out"], lambda p, at: F.transform(p["out"], lambda x: x + at))
+        return F.flatten(let(parts, shifted))
+
+    return let(lengths, lambda x: F.when(F.size(x) <= STEP, sums(x)["out"]).otherwise(blocked(x)))
+
+
+def find_all(text: Column, pattern: str, guard: str | None = None, groups: int = 0) -> Column:
+    """start (0-based, code points), text and groups (unmatched ones empty) of every match, as MATCH; none in null.
+
+    The pattern runs once over the text and must not match the empty string. guard: a cheaper pattern without which none
+    can match. Noncharacters U+FDD0 to U+FDD2 in the text count as U+FFFD.
+    """
+    hay = text if guard is None else F.when(text.rlike(guard), text)
+    hay = F.translate(F.coalesce(hay, F.lit("")), _BEGIN + _GROUP + _END, "\ufffd" * 3)
+    marked = F.regexp_replace(hay, pattern, _BEGIN + "$0" + "".join(f"{_GROUP}${k + 1}" for k in range(groups)) + _END)
+    parts = F.filter(F.transform(F.split(marked, _END, -1), lambda b: F.split(b, f"[{_BEGIN}{_GROUP}]", -1)), lambda p: F.size(p) > 1)
+
+    def placed(ps: Column) -> Column:
+        # A gap and its match, in turn: the place of a match is the sum of all before it.
+        before = running(F.transform(ps, lambda p: F.length(p[0]) + F.length(p[1])))
+        return F.zip_with(ps, before, lambda p, at: F.struct((at + F.length(p[0])).alias("start"), p[1].alias("text"), F.slice(p, 3, F.lit(groups)).alias("groups")))
+
+    return F.when(F.size(parts) > 0, let(parts, placed)).otherwise(F.array().cast(MATCH))
+
 
-    return F.aggregate(pairs, none, step, lambda a: a["out"])
+def group(match: Column, k: int) -> Column:
+    """Group k of a match of find_all; null where it is empty or took no part."""
+    return F.nullif(F.get(match["groups"], F.lit(k - 1)), F.lit(""))
 
 
-def group(match: Column, pattern: str, k: int) -> Column:
-    """Group k of a match's text; null where it took no part."""
-    return F.nullif(F.regexp_extract(match, pattern, k), F.lit(""))
+def first_of_each(hits: Column, key) -> Column:
+    """Of hits with equal keys the first alone, in the order of the array: sorted by key, compared with neighbours, sorted back."""
+    keyed = F.array_sort(F.transform(hits, lambda h, i: F.struct(key(h).alias("k"), i.alias("i"), h.alias("h"))))
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"]))
+    back = F.array_sort(F.transform(let(keyed, firsts), lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"))))
+    return F.when(F.size(hits) < 2, hits).otherwise(F.transform(back, lambda x: x["h"]))

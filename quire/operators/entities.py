@@ -2,7 +2,8 @@
 
 Every extractor takes pages (doc_id, page, text) and gives a row for each hit: doc_id, page, start, stop
 (0-based code points, stop exclusive), text, its own columns and confidence. Pages are independent: repeated
-values are dropped within a page, inside the page's array of hits, so nothing is shuffled.
+values are dropped within a page, inside the page's array of hits, so nothing is shuffled. Null and empty texts have no hits; repeated
+rows have hits of their own; empty tables give no rows; columns not named are ignored.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.spans import BOUND, CLOSE, OPEN, find_all, group
+from quire.functions.spans import BOUND, CLOSE, OPEN, find_all, first_of_each, group
 
 # Word lists, codes and patterns of the entity kinds.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -58,26 +59,20 @@ IDS = (
 )
 
 
+def _groups(pattern: str) -> int:
+    """The number of capturing groups."""
+    return re.compile(re.sub(r"\(\?[iu]+\)", "", pattern)).groups
+
+
 def _hits(text: Column, pattern: str, fields, guard: str | None = None, keep=None) -> Column:
     """The matches with their fields: fields(match) gives named columns; keep(match) drops some."""
-    found = find_all(text, pattern, guard)
+    found = find_all(text, pattern, guard, _groups(pattern))
     if keep is not None:
         found = F.filter(found, keep)
     stop = lambda m: (m["start"] + F.length(m["text"])).alias("stop")
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), stop(m), m["text"].alias("text"), *[c.alias(n) for n, c in fields(m).items()]))
 
 
-def _first_by(hits: Column, key) -> Column:
-    """Of the hits with equal keys the first alone, by place in the array."""
-    none = F.struct(F.array().cast("array<string>").alias("seen"), F.slice(hits, 1, 0).alias("out"))
-
-    def step(a: Column, h: Column) -> Column:
-        grown = F.struct(F.concat(a["seen"], F.array(key(h))).alias("seen"), F.concat(a["out"], F.array(h)).alias("out"))
-        return F.when(F.array_contains(a["seen"], key(h)), a).otherwise(grown)
-
-    return F.when(F.size(hits) < 2, hits).otherwise(F.aggregate(hits, none, step, lambda a: a["out"]))
-
-
 def _at(h: Column) -> Column:
     return F.concat_ws("-", h["start"], h["text"])
 
@@ -85,7 +80,7 @@ def _at(h: Column) -> Column:
 def _rows(pages: DataFrame, hits: Column, key=None) -> DataFrame:
     """A row for each hit. The hits are bound to a column first, so they are found once."""
     found = pages.select("doc_id", "page", hits.alias("hits"))
-    return found.select("doc_id", "page", F.inline(_first_by(F.col("hits"), key) if key else F.col("hits")))
+    return found.select("doc_id", "page", F.inline(first_of_each(F.col("hits"), key) if key else F.col("hits")))
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -95,7 +90,7 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def _date_family(text: Column, pattern: str, name: str, sure: int, places: tuple[int, int, int]) -> Column:
     loose = name in ("US", "EU")
-    number = lambda h, k: F.regexp_extract(h["text"], pattern, k)
+    number = lambda h, k: F.get(h["groups"], F.lit(k - 1))
     names = F.array(*[F.lit(x[:3]) for x in MONTHS])
 
     def parts(h: Column) -> tuple[Column, Column, Column]:
@@ -124,15 +119,15 @@ def extract_dates(pages: DataFrame) -> DataFrame:
 
 
 def amount_hits(text: Column) -> Column:
-    prefix = lambda h: group(h["text"], AMOUNT, 1)
-    number = lambda h: F.regexp_extract(h["text"], AMOUNT, 2)
-    symbol = lambda h: F.coalesce(prefix(h), group(h["text"], AMOUNT, 3))
+    prefix = lambda h: group(h, 1)
+    number = lambda h: F.get(h["groups"], F.lit(1))
+    symbol = lambda h: F.coalesce(prefix(h), group(h, 3))
     value = lambda h: F.replace(number(h), F.lit(","), F.lit("")).cast("double")
     codes = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])
     code = lambda h: F.coalesce(F.try_element_at(codes, symbol(h)), F.try_element_at(codes, F.regexp_replace(F.upper(symbol(h)), r"\.", "")), F.lit("USD"))
     fields = lambda h: {"value": value(h), "currency": code(h), "symbol": prefix(h), "confidence": F.when(prefix(h).isNotNull(), 90).otherwise(75)}
     keep = lambda h: symbol(h).isNotNull() & (F.length(number(h)) >= 2) & (value(h) != 0)
-    found = F.filter(find_all(text, AMOUNT, r"(?i)[$€£¥₹元]|usd|eur|gbp|jpy|inr|rs|cad|aud|chf|cny"), keep)
+    found = F.filter(find_all(text, AMOUNT, r"(?i)[$€£¥₹元]|usd|eur|gbp|jpy|inr|rs|cad|aud|chf|cny", 3), keep)
     return F.transform(found, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(F.trim(h["text"]))).alias("stop"), F.trim(h["text"]).alias("text"), *[c.alias(n) for n, c in fields(h).items()]))
 
 
@@ -142,15 +137,15 @@ def extract_amounts(pages: DataFrame) -> DataFrame:
 
 
 def name_hits(text: Column) -> Column:
-    titled = _hits(text, TITLED, lambda h: {"first": group(h["text"], TITLED, 2), "last": group(h["text"], TITLED, 3), "title": group(h["text"], TITLED, 1), "suffix": group(h["text"], TITLED, 4), "confidence": F.lit(85)})
+    titled = _hits(text, TITLED, lambda h: {"first": group(h, 2), "last": group(h, 3), "title": group(h, 1), "suffix": group(h, 4), "confidence": F.lit(85)})
     before = lambda h: F.substring(text, F.greatest(h["start"] - 2, F.lit(1)), F.least(h["start"], F.lit(3)))
     stands = lambda h: F.when(before(h).rlike(r"[.!?]\s*\z"), 50).otherwise(65)
     plain = _hits(
         text,
         NAMED,
-        lambda h: {"first": group(h["text"], NAMED, 1), "last": F.coalesce(group(h["text"], NAMED, 3), group(h["text"], NAMED, 2)), "title": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string"), "confidence": stands(h)},
+        lambda h: {"first": group(h, 1), "last": F.coalesce(group(h, 3), group(h, 2)), "title": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string"), "confidence": stands(h)},
         None,
-        lambda h: ~F.regexp_extract(h["text"], NAMED, 1).isin(*NO_NAMES) & ~F.regexp_extract(h["text"], NAMED, 2).isin(*NO_NAMES),
+        lambda h: ~F.get(h["groups"], F.lit(0)).isin(*NO_NAMES) & ~F.get(h["groups"], F.lit(1)).isin(*NO_NAMES),
     )
     return F.concat(titled, plain)
 
@@ -161,7 +156,7 @@ def extract_names(pages: DataFrame) -> DataFrame:
 
 
 def email_hits(text: Column) -> Column:
-    return _hits(text, EMAIL, lambda h: {"local": group(h["text"], EMAIL, 1), "domain": group(h["text"], EMAIL, 2), "confidence": F.lit(95)}, "@")
+    return _hits(text, EMAIL, lambda h: {"local": group(h, 1), "domain": group(h, 2), "confidence": F.lit(95)}, "@")
 
 
 def extract_emails(pages: DataFrame) -> DataFrame:
@@ -174,7 +169,7 @@ def phone_hits(text: Column) -> Column:
     parts = []
     for pattern, name, sure in PHONES:
         def fields(h, pattern=pattern, name=name, sure=sure):
-            code = group(h["text"], pattern, 1) if name == "INTERNATIONAL" else F.lit(None).cast("string")
+            code = group(h, 1) if name == "INTERNATIONAL" else F.lit(None).cast("string")
             return {"digits": digits(h), "country_code": code, "format": F.lit(name), "confidence": F.lit(sure)}
 
         parts.append(_hits(text, pattern, fields, r"\d{3}[-.)\s]*\d{3}", lambda h: F.length(digits(h)).between(10, 15)))
@@ -187,9 +182,9 @@ def extract_phones(pages: DataFrame) -> DataFrame:
 
 
 def address_hits(text: Column) -> Column:
-    trimmed = lambda h, p, k: F.trim(group(h["text"], p, k))
-    street = _hits(text, STREET, lambda h: {"street": trimmed(h, STREET, 1), "city": trimmed(h, STREET, 2), "state": F.upper(group(h["text"], STREET, 3)), "zip": group(h["text"], STREET, 4), "confidence": F.lit(85)}, r"\d{5}")
-    town = _hits(text, TOWN, lambda h: {"street": F.lit(None).cast("string"), "city": trimmed(h, TOWN, 1), "state": F.upper(group(h["text"], TOWN, 2)), "zip": group(h["text"], TOWN, 3), "confidence": F.lit(70)}, r"\d{5}")
+    trimmed = lambda h, p, k: F.trim(group(h, k))
+    street = _hits(text, STREET, lambda h: {"street": trimmed(h, STREET, 1), "city": trimmed(h, STREET, 2), "state": F.upper(group(h, 3)), "zip": group(h, 4), "confidence": F.lit(85)}, r"\d{5}")
+    town = _hits(text, TOWN, lambda h: {"street": F.lit(None).cast("string"), "city": trimmed(h, TOWN, 1), "state": F.upper(group(h, 2)), "zip": group(h, 3), "confidence": F.lit(70)}, r"\d{5}")
     return F.concat(street, town)
 
 
@@ -199,10 +194,10 @@ def extract_addresses(pages: DataFrame) -> DataFrame:
 
 
 def url_hits(text: Column) -> Column:
-    scheme = lambda h: group(h["text"], URL, 1)
-    fields = lambda h: {"scheme": F.replace(scheme(h), F.lit("://"), F.lit("")), "domain": group(h["text"], URL, 2), "path": group(h["text"], URL, 3), "secure": F.coalesce(F.lower(scheme(h)) == "https://", F.lit(False)), "confidence": F.when(scheme(h).isNotNull(), 95).otherwise(80)}
+    scheme = lambda h: group(h, 1)
+    fields = lambda h: {"scheme": F.replace(scheme(h), F.lit("://"), F.lit("")), "domain": group(h, 2), "path": group(h, 3), "secure": F.coalesce(F.lower(scheme(h)) == "https://", F.lit(False)), "confidence": F.when(scheme(h).isNotNull(), 95).otherwise(80)}
     before = lambda h: F.when(h["start"] > 0, F.substring(text, h["start"], F.lit(1))).otherwise("")
-    return _hits(text, URL, fields, r"\.[A-Za-z]{2}", lambda h: (before(h) != "@") & F.regexp_extract(h["text"], URL, 2).rlike(TLD))
+    return _hits(text, URL, fields, r"\.[A-Za-z]{2}", lambda h: (before(h) != "@") & F.get(h["groups"], F.lit(1)).rlike(TLD))
 
 
 def extract_urls(pages: DataFrame) -> DataFrame:
@@ -231,8 +226,7 @@ def extract_custom(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     parts = []
     for name, pattern in patterns.items():
         n = F.lit(name)
-        count = re.compile(pattern).groups
-        parts.append(_hits(F.col("text"), pattern, lambda h, n=n, pattern=pattern, count=count: {"name": n, "groups": F.array(*[F.regexp_extract(h["text"], pattern, k + 1) for k in range(count)]).cast("array<string>"), "confidence": F.lit(90)}))
+        parts.append(_hits(F.col("text"), pattern, lambda h, n=n: {"name": n, "groups": h["groups"], "confidence": F.lit(90)}))
     return _rows(pages, F.concat(*parts))
 
 
@@ -257,7 +251,7 @@ def extract_key_information(pages: DataFrame, kinds: tuple[str, ...] = tuple(KIN
     def of_kind(kind: str) -> Column:
         _, value, key = KINDS[kind]
         row = lambda h: F.struct(F.lit(kind).alias("kind"), h["start"].alias("start"), h["stop"].alias("stop"), h["text"].alias("text"), value(h).alias("value"), h["confidence"].cast("int").alias("confidence"))
-        return F.transform(_first_by(F.col(kind), key) if key else F.col(kind), row)
+        return F.transform(first_of_each(F.col(kind), key) if key else F.col(kind), row)
 
     found = found.select("doc_id", "page", F.inline(F.concat(*map(of_kind, kinds))))
     return found.where(F.col("confidence") >= min_confidence)

@@ -1,15 +1,35 @@
-"""Search and replace in page texts (doc_id, page, text)."""
+"""Search and replace in page texts (doc_id, page, text).
+
+Null and empty texts have no matches, and null ones stay null where texts are replaced; repeated rows are searched each; empty tables give no
+rows; columns not named are ignored.
+"""
 
 from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.spans import BOUND, find_all
 
 
+def _matches_nothing(pattern: str) -> bool | None:
+    """Whether a pattern, as the executors' Java reads it, matches the empty text; null for an invalid one. Without a session Python's reading must do."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            return re.compile(pattern).match("") is not None
+        except re.error:
+            return None
+    try:
+        return context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").lookingAt()
+    except Py4JError:
+        return None
+
+
 def query_pattern(query: str, case_sensitive: bool = False, whole_word: bool = False, regex: bool = False) -> str | None:
     """The pattern a query stands for; an invalid expression is taken literally; null for an empty query.
 
@@ -18,13 +38,10 @@ def query_pattern(query: str, case_sensitive: bool = False, whole_word: bool = F
     if not query:
         return None
     body = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", query)
-    if regex:
-        try:
-            if re.compile(query).match(""):
-                raise ValueError("the pattern matches the empty text")
-            body = query
-        except re.error:
-            pass
+    if regex and (empty := _matches_nothing(query)) is not None:
+        if empty:
+            raise ValueError("the pattern matches the empty text")
+        body = query
     body = f"{BOUND}(?:{body}){BOUND}" if whole_word else body
     return body if case_sensitive else f"(?i){body}"
 
@@ -40,7 +57,7 @@ def search_text(pages: DataFrame, query: str, around: int = 30, max_results: int
     pattern = query_pattern(query, **options)
     if pattern is None:
         return pages.limit(0).select("doc_id", "page", F.lit(0).alias("start"), "text", F.col("text").alias("context"), F.lit(0).alias("match_index"))
-    found = pages.select("doc_id", "page", "text", F.posexplode(find_all(F.col("text"), pattern, pattern)).alias("i", "m"))
+    found = pages.select("doc_id", "page", "text", F.posexplode(find_all(F.col("text"), pattern)).alias("i", "m"))
     found = found.select("doc_id", "page", F.col("m.start").alias("start"), F.col("m.text").alias("hit"), _context(F.col("text"), F.col("m"), around).alias("context"))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "start")) - 1
     found = found.withColumn("match_index", index).withColumnRenamed("hit", "text")
