@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import token_pieces
+from .tokens import default_json, token_pieces
 
 SIZE = 2048
 
@@ -123,16 +123,18 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tu
 def pack(pieces: DataFrame, size: int = SIZE, shards: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to size ids: (doc_id, piece, length, ...).
 
-    Every piece gets a place; sequences are gapless from offset 0 and hold size ids at most. Equal
-    keys share a shard and differ by row number, so repeated rows get places of their own. The driver
-    gets at most size x shards counts; the plan it sends back has at most 64 lengths for each of its
-    groups, which are a small multiple of the distinct lengths.
+    Every piece gets a place, repeated rows places of their own; sequences are gapless from offset 0 and hold size
+    ids at most. Counts by length and shard are joined by key, and shards grow with the pieces. The driver gets one count
+    for each length, size at most; the plan it sends back has at most 64 lengths for each of its groups, which are a
+    small multiple of the distinct lengths.
     """
     spark = pieces.sparkSession
-    pieces = stored(pieces, "pieces")
-    shards = shards or max(16, min(256, pieces.count() // 50_000))
-    place = Window.partitionBy("length", "shard").orderBy("doc_id", "piece")
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    columns = pieces.columns
+    # Numbers of rows are written with them and so stay: repeated rows go to shards of their own.
+    pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    shards = shards or max(16, pieces.count() // 50_000)
+    place = Window.partitionBy("length", "shard").orderBy("_row")
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
     sums = sharded.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
     sums = stored(sums.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")), "counts")
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -145,23 +147,23 @@ def pack(pieces: DataFrame, size: int = SIZE, shards: int | None = None) -> Data
             offset += length * each
         sequence += n
     table = spark.createDataFrame(slots, "length bigint, low bigint, high bigint, each bigint, first bigint, at bigint")
-    ranked = sharded.withColumn("rank", F.row_number().over(place) - 1).join(F.broadcast(sums.drop("n")), ["length", "shard"])
+    ranked = sharded.withColumn("rank", F.row_number().over(place) - 1).join(sums.drop("n"), ["length", "shard"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     # Slots by length as arrays, so a piece finds its own by position and not by trying each.
     by_length = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "each", "first", "at"))).alias("slots"))
     slot = F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"]))[0]
     joined = ranked.join(F.broadcast(by_length), "length").withColumn("slot", slot)
     nth = F.col("rank") - F.col("slot.low")
-    return joined.select(*pieces.columns, (F.col("slot.first") + F.floor(nth / F.col("slot.each"))).cast("bigint").alias("sequence_id"), (F.col("slot.at") + nth % F.col("slot.each") * F.col("length")).cast("bigint").alias("offset"))
+    return joined.select(*columns, (F.col("slot.first") + F.floor(nth / F.col("slot.each"))).cast("bigint").alias("sequence_id"), (F.col("slot.at") + nth % F.col("slot.each") * F.col("length")).cast("bigint").alias("offset"))
 
 
 def op5_pack(spark, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
+    """Pieces of all documents with their sequence and offset, ids as the tokenizer file gives them by default; null and empty texts are one piece, repeated rows have pieces of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs)
+    return pack_documents(docs, json_path=default_json())
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, json_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of the documents' token pieces."""
-    pieces = token_pieces(docs, size)
+    pieces = token_pieces(docs, size, json_path=json_path)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.spans import let, running
+
 from .common import pick, stored
 
 # The kinds in the order in which their spans are listed.
@@ -28,6 +30,8 @@ _PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _SPAN = "array<struct<start:bigint,stop:bigint,value:string>>"
 CONTEXT_CHARS = 64
+#: Characters of a piece of a long text, at least.
+SEGMENT = 16_384
 
 
 def _held(text: Column, between: str, left: str, right: str) -> Column:
@@ -65,26 +69,51 @@ def _tester(kind: str):
 
 def _spans(found: Column, gaps: Column) -> Column:
     """Start, stop and value of the matches of a text, from them and the gaps between them."""
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+
+    def placed(ps: Column) -> Column:
+        at = lambda p, before: (before + F.length(p["g"])).cast("bigint")
+        made = lambda p, before: F.struct(at(p, before).alias("start"), (at(p, before) + F.length(p["m"])).alias("stop"), p["m"].alias("value"))
+        return F.zip_with(ps, running(F.transform(ps, lambda p: F.length(p["g"]) + F.length(p["m"]))), made)
+
+    return F.when(F.size(found) > 0, let(pairs, placed)).otherwise(F.array().cast(_SPAN))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["g"])
-        stop = start + F.length(p["m"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), p["m"].alias("value"))
-        return F.when(p["m"].isNull(), a).otherwise(F.struct(stop.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(pairs, none, step, lambda a: a["out"])
+def segments(text: Column) -> Column:
+    """array<struct<at:int,text:string>>: the text in pieces of about SEGMENT characters.
+
+    A piece ends at white space in which no base pattern and no token can stand: a space after a character that numbers don't have, a
+    line break or a tab. A text without such places is one piece.
+    """
+    cut = rf"(?s).{{{SEGMENT}}}.*?(?:[^\x20().0-9\-]\x20|[\t\n\r\f])|.+"
+    pieces = let(F.regexp_extract_all(text, F.lit(cut), F.lit(0)), lambda ps: F.zip_with(ps, running(F.transform(ps, lambda x: F.length(x))), lambda x, at: F.struct(at.alias("at"), x.alias("text"))))
+    return F.when(F.length(text) > SEGMENT, pieces).otherwise(F.array(F.struct(F.lit(0).alias("at"), text.alias("text"))))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans (kind, start, stop, value) and tokens (start, stop, value, patterns) of every row of (doc_id, text).
+    """doc_id, text_key, spans (kind, start, stop) and tokens (kind, start, stop, value, patterns) of every row of (doc_id, text).
 
     spans: the base matches; tokens: those and the other identifier-shaped tokens, with the patterns beside
-    them and kind null for the others. Texts are read once and not kept.
+    them and kind null for the others. Texts are read once and not kept. Longer texts than SEGMENT go in pieces,
+    each with the characters beside it, so the work grows with the length and not with its square.
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    nothing = F.lit("")
+    whole = _found(rows.where(F.length("text") <= SEGMENT).select("doc_id", "text_key", F.lit(0).alias("at"), "text", nothing.alias("ahead"), nothing.alias("behind"))).drop("at")
+    long = rows.where(F.length("text") > SEGMENT)
+    cut = long.dropDuplicates(["doc_id", "text_key"]).withColumn("parts", segments(F.col("text"))).select("doc_id", "text_key", "parts", F.posexplode("parts").alias("i", "p"))
+    side = lambda k: F.coalesce(F.get("parts", F.col("i") + k)["text"], nothing)
+    parts = _found(cut.select("doc_id", "text_key", "p.at", "p.text", F.right(side(-1), F.lit(CONTEXT_CHARS)).alias("ahead"), F.left(side(1), F.lit(CONTEXT_CHARS)).alias("behind")))
+    ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]))
+    # A group is one document, in pieces; its row comes back for each repeated row.
+    joined = parts.groupBy("doc_id", "text_key").agg(ordered("spans").alias("spans"), ordered("tokens").alias("tokens")).withColumnsRenamed({"doc_id": "long_id", "text_key": "long_key"})
+    back = long.select("doc_id", "text_key").join(joined, F.col("doc_id").eqNullSafe(F.col("long_id")) & (F.col("text_key") == F.col("long_key"))).drop("long_id", "long_key")
+    return whole.unionByName(back)
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key, at, spans and tokens of pieces (doc_id, text_key, at, text, ahead, behind), placed in the whole text."""
     has_at, has_digit = F.col("text").contains("@"), F.col("text").rlike("[0-9]")
     # Each expression runs only on texts that can match it; the others get an empty text.
     only = lambda test, x: F.when(test, x).otherwise(F.lit(""))
@@ -97,7 +126,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     })
     patterns = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "token": _TOKEN}
     rows = rows.withColumns({f"m_{k}": F.regexp_extract_all(f"at_{k}", F.lit(p), F.lit(0)) for k, p in patterns.items()} | {f"g_{k}": F.split(f"at_{k}", p, -1) for k, p in patterns.items()})
-    rows = rows.select("doc_id", "text", "text_key", *[F.filter(_spans(F.col(f"m_{k}"), F.col(f"g_{k}")), _tester(k)).alias(k) for k in patterns])
+    rows = rows.select("doc_id", "text", "text_key", "at", "ahead", "behind", *[F.filter(_spans(F.col(f"m_{k}"), F.col(f"g_{k}")), _tester(k)).alias(k) for k in patterns])
     named = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(KINDS.index(k)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
     rows = rows.withColumn("spans", F.concat(*[named(k) for k in KINDS]))
     trimmed = F.transform("token", lambda s: F.struct((s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[\"'(<\[]+", ""))).alias("start"), (s["stop"] - F.length(s["value"]) + F.length(F.regexp_replace(s["value"], r"[\"')>\].,;:!?]+$", ""))).alias("stop")))
@@ -107,13 +136,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("found", F.concat("spans", others))
 
     def beside(s: Column) -> Column:
-        left = F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT_CHARS).cast("int"), F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int")))
-        right = F.lower(F.substring(F.col("text"), (s["stop"] + 1).cast("int"), F.lit(CONTEXT_CHARS)))
+        left = F.lower(F.right(F.concat("ahead", F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT_CHARS).cast("int"), F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int"))), F.lit(CONTEXT_CHARS)))
+        right = F.lower(F.left(F.concat(F.substring(F.col("text"), (s["stop"] + 1).cast("int"), F.lit(CONTEXT_CHARS)), "behind"), F.lit(CONTEXT_CHARS)))
         last, two = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_replace(F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1), r"\s+", " ")
         return F.array(F.concat(F.lit("before "), two), F.concat(F.lit("between "), last, F.lit(" | "), F.regexp_extract(right, r"^\s*(\S+)", 1)))
 
-    tokens = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), beside(s).alias("patterns")))
-    return rows.select("doc_id", "text_key", F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["stop"])).alias("spans"), tokens.alias("tokens"))
+    start, stop = (lambda s: (s["start"] + F.col("at")).alias("start")), (lambda s: (s["stop"] + F.col("at")).alias("stop"))
+    tokens = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), start(s), stop(s), F.lower(s["value"]).alias("value"), beside(s).alias("patterns")))
+    return rows.select("doc_id", "text_key", "at", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), start(s), stop(s))).alias("spans"), tokens.alias("tokens"))
 
 
 def _shaped(kind: Column, value: Column) -> Column:
@@ -169,17 +199,26 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; what overlaps an earlier span goes with it."""
+    """The text with every span replaced by its kind in brackets; what overlaps an earlier span goes with it.
+
+    Done piece by piece, as spans never reach over the end of one.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh = F.concat(a["out"], gap, F.get(names, s["kind"]))
-        return F.struct(F.greatest(a["at"], -s["back"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+    def piece(p: Column) -> Column:
+        end = p["at"] + F.length(p["text"])
+        mine = F.filter(spans, lambda s: (s["start"] >= p["at"]) & (s["start"] < end))
+        by_start = F.array_sort(F.transform(mine, lambda s: F.struct((s["start"] - p["at"]).alias("start"), (p["at"] - s["stop"]).alias("back"), s["kind"].alias("kind"))))
+        none = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            gap = F.substring(p["text"], (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+            fresh = F.concat(a["out"], gap, F.get(names, s["kind"]))
+            return F.struct(F.greatest(a["at"], -s["back"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(by_start, none, step, lambda a: F.concat(a["out"], F.substring(p["text"], (a["at"] + 1).cast("int"), F.length(p["text"]))))
 
-    return F.aggregate(by_start, none, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return F.array_join(F.transform(segments(text), piece), "")
 
 
 def op8_private(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .tokens import token_pieces
+from .tokens import default_json, token_pieces
 
 SIZE = 2048
 WINDOW_IDS = 4_000_000
@@ -75,7 +75,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
-def packed_rows(docs: DataFrame, size: int = SIZE, end_id: int = 0, pad_id: int = 0, window_ids: int = WINDOW_IDS) -> DataFrame:
+def packed_rows(docs: DataFrame, size: int = SIZE, end_id: int = 0, pad_id: int = 0, window_ids: int = WINDOW_IDS, json_path: str | None = None) -> DataFrame:
     """Rows of the matrices of (doc_id, text): matrix, row, input_ids, position_ids, cu_seqlens, segments.
 
     input_ids and position_ids are little-endian unsigned 32-bit, size of each; cu_seqlens starts at 0 and ends with
@@ -122,7 +122,7 @@ def packed_rows(docs: DataFrame, size: int = SIZE, end_id: int = 0, pad_id: int
         if held:
             yield from close()
 
-    return token_pieces(docs, size, end_id).mapInArrow(pack, SCHEMA)
+    return token_pieces(docs, size, end_id, json_path=json_path).mapInArrow(pack, SCHEMA)
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:
@@ -133,7 +133,7 @@ def write_matrices(docs: DataFrame, path: str, **options) -> None:
 def op9_matrices(spark, sf_dir: str) -> DataFrame:
     """A row for each packed piece of all documents, from the written matrices: doc_id, piece, start, length, ids_crc32, matrix, row, offset."""
     path = new_folder(spark, "matrices")
-    write_matrices(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    write_matrices(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, json_path=default_json())
     rows = spark.read.parquet(path).select("matrix", "row", "input_ids", "cu_seqlens", F.posexplode("segments").alias("i", "s"))
     at = F.get("cu_seqlens", F.col("i"))
     ids = F.substring(F.col("input_ids"), (4 * at + 1).cast("int"), (4 * F.col("s.length")).cast("int"))

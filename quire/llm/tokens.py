@@ -24,10 +24,11 @@ class Encoder(dict):
 
     The pattern that cuts a text before merging starts a new piece at every space that a
     non-space follows, so a space and the run after it have the same ids in any text. Words
-    are therefore looked up one by one; texts with longer white space are encoded whole.
+    are therefore looked up one by one; texts with longer white space are encoded whole. With json_path, a
+    tokenizer file of the same vocabulary, texts that hold one of its added tokens are left to that tokenizer.
     """
 
-    def __init__(self, ranks_path: str, most: int = 700_000):
+    def __init__(self, ranks_path: str, most: int = 300_000, json_path: str | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -35,6 +36,12 @@ class Encoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.most = most
+        self.whole, self.added = None, ()
+        if json_path:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(json_path)
+            self.added = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.tails = {c: self.pack(self.plain(c)) for c in ".,;:!?"}
 
     @staticmethod
@@ -59,6 +66,8 @@ class Encoder(dict):
         """The ids of the text; none for an empty one."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self) > self.most:
             self.clear()
         head, *rest = text.split(" ")
@@ -77,18 +86,26 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def token_pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, ranks_path: str | None = None) -> DataFrame:
+def default_json() -> str:
+    """The tokenizer file of that vocabulary, with its added tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids of every document of (doc_id, text), each with end_id appended.
 
     A document of more than size ids is cut into pieces of size, the first of which may be shorter;
-    start counts the document's ids before a piece. Null texts count as empty: one piece, end_id alone.
+    start counts the document's ids before a piece. The text of an added token (<|endoftext|>) is plain text, unless
+    json_path names the tokenizer file whose added tokens count. Null texts count as empty: one piece, end_id alone.
     Repeated rows and null doc_ids keep their pieces; an empty table gives none.
     """
     path = ranks_path or default_ranks()
     tail = Encoder.pack([end_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, json_path=json_path)
         for batch in batches:
             doc, piece, start, length, ids = [], [], [], [], []
             held = 0

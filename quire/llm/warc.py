@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-from .common import new_folder, pick
+from .common import new_folder, pick, spread_join, stored
+
+#: Beside each file stands one of this name, with the places of members a megabyte apart.
+INDEX = "_index-"
 
 SCHEMA = "record_id string, record_type string, target_uri string, record_date string, content_length bigint, payload_digest string, payload_length bigint, refers_to string, source_id bigint, refers_to_source bigint, payload binary"
 WRITE_SCHEMA = "source_id bigint, url string, payload binary, record_type string, refers_to_source bigint"
@@ -67,8 +70,8 @@ def record(source_id: int | None, url: str | None, payload: bytes, kind: str, re
 
 
 class _Span(InputPartition):
-    def __init__(self, path: str, start: int, stop: int | None):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int, stop: int | None, index: str = ""):
+        self.path, self.start, self.stop, self.index = path, start, stop, index
 
 
 class _Commit(WriterCommitMessage):
@@ -122,12 +125,8 @@ class WarcReader(DataSourceReader):
             if not info.base_name.startswith("_manifest"):
                 continue
             with store.open_input_stream(info.path) as f:
-                for name, offsets in json.loads(f.read()):
-                    bounds = [0]
-                    for at in offsets:
-                        if at - bounds[-1] >= step:
-                            bounds.append(at)
-                    out += [_Span(f"{root}/{name}", a, b) for a, b in zip(bounds, [*bounds[1:], None])]
+                for name, size in json.loads(f.read()):
+                    out += [_Span(f"{root}/{name}", at, at + step if at + step < size else None, f"{root}/{INDEX}{name}") for at in range(0, size, step)]
         if not out:
             out = [_Span(i.path, 0, None) for i in store.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith(".warc.gz")]
         return out or [_Span("", 0, 0)]
@@ -138,11 +137,20 @@ class WarcReader(DataSourceReader):
         names = [f.name for f in self.schema.fields]
         types = {"payload": pa.binary()} | dict.fromkeys(NUMBERS, pa.int64())
         store, _ = _open(self.options["path"])
+        start, stop = partition.start, partition.stop
+        if partition.index:
+            # The members whose begin is in the index nearest to the stretch; the driver knows sizes of files alone.
+            with store.open_input_stream(partition.index) as f:
+                offsets = json.loads(f.read())
+            start = next((o for o in offsets if o >= start), None)
+            stop = next((o for o in offsets if stop is not None and o >= stop), None)
+            if start is None:
+                return
         payloads = self.options.get("payloads", "true").lower() == "true" and "payload" in names
         rows, held = [], 0
         make = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], types.get(n, pa.string())) for n in names], names=names)
         with store.open_input_file(partition.path) as f:
-            for row in scan(f, partition.start, partition.stop, self.tests, payloads):
+            for row in scan(f, start, stop, self.tests, payloads):
                 rows.append(row)
                 held += 500 + len(row.get("payload") or b"")
                 if held > 8_000_000:
@@ -230,11 +238,20 @@ class WarcWriter(DataSourceWriter):
         roll, date = int(self.options.get("rollbytes", 256_000_000)), self.options.get("date", "2024-01-01T00:00:00Z")
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         made: list[tuple[str, list[int]]] = []
+        sizes: list[tuple[str, int]] = []
         out, at = None, 0
+
+        def close() -> None:
+            out.close()
+            name, offsets = made[-1]
+            with store.open_output_stream(f"{root}/{INDEX}{name}", compression=None) as f:
+                f.write(json.dumps(offsets).encode())
+            sizes.append((name, at))
+
         for row in iterator:
             if out is None or at >= roll:
                 if out:
-                    out.close()
+                    close()
                 made.append((f"part-{part:05d}-{len(made):03d}-{attempt}.warc.gz", []))
                 out, at = store.open_output_stream(f"{root}/{made[-1][0]}", compression=None), 0
             z = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -244,8 +261,8 @@ class WarcWriter(DataSourceWriter):
             out.write(data)
             at += len(data)
         if out:
-            out.close()
-        return _Commit([json.dumps(made)])
+            close()
+        return _Commit([json.dumps(sizes)])
 
     def commit(self, messages) -> None:
         store, root = _open(self.options["path"])
@@ -263,6 +280,7 @@ class WarcWriter(DataSourceWriter):
             for x in m.files if m else ():
                 for name, _ in json.loads(x):
                     store.delete_file(f"{root}/{name}")
+                    store.delete_file(f"{root}/{INDEX}{name}")
 
 
 def register(spark: SparkSession) -> None:
@@ -277,12 +295,12 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Of the rows with equal payloads of at least least_bytes, those with the largest page_id are
     responses and the others revisit it; null html is an empty payload. Repeated rows of the largest
     page_id are all responses, and so are rows without any page_id in their group; a null page_id
-    otherwise revisits. Rows are never joined in pairs: one row per payload decides.
+    otherwise revisits. Rows are never joined in pairs: one row per payload decides, and a payload with many copies is dealt over tasks.
     """
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("bigint").alias("source_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sum", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
     first = rows.where(F.col("n") >= least_bytes).groupBy("sum").agg(F.max("source_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    rows = rows.join(first, "sum", "left")
+    rows = spread_join(rows, stored(first, "copies"), ["sum"], "copies", "source_id", "left")
     again = F.col("first").isNotNull() & (F.col("n") >= least_bytes) & ~F.col("source_id").eqNullSafe(F.col("first"))
     return rows.select("source_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to_source"))
 

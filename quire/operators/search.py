@@ -13,7 +13,9 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.spans import BOUND, find_all
+from quire.functions.spans import BOUND, find_all, let
+
+PIECE = 1024
 
 
 def _matches_nothing(pattern: str) -> bool | None:
@@ -46,10 +48,25 @@ def query_pattern(query: str, case_sensitive: bool = False, whole_word: bool = F
     return body if case_sensitive else f"(?i){body}"
 
 
-def _context(text: Column, m: Column, around: int) -> Column:
-    start, stop = F.greatest(F.lit(0), m["start"] - around), m["start"] + F.length(m["text"]) + around
-    body = F.substring(text, start + 1, stop - start)
-    return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(stop < F.length(text), "...").otherwise(""))
+def _contexts(text: Column, pattern: str, around: int) -> Column:
+    """start, text and context of every match, as an array.
+
+    Contexts are cut out of pieces of the text, as reaching into a long text takes as long as what stands before.
+    """
+    length = F.length(text)
+
+    def context(m: Column, pieces: Column) -> Column:
+        start = F.greatest(F.lit(0), m["start"] - around)
+        stop = m["start"] + F.length(m["text"]) + around
+        k = (start / PIECE).cast("int")
+        near = F.substring(F.concat(F.get(pieces, k), F.coalesce(F.get(pieces, k + 1), F.lit(""))), start - k * PIECE + 1, stop - start)
+        body = F.when(stop - start <= PIECE, near).otherwise(F.substring(text, start + 1, stop - start))
+        return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(stop < length, "...").otherwise(""))
+
+    def made(pieces: Column) -> Column:
+        return F.transform(find_all(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), context(m, pieces).alias("context")))
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), made)
 
 
 def search_text(pages: DataFrame, query: str, around: int = 30, max_results: int | None = None, **options) -> DataFrame:
@@ -57,10 +74,9 @@ def search_text(pages: DataFrame, query: str, around: int = 30, max_results: int
     pattern = query_pattern(query, **options)
     if pattern is None:
         return pages.limit(0).select("doc_id", "page", F.lit(0).alias("start"), "text", F.col("text").alias("context"), F.lit(0).alias("match_index"))
-    found = pages.select("doc_id", "page", "text", F.posexplode(find_all(F.col("text"), pattern)).alias("i", "m"))
-    found = found.select("doc_id", "page", F.col("m.start").alias("start"), F.col("m.text").alias("hit"), _context(F.col("text"), F.col("m"), around).alias("context"))
+    found = pages.select("doc_id", "page", F.inline(_contexts(F.col("text"), pattern, around)))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "start")) - 1
-    found = found.withColumn("match_index", index).withColumnRenamed("hit", "text")
+    found = found.withColumn("match_index", index)
     return found if max_results is None else found.where(F.col("match_index") < max_results)
 
 
