@@ -1,10 +1,10 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 One more coordinate, sqrt(M - |x|^2) with M the largest squared norm (0 for queries), turns the
-largest inner product into the smallest Euclidean distance. Pivots cut space into cells. From the
-cells' summaries (the farthest query, the distances of the nearest data rows to their pivot) follows, for
-each query cell, a distance within which all its queries have k neighbours; a data row goes to a group of
-query cells only if it can lie that near to one of them. Groups are solved in blocks of bounded size by
+largest inner product into the smallest Euclidean distance. Pivots cut space into cells. Each query is first
+solved against a bounded block of its home cell, which gives it k distances to beat. From these follows, for each
+cell of queries, the ring around every pivot in which their k best must lie; a data row goes to a group of
+query cells only if it lies in all the rings of one of them. Groups are solved in blocks of bounded size by
 integer-exact products, and a block's k best a query are merged at the end.
 """
 
@@ -25,10 +25,15 @@ BLOCK_ROWS = 20_000
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """vec_id, v = floor(scale * x) as bigints of (vec_id, embedding); a vector that is null or holds a null or non-finite component is left out, as is a null vec_id."""
+    """vec_id, v = floor(scale * x) as bigints of (vec_id, embedding).
+
+    A vector that is null or holds a null or non-finite component is left out, as is a null vec_id, and as is one
+    whose scaled squared norm reaches 2^62: its inner products may not fit 64 bits. Repeated rows stay.
+    """
     x = pick(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
     x = x.where(F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    return x.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+    fits = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + (F.abs(e.cast("double")) * scale + 1) * (F.abs(e.cast("double")) * scale + 1)) < 2.0**62
+    return x.where(fits).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda e: F.floor(e.cast("double") * scale)).alias("v"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -73,15 +78,16 @@ def solve(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: i
     return tuple(np.concatenate(a) for a in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS, dealt_only: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row of (vec_id, v) its k largest inner products.
 
     is_query: a condition on vec_id. Candidates are all rows but those of the query's own vec_id;
     ties go to the smaller vec_id. Repeated vec_ids are reduced to one candidate, with their least vector, before
     anything is counted, so that k + 1 distances are always those of k other candidates; queries of one
     id are answered together. Vectors of unequal length count as padded by zeros.
-    Squared norms must be below 2^63. Pivots: a bounded sample of the rows, by hash. Empty tables give
-    no rows.
+    Squared norms must be below 2^62, as quantised() sees to. Pivots: a bounded sample of the rows, by hash.
+    Empty tables give no rows; columns not named are ignored. dealt_only gives the rows as dealt to groups and blocks
+    instead, to count how many copies of the data there are.
     """
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -91,8 +97,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     if not seen["n"] or not seen["dim"]:
         return spark.createDataFrame([], schema) if not seen["n"] else _ranked(rows.where("is_query").select(F.col("vec_id").alias("query_id")).distinct(), rows, k)
     dim, most, total = seen["dim"], seen["most"], seen["n"]
-    if most >= 2.0**62:
-        raise ValueError("squared norms must be below 2^62 for 64-bit scores")
     exact = np.float64 if most < 2.0**52 else np.int64
     full = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dim) - F.size("v")))
     data = rows.groupBy("vec_id").agg(F.min(full).alias("v")).withColumn("is_query", F.lit(False))
@@ -104,46 +108,79 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     at = np.concatenate((at, np.sqrt(np.maximum(most - (at**2).sum(1), 0))[:, None]), axis=1)
     slack = 1e-6 * (1 + most**0.5)
 
-    def near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = _matrix(batch.column("v"), dim)
-        lift = np.sqrt(np.maximum(most - (x.astype(np.float64) ** 2).sum(1), 0))
-        return x, _distances(x, lift, at), batch.column("is_query").to_numpy(zero_copy_only=False)
+    def near(x: np.ndarray) -> np.ndarray:
+        """Distances of data rows to the pivots."""
+        return _distances(x, np.sqrt(np.maximum(most - (x.astype(np.float64) ** 2).sum(1), 0)), at)
 
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, away, asks = near(batch)
-            cell, least = away[~asks].argmin(1), away[~asks].min(1)
-            from_query = _distances(x[asks], np.zeros(asks.sum()), at)
-            own, far = from_query.argmin(1), from_query.min(1)
-            found = [(int(c), False, int((cell == c).sum()), float(least[cell == c].max()), np.sort(least[cell == c])[: k + 1].tolist()) for c in np.unique(cell)]
-            found += [(int(c), True, int((own == c).sum()), float(far[own == c].max()), []) for c in np.unique(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(zip(*found), (pa.int32(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names=["cell", "asks", "n", "far", "near"])
-
-    # A row for each pivot and side, of k + 1 distances at most.
-    cells = rows.mapInArrow(summary, "cell int, asks boolean, n bigint, far double, near array<double>").groupBy("cell", "asks")
-    cells = cells.agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
-    data = [c for c in cells if not c["asks"]]
-    asked = sorted((c for c in cells if c["asks"]), key=lambda c: (np.linalg.norm(at[c["cell"]] - at[0]), c["cell"]))
-    reach, units, load = {}, [], group_queries
-    group = -1
-    for c in asked:
-        p = at[c["cell"]]
-        bounds = sorted(c["far"] + np.linalg.norm(p - at[d["cell"]]) + x for d in data for x in d["near"])[: k + 1]
-        reach[c["cell"]] = c["far"] + (bounds[k] if len(bounds) > k else np.inf) + slack
-        parts = -(-c["n"] // group_queries)
+            x, asks = _matrix(batch.column("v"), dim), batch.column("is_query").to_numpy(zero_copy_only=False)
+            cell = np.empty(len(x), np.int32)
+            cell[~asks], cell[asks] = near(x[~asks]).argmin(1), _distances(x[asks], np.zeros(asks.sum()), at).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    rows = stored(rows.select("vec_id", "v", "is_query").mapInArrow(located, "vec_id bigint, v array<bigint>, is_query boolean, cell int"), "cells")
+    sizes: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    # Two rows for each pivot at most.
+    for r in rows.groupBy("is_query", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["is_query"]][r["cell"]] = r["n"]
+    asked, filled = sizes[True], sorted(sizes[False])
+    if not asked:
+        return spark.createDataFrame([], schema)
+    # A query's home is the nearest cell that has data. A block of the home's rows gives it k scores to beat.
+    home = {c: min(filled, key=lambda d: (np.linalg.norm(at[c] - at[d]), d)) for c in asked}
+    crowd: dict[int, int] = {}
+    for c, d in home.items():
+        crowd[d] = crowd.get(d, 0) + asked[c]
+    table = spark.createDataFrame([(c, home.get(c, -1), -(-crowd.get(home.get(c, -1), 0) // (4 * group_queries)), -(-crowd.get(c, 0) // (4 * group_queries)), -(-sizes[False].get(c, 0) // block_rows)) for c in range(len(at))], "cell int, home int, parts int, visits int, blocks int")
+    placed = rows.join(F.broadcast(table), "cell")
+    pick_one = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    visitors = placed.where("is_query").select("vec_id", "v", "is_query", "cell", "home", pick_one(F.col("parts")).alias("part"))
+    hosts = placed.where((~F.col("is_query")) & (F.col("visits") > 0)).where(pick_one(F.greatest(F.col("blocks"), F.lit(1))) == 0)
+    hosts = hosts.select("vec_id", "v", "is_query", "cell", F.col("cell").alias("home"), F.explode(F.sequence(F.lit(0), F.col("visits") - 1)).alias("part"))
+
+    def bounds(group: pa.Table) -> pa.Table:
+        """cell, pivot, low, high: how near and far from each pivot the k best of the cell's queries can lie."""
+        asks = group.column("is_query").to_numpy()
+        ids, x, cell = group.column("vec_id").to_numpy(), _matrix(group.column("v"), dim), group.column("cell").to_numpy()
+        own, q, of = ids[asks], x[asks], cell[asks]
+        who, _, score = solve(own, q, ids[~asks], x[~asks], k, exact)
+        worst = {}
+        for i, n in zip(*np.unique(who, return_counts=True)):
+            if n >= k:
+                worst[i] = score[who == i].min()
+        norm = (q.astype(np.float64) ** 2).sum(1)
+        far = np.array([np.sqrt(max(0.0, n + most - 2.0 * worst[i])) if i in worst else np.inf for i, n in zip(own.tolist(), norm)])
+        away = _distances(q, np.zeros(len(q)), at)
+        out = [[], [], [], []]
+        for c in np.unique(of):
+            mine = of == c
+            for o, v in zip(out, (np.full(len(at), c), np.arange(len(at)), (away[mine] - far[mine, None]).min(0), (away[mine] + far[mine, None]).max(0))):
+                o.append(v)
+        kinds = pa.int32(), pa.int32(), pa.float64(), pa.float64()
+        return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, kinds)], names=["cell", "pivot", "low", "high"])
+
+    limits = visitors.unionByName(hosts).groupBy("home", "part").applyInArrow(bounds, "cell int, pivot int, low double, high double")
+    low, high = np.full((len(at), len(at)), np.inf), np.full((len(at), len(at)), -np.inf)
+    # A row for each pair of pivots at most.
+    for r in limits.groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]] = r["low"] - slack, r["high"] + slack
+    # Groups of cells near each other: from one cell on to the nearest one left.
+    chain, left = [], sorted(asked)
+    while left:
+        chain.append(min(left, key=lambda c: (np.linalg.norm(at[c] - at[chain[-1]]) if chain else 0, c)))
+        left.remove(chain[-1])
+    units, load, group = [], group_queries, -1
+    for c in chain:
+        parts = -(-asked[c] // group_queries)
         for part in range(parts):
             if load >= group_queries:
                 group, load = group + 1, 0
-            units.append((c["cell"], part, parts, group))
-            load += c["n"] / parts
+            units.append((c, group))
+            load += asked[c] / parts
     blocks = max(1, -(-total // block_rows))
-    within = np.full(len(at), -1.0)
-    for c, r in reach.items():
-        within[c] = r
-    group_of = {}
-    for c, part, parts, g in units:
+    group_of: dict[int, list[int]] = {}
+    for c, g in units:
         group_of.setdefault(c, []).append(g)
     member = np.zeros((len(at), group + 1), bool)
     for c, gs in group_of.items():
@@ -153,14 +190,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, away, asks = near(batch)
+            x, asks, cell = _matrix(batch.column("v"), dim), batch.column("is_query").to_numpy(zero_copy_only=False), batch.column("cell").to_numpy()
             ids = batch.column("vec_id").to_numpy()
             block = np.array([hash(i) % blocks for i in ids.tolist()], np.int32)
-            row, to = np.nonzero(((away <= within[None, :]) & ~asks[:, None]) @ member)
+            away = near(x)
+            reached = np.zeros((len(x), len(at)), bool)
+            for c in group_of:
+                reached[:, c] = ((away >= low[c]) & (away <= high[c])).all(1)
+            row, to = np.nonzero((reached & ~asks[:, None]) @ member)
             parts = [(row, to, block[row], np.zeros(len(row), bool))]
             own = np.flatnonzero(asks)
-            cell = _distances(x[own], np.zeros(len(own)), at).argmin(1)
-            g = np.array([group_of[c][i % len(group_of[c])] for c, i in zip(cell.tolist(), ids[own].tolist())], np.int64)
+            g = np.array([group_of[c][i % len(group_of[c])] for c, i in zip(cell[own].tolist(), ids[own].tolist())], np.int64)
             for b in range(blocks):
                 parts.append((own, g, np.full(len(own), b), np.ones(len(own), bool)))
             row, to, block, flag = (np.concatenate(p) for p in zip(*parts))
@@ -174,7 +214,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
         q, v, s = solve(ids[asks], x[asks], ids[~asks], x[~asks], k, exact)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
 
-    dealt = rows.mapInArrow(deal, "group int, block int, is_query boolean, vec_id bigint, v array<bigint>")
+    dealt = rows.select("vec_id", "v", "is_query", "cell").mapInArrow(deal, "group int, block int, is_query boolean, vec_id bigint, v array<bigint>")
+    if dealt_only:
+        return dealt
     local = dealt.groupBy("group", "block").applyInArrow(best, "query_id bigint, vec_id bigint, score bigint")
     return _first(local, k)
 

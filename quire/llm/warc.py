@@ -126,7 +126,7 @@ class WarcReader(DataSourceReader):
                 continue
             with store.open_input_stream(info.path) as f:
                 for name, size in json.loads(f.read()):
-                    out += [_Span(f"{root}/{name}", at, at + step if at + step < size else None, f"{root}/{INDEX}{name}") for at in range(0, size, step)]
+                    out += [_Span(f"{root}/{name}", at, at + step if at + step < size else None, f"{root}/{INDEX}{name}.json") for at in range(0, size, step)]
         if not out:
             out = [_Span(i.path, 0, None) for i in store.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith(".warc.gz")]
         return out or [_Span("", 0, 0)]
@@ -244,7 +244,7 @@ class WarcWriter(DataSourceWriter):
         def close() -> None:
             out.close()
             name, offsets = made[-1]
-            with store.open_output_stream(f"{root}/{INDEX}{name}", compression=None) as f:
+            with store.open_output_stream(f"{root}/{INDEX}{name}.json", compression=None) as f:
                 f.write(json.dumps(offsets).encode())
             sizes.append((name, at))
 
@@ -280,7 +280,7 @@ class WarcWriter(DataSourceWriter):
             for x in m.files if m else ():
                 for name, _ in json.loads(x):
                     store.delete_file(f"{root}/{name}")
-                    store.delete_file(f"{root}/{INDEX}{name}")
+                    store.delete_file(f"{root}/{INDEX}{name}.json")
 
 
 def register(spark: SparkSession) -> None:

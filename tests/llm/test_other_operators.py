@@ -275,3 +275,21 @@ def test_top_k_with_ids_repeated_many_times(spark):
 )
 def test_main_text_is_whole(html, text):
     assert H.main_text(html) == text
+
+
+def test_far_groups_are_pruned(spark):
+    r = random.Random(12)
+    centres = [[r.uniform(-1, 1) for _ in range(8)] for _ in range(10)]
+    rows = [(i, [c + r.uniform(-0.01, 0.01) for c in centres[i % 10]]) for i in range(2000)]
+    vectors = K.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    options = {"pivots": 16, "group_queries": 10}
+    dealt = K.top_k(vectors, F.col("vec_id") % 20 == 0, 5, dealt_only=True, **options)
+    groups = dealt.select("group").distinct().count()
+    copies = dealt.where("not is_query").count() / len(rows)
+    assert groups >= 8 and copies < 0.4 * groups
+    v = {i: np.array([math.floor(256 * a) for a in x]) for i, x in rows}
+    expected = set()
+    for q in range(0, 2000, 20):
+        best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:5]
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(x) for x in K.top_k(vectors, F.col("vec_id") % 20 == 0, 5, **options).collect()} == expected
