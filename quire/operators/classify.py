@@ -58,6 +58,18 @@ QUESTIONS = {
     "technical": ("What are the system requirements?", "Explain the architecture described", "List the main features or components", "What are the limitations mentioned?"),
     "legal": ("What are the key legal provisions?", "Summarize the rights and obligations", "Are there any penalties mentioned?", "What jurisdiction applies?"),
 }
+#: For each rule's patterns the words of which one stands in any match, in lower case.
+RULE_WORDS = {
+    "invoice": (("invoice",), ("amount",), ("payment",), ("bill",), ("remit",)),
+    "contract": (("agreement",), ("part",), ("witness",), ("terms",), ("effective",)),
+    "resume": (("experience",), ("education",), ("skills",), ("objective",), ("references",)),
+    "academic": (("abstract",), ("review",), ("methodology",), ("[",), ("et",)),
+    "form": (("please",), ("[",), ("____",), ("_",), ("required",)),
+    "letter": (("dear",), ("sincerely", "regards", "respectfully"), ("whom",), ("enclosed",)),
+    "legal": (("plaintiff", "defendant"), ("case",), ("motion",), ("order",), ("court", "tribunal")),
+    "financial": (("statement",), ("assets", "liabilities", "equity"), ("income", "profit", "loss"), ("fiscal",), ("gaap", "ifrs")),
+    "medical": (("patient",), ("diagnosis",), ("history",), ("dos",), ("bp", "pressure")),
+}
 LIST_LINE = r"(?i)^[\s]*[-*•]\s|^[\s]*\d+[.)]\s|^[\s]*[a-z][.)]\s"
 HEADER_LINE = r"(?i)^[\s]*(?:[A-Z][A-Z\s]+$|(?:chapter|section|article)\s+\d+|^\d+\.\s+[A-Z])"
 SIGNATURE = r"(?i)signature[\s:_]|sign here|authorized by|signed[\s:_]|witness[\s:_]|_+\s*date"
@@ -224,17 +236,19 @@ def classify_documents(docs: DataFrame, alternative_threshold: int = 20, max_alt
     return rows.select("doc_id", _type(F.col("best")).alias("type"), F.lit(100).alias("confidence"), F.lit("high").alias("level"), names.alias("alternatives"), "raw_score", (F.col("raw_score") + F.get("ranked", F.lit(1))["less"]).alias("margin"))
 
 
+def rule_points(text: Column, kind: str) -> Column:
+    """Weight x min(patterns that match, 3) of a class's rules: a substring test stands before each pattern."""
+    if kind not in RULES:
+        return F.lit(0)
+    low = F.lower(text)
+    weight_of, patterns = RULES[kind]
+    hits = [(reduce(lambda a, b: a | b, [low.contains(w) for w in words]) & text.rlike("(?im)" + p)).cast("int") for p, words in zip(patterns, RULE_WORDS[kind])]
+    return weight_of * F.least(reduce(lambda a, b: a + b, hits), F.lit(3))
+
+
 def pattern_scores(docs: DataFrame) -> DataFrame:
     """doc_id and, for each class with rules, weight x min(patterns that match, 3)."""
-    out = []
-    for t in TYPES:
-        if t in RULES:
-            w, patterns = RULES[t]
-            hits = reduce(lambda a, b: a + b, [F.col("text").rlike("(?im)" + p).cast("int") for p in patterns])
-            out.append((w * F.least(hits, F.lit(3))).alias(t))
-        else:
-            out.append(F.lit(0).alias(t))
-    return docs.select("doc_id", *out)
+    return docs.select("doc_id", *[rule_points(F.col("text"), t).alias(t) for t in TYPES])
 
 
 def quick_classify(docs: DataFrame) -> DataFrame:
@@ -246,9 +260,7 @@ def quick_classify(docs: DataFrame) -> DataFrame:
         if t not in KEYWORDS:
             return F.lit(0)
         words = F.aggregate(F.zip_with(f"k_{t}", F.array(*[F.lit(3 * w) for _, w in counts[t]]), lambda n, w: n * w), F.lit(0), lambda a, x: a + x)
-        if t not in RULES:
-            return words
-        return words + RULES[t][0] * F.least(reduce(lambda a, b: a + b, [F.col("text").rlike("(?im)" + p).cast("int") for p in RULES[t][1]]), F.lit(3))
+        return words + rule_points(F.col("text"), t)
 
     best = F.get("ranked", F.lit(0))
     scored = _ranked(rows, F.array(*[points(t).cast("int") for t in TYPES])).select("doc_id", F.floor(-best["less"] / 2 + 0.5).cast("int").alias("half"), best["i"].alias("i"))

@@ -115,7 +115,7 @@ def _marked_files(s, d):
 
 # --- Retrieval -----------------------------------------------------------------------------------------------------
 def _questions(s, d):
-    return corpus._every_query(s, d).selectExpr("query_id", "concat('What about ', cast(query_id as string), '?') AS question").unionByName(s.createDataFrame([(-1, "Anything?")], "query_id bigint, question string"))
+    return corpus._queries(s, d).selectExpr("query_id", "concat('What about ', cast(query_id as string), '?') AS question").unionByName(s.createDataFrame([(-1, "Anything?")], "query_id bigint, question string"))
 
 
 def _attached(s, d):
