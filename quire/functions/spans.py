@@ -39,15 +39,18 @@ def running(lengths: Column) -> Column:
     return let(lengths, lambda x: F.when(F.size(x) <= STEP, sums(x)["out"]).otherwise(blocked(x)))
 
 
-def find_all(text: Column, pattern: str, guard: str | None = None, groups: int = 0) -> Column:
+def find_all(text: Column, pattern: str, guard: str | None = None, groups: int = 0, needs: tuple[int, ...] = ()) -> Column:
     """start (0-based, code points), text and groups (unmatched ones empty) of every match, as MATCH; none in null.
 
     The pattern runs once over the text and must not match the empty string. guard: a cheaper pattern without which none
-    can match. Noncharacters U+FDD0 to U+FDD2 in the text count as U+FFFD.
+    can match. needs: groups of which one must have matched; the other matches are left out before any is taken apart. Noncharacters U+FDD0 to U+FDD2 in the text count as U+FFFD.
     """
     hay = text if guard is None else F.when(text.rlike(guard), text)
     hay = F.translate(F.coalesce(hay, F.lit("")), _BEGIN + _GROUP + _END, "\ufffd" * 3)
     marked = F.regexp_replace(hay, pattern, _BEGIN + "$0" + "".join(f"{_GROUP}${k + 1}" for k in range(groups)) + _END)
+    if needs:
+        other = f"[^{_BEGIN}{_GROUP}{_END}]*"
+        marked = F.regexp_replace(marked, f"{_BEGIN}({other})" + "".join(_GROUP + ("" if k + 1 in needs else other) for k in range(groups)) + _END, "$1")
     parts = F.filter(F.transform(F.split(marked, _END, -1), lambda b: F.split(b, f"[{_BEGIN}{_GROUP}]", -1)), lambda p: F.size(p) > 1)
 
     def placed(ps: Column) -> Column:

@@ -127,7 +127,9 @@ def amount_hits(text: Column) -> Column:
     code = lambda h: F.coalesce(F.try_element_at(codes, symbol(h)), F.try_element_at(codes, F.regexp_replace(F.upper(symbol(h)), r"\.", "")), F.lit("USD"))
     fields = lambda h: {"value": value(h), "currency": code(h), "symbol": prefix(h), "confidence": F.when(prefix(h).isNotNull(), 90).otherwise(75)}
     keep = lambda h: symbol(h).isNotNull() & (F.length(number(h)) >= 2) & (value(h) != 0)
-    found = F.filter(find_all(text, AMOUNT, r"(?i)[$€£¥₹元]|usd|eur|gbp|jpy|inr|rs|cad|aud|chf|cny", 3), keep)
+    # What a match can begin with, tested before its many alternatives.
+    pattern = AMOUNT.replace("(?iu)", "(?iu)(?=[0-9$€£¥₹元uegjirca])", 1)
+    found = F.filter(find_all(text, pattern, r"(?i)[$€£¥₹元]|usd|eur|gbp|jpy|inr|rs|cad|aud|chf|cny", 3, (1, 3)), keep)
     return F.transform(found, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(F.trim(h["text"]))).alias("stop"), F.trim(h["text"]).alias("text"), *[c.alias(n) for n, c in fields(h).items()]))
 
 

@@ -10,6 +10,7 @@ import re
 
 from py4j.protocol import Py4JError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def _matches_nothing(pattern: str) -> bool | None:
             return None
     try:
         return context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").lookingAt()
-    except Py4JError:
+    except (Py4JError, IllegalArgumentException):
         return None
 
 

@@ -418,3 +418,27 @@ ORACLES = {
     "m6_stream_key_information": " UNION ALL ".join(f"SELECT doc_id, page, {lit(k)} AS kind, start, stop, text, {v} AS value, confidence FROM ({q})" for k, q, v in (("email", _E._emails(BIZ), "lower(domain)"), ("phone", _E._phones(BIZ), "digits"))),
     "m6_stream_classify": f"SELECT type AS kind, count(*) AS n FROM ({classify.ORACLES['d7_quick_classify']}) GROUP BY type",
 }
+ORACLES |= {
+    "a6_table_objects": f"""WITH t AS (SELECT doc_id, page, rows, row_count, column_count, {layout._HEAD} AS header FROM {_TABLES}),
+ r AS (SELECT doc_id, page, header AND row_count > 1 AS has, rows, column_count, CAST(unnest(range(0, row_count)) AS INTEGER) AS row FROM t),
+ c AS (SELECT doc_id, page, has, row, i, coalesce(nullif(trim(rows[1][i]), ''), 'Column_' || i) AS h, rows[row + 1][i] AS v FROM (SELECT *, unnest(range(1, column_count + 1)) AS i FROM r WHERE NOT has OR row > 0)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, row, CASE WHEN has THEN h ELSE CAST(i AS VARCHAR) END ORDER BY i DESC) AS last FROM c)
+ SELECT doc_id, page, 0 AS table_idx, row, CASE WHEN has THEN '{{' || string_agg('"' || h || '":"' || v || '"', ',' ORDER BY i) || '}}' ELSE '[' || string_agg('"' || v || '"', ',' ORDER BY i) || ']' END AS json FROM k WHERE last = 1 GROUP BY doc_id, page, row, has""",
+    "a7_column_widths": f"SELECT doc_id, page, 0 AS table_idx, col, CAST(greatest(10, least(50, max(length(CASE kind WHEN 'number' THEN regexp_replace(CAST(CAST(number AS DECIMAL(38, 6)) AS VARCHAR), '\\.?0+$', '') WHEN 'text' THEN t ELSE '' END)) + 2)) AS INTEGER) AS width FROM {_GRID} GROUP BY doc_id, page, col",
+    "f22_unique_field_names": f"""WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, seq, CASE WHEN seq % 3 = 2 THEN 'name_2' WHEN seq % 2 = 0 THEN 'name' ELSE name END AS name FROM {layout._FIELDS}),
+ r AS (SELECT doc_id, seq, name, name AS unique_name, [name] AS used FROM f WHERE seq = 0
+  UNION ALL SELECT doc_id, seq, name, u, list_append(used, u) FROM (SELECT f.doc_id, f.seq, f.name, used, CASE WHEN list_contains(used, f.name) THEN f.name || '_' || list_filter(range(2, 100), lambda k: NOT list_contains(used, f.name || '_' || k))[1] ELSE f.name END AS u FROM r JOIN f ON f.doc_id = r.doc_id AND f.seq = r.seq + 1))
+ SELECT doc_id, seq, name, unique_name FROM r""",
+    "h6_build_prompts": f"""WITH q AS (SELECT vec_id AS query_id, 'What about ' || vec_id || '?' AS question FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT -1, 'Anything?'),
+ e AS (SELECT query_id, rank, '[Page ' || page || '] ' || content || chr(10) AS entry FROM ({corpus._top(8, -1.0)}) JOIN ({corpus._C}) USING (chunk_id)),
+ u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM e),
+ k AS (SELECT query_id, string_agg(entry, chr(10) ORDER BY rank) FILTER (used <= 9000) AS body FROM u GROUP BY query_id)
+ SELECT query_id, prompt, has_context, CAST(ceil(length(prompt) / 4.0) AS INTEGER) AS tokens FROM (SELECT q.query_id, k.query_id IS NOT NULL AS has_context,
+  CASE WHEN k.query_id IS NULL THEN {lit(chr(10).join(R.PROMPT_NO_CONTEXT))} ELSE {lit(chr(10).join(R.PROMPT_CONTEXT))} || coalesce(chr(10) || body, '') END || chr(10) || {lit(chr(10) + '## Question' + chr(10))} || chr(10) || question || chr(10) || {lit(chr(10).join(R.PROMPT_RULES))} AS prompt FROM q LEFT JOIN k USING (query_id))""",
+    "k5_history_replay": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS document_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'add' END AS action, event_id % 7 > 0 AS can, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ r AS (SELECT document_id, CAST(0 AS BIGINT) AS seq, '' AS action, CAST(0 AS BIGINT) AS n, CAST([] AS BOOLEAN[]) AS held, -1 AS i, false AS applied FROM (SELECT DISTINCT document_id FROM e)
+  UNION ALL SELECT document_id, seq, action, n, held, CASE WHEN action = 'add' THEN len(held) - 1 WHEN action = 'undo' AND applied THEN i - 1 WHEN action = 'redo' AND applied THEN i + 1 ELSE i END, applied FROM (
+   SELECT e.document_id, e.seq, e.action, e.n, i, CASE WHEN e.action = 'add' THEN list_reverse(list_reverse(list_append(held[1:i + 1], can))[1:10]) ELSE held END AS held, e.action = 'add' OR (e.action = 'undo' AND i >= 0 AND held[i + 1]) OR (e.action = 'redo' AND i < len(held) - 1) AS applied FROM r JOIN e ON e.document_id = r.document_id AND e.n = r.n + 1))
+ SELECT document_id, seq, action, applied, CAST(len(held) AS INTEGER) AS entries, CAST(i AS INTEGER) AS "position", CAST(len(list_filter(held[1:i + 1], lambda x: x)) AS INTEGER) AS undo, CAST(len(held) - 1 - i AS INTEGER) AS redo FROM r WHERE n > 0""",
+    "m2_expire_jobs_stream": f"SELECT job_id, make_timestamp((first_ms + 86400000) * 1000) AS \"at\" FROM (SELECT job_id, min(epoch_us(updated_at) // 1000) AS first_ms, count(*) FILTER (status IN {_FINAL}) AS ended FROM {_JOBS} GROUP BY job_id) WHERE ended = 0 AND first_ms + 86400000 < (SELECT max(epoch_us(ts) // 1000) FROM events)",
+}

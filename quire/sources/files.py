@@ -30,7 +30,7 @@ def validated(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
 def read_pdf_files(spark: SparkSession, path: str, most: int = MOST_BYTES, pattern: str = "*.pdf") -> DataFrame:
     """path, modified, length, error, content of the files below path; contents of files in error are null.
 
-    Sizes come from the listing, so the bytes of files that are too large are the only ones not looked at; no file fails the job.
+    No file fails the job. Files of no bytes have no row, as Spark's reader leaves them out; in tables of contents they are errors (validated).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     error = file_error(F.col("content"), F.col("length"), most)
