@@ -12,10 +12,11 @@ from .substrings import OP3_SQL, op3_substrings
 from .token_matrix import op9_matrices
 from .toxicity import op4_toxicity
 from .warc import op10_warc
+from .whitening import op11_whiten
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_private": op8_private, "op9_matrices": op9_matrices, "op10_warc": op10_warc}
+    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_private": op8_private, "op9_matrices": op9_matrices, "op10_warc": op10_warc, "op11_whiten": op11_whiten}
 
 
 def oracle_sql() -> dict[str, str]:
