@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .divergence import OP12_SQL, op12_divergence
 from .html_text import op7_html
 from .knn import OP2_SQL, op2_knn
 from .packing import op5_pack
@@ -16,8 +17,8 @@ from .whitening import op11_whiten
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_private": op8_private, "op9_matrices": op9_matrices, "op10_warc": op10_warc, "op11_whiten": op11_whiten}
+    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_private": op8_private, "op9_matrices": op9_matrices, "op10_warc": op10_warc, "op11_whiten": op11_whiten, "op12_divergence": op12_divergence}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_knn": OP2_SQL, "op3_substrings": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_knn": OP2_SQL, "op3_substrings": OP3_SQL, "op12_divergence": OP12_SQL}
