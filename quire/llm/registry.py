@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .divergence import OP12_SQL, op12_divergence
+from .fingerprints import op13_fingerprints
 from .html_text import op7_html
 from .knn import OP2_SQL, op2_knn
 from .packing import op5_pack
@@ -17,7 +18,7 @@ from .whitening import op11_whiten
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_private": op8_private, "op9_matrices": op9_matrices, "op10_warc": op10_warc, "op11_whiten": op11_whiten, "op12_divergence": op12_divergence}
+    return {"op1_decontaminate": op1_decontaminate, "op2_knn": op2_knn, "op3_substrings": op3_substrings, "op4_toxicity": op4_toxicity, "op5_pack": op5_pack, "op6_simhash": op6_simhash, "op7_html": op7_html, "op8_private": op8_private, "op9_matrices": op9_matrices, "op10_warc": op10_warc, "op11_whiten": op11_whiten, "op12_divergence": op12_divergence, "op13_fingerprints": op13_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
