@@ -223,6 +223,35 @@ def extract_ids(pages: DataFrame) -> DataFrame:
     return _rows(pages, KINDS["id"][0](F.col("text")), KINDS["id"][2])
 
 
+_NAMED = re.compile(r"\(\?<([A-Za-z][A-Za-z0-9]*)>")
+_OPENING = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\(\?<(?=[A-Za-z])|\((?!\?)")
+
+
+def group_names(pattern: str) -> dict[str, int]:
+    """The named groups of a pattern with their numbers: groups are numbered by their opening brackets."""
+    opened = [m for m in _OPENING.finditer(pattern) if m[0][0] == "("]
+    named = {m.start(): m[1] for m in _NAMED.finditer(pattern)}
+    return {named[m.start()]: n for n, m in enumerate(opened, 1) if m.start() in named}
+
+
+def extract_custom_named(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """name, groups, confidence 90 for the matches of the caller's own patterns; groups is a map of "$1", "$2", ... and of the groups' own names to what they matched.
+
+    Groups that took no part are left out; a match without any has null.
+    """
+    def hits(name: str, pattern: str) -> Column:
+        count = sum(m[0][0] == "(" for m in _OPENING.finditer(pattern))
+        keys = [(f"${k}", k) for k in range(1, count + 1)] + list(group_names(pattern).items())
+
+        def fields(h: Column) -> Column:
+            pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), group(h, n).alias("v")) for k, n in keys]), lambda p: p["v"].isNotNull()) if keys else F.array().cast("array<struct<k:string,v:string>>")
+            return F.struct(h["start"].alias("start"), (h["start"] + F.length(h["text"])).alias("stop"), h["text"].alias("text"), F.lit(name).alias("name"), F.when(F.size(pairs) > 0, F.map_from_entries(pairs)).alias("groups"), F.lit(90).alias("confidence"))
+
+        return F.transform(find_all(F.col("text"), pattern, groups=count), fields)
+
+    return pages.select("doc_id", "page", F.inline(F.concat(*[hits(*x) for x in patterns.items()])))
+
+
 def extract_custom(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """name, groups, confidence 90 for the matches of the caller's own patterns, by name."""
     parts = []
@@ -268,6 +297,20 @@ def entity_summary(entities: DataFrame) -> DataFrame:
     return entities.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), *counts, F.min(day).alias("first_date"), F.max(day).alias("last_date"), domains.alias("domains"), pages.alias("pages"))
 
 
+def currency_totals(entities: DataFrame) -> DataFrame:
+    """doc_id, currency, amounts, total of the amounts of `extract_key_information`, to the cent."""
+    parts = F.split("value", " ")
+    cents = F.floor(parts[1].cast("double") * 100 + 0.5).cast("decimal(38,0)")
+    rows = entities.where("kind = 'amount'").select("doc_id", parts[0].alias("currency"), cents.alias("cents"))
+    return rows.groupBy("doc_id", "currency").agg(F.count(F.lit(1)).alias("amounts"), (F.sum("cents") / 100).cast("double").alias("total"))
+
+
+def summary_with_totals(entities: DataFrame) -> DataFrame:
+    """`entity_summary` and totals: a map of currency to sum, empty for documents without amounts."""
+    totals = currency_totals(entities).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("currency", "total")))).alias("totals"))
+    return entity_summary(entities).join(totals, "doc_id", "left").withColumn("totals", F.coalesce("totals", F.create_map().cast("map<string,double>")))
+
+
 def filter_entities(entities: DataFrame, kinds: tuple[str, ...], query: str = "") -> DataFrame:
     """Entities of the kinds whose text holds the query, whatever its case."""
     kept = entities.where(F.col("kind").isin(*kinds))

@@ -150,6 +150,19 @@ def run_outcomes(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     return rows.cube("operation", "engine").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.sum("n").alias("artifacts"), F.sum("size").alias("bytes"))
 
 
+def run_statistics(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """operation, engine, status (null: all, told from null values by level), level, runs, succeeded, success_rate, artifacts, bytes, mean_ms, longest_ms over the cube of the three.
+
+    runs (run_id, operation, engine, status, created_at, completed_at), artifacts (run_id, size). The rate is of succeeded among ended runs, null
+    where none has ended. Runs without both times have no duration. level is Spark's grouping id.
+    """
+    made = artifacts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    rows = runs.join(made, "run_id", "left").fillna(0, ["n", "size"])
+    took = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1000
+    good, ended = F.count_if(F.col("status") == "succeeded"), F.count_if(F.col("status").isin(*TERMINAL))
+    return rows.withColumn("ms", took).cube("operation", "engine", "status").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("runs"), good.alias("succeeded"), (good / F.nullif(ended, F.lit(0))).alias("success_rate"), F.sum("n").alias("artifacts"), F.sum("size").alias("bytes"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("longest_ms"))
+
+
 def active_jobs(events: DataFrame) -> DataFrame:
     """job_id, status, updated_at of the jobs whose last state isn't terminal."""
     last = events.groupBy("job_id").agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", "event_id")).alias("s")).select("job_id", "s.*")
@@ -208,6 +221,32 @@ def prompt_history(messages: DataFrame, n: int = 6) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda s: s["line"]), "\n").alias("prompt"))
 
 
+def local_prompts(messages: DataFrame, settings: DataFrame | None = None, n: int = 6) -> DataFrame:
+    """conv_id, prompt: an optional system and context part, the last n messages as "User: ..." and "Assistant: ..." and the begin of an answer, a blank line between.
+
+    settings: conv_id, system, context; null and empty ones are left out. Conversations without messages have no prompt.
+    """
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.coalesce("text", F.lit("")))
+    kept = messages.withColumn("_last", last).where(F.col("_last") <= n).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda s: s["line"]).alias("lines"))
+    if settings is None:
+        return kept.select("conv_id", F.array_join(F.concat("lines", F.array(F.lit("Assistant:"))), "\n\n").alias("prompt"))
+    part = lambda c, head: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.array(F.concat(F.lit(head), c))).otherwise(F.array().cast("array<string>"))
+    rows = kept.join(settings.select("conv_id", "system", "context"), "conv_id", "left")
+    return rows.select("conv_id", F.array_join(F.concat(part("system", "System: "), part("context", "Context:\n"), "lines", F.array(F.lit("Assistant:"))), "\n\n").alias("prompt"))
+
+
+def cloud_messages(messages: DataFrame, settings: DataFrame) -> DataFrame:
+    """conv_id, seq (0-based), role, content: one system row (settings: conv_id, system) and then the stored messages by turn, their system rows left out.
+
+    Conversations without settings begin with an empty system row.
+    """
+    heads = messages.select("conv_id").distinct().join(settings.select("conv_id", "system"), "conv_id", "left").select("conv_id", F.lit(0).alias("seq"), F.lit("system").alias("role"), F.coalesce("system", F.lit("")).alias("content"))
+    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rest = messages.where("role is null or role <> 'system'").select("conv_id", seq.alias("seq"), "role", F.col("text").alias("content"))
+    return heads.unionByName(rest)
+
+
 def validate_chats(messages: DataFrame, most: int = 100, characters: int = 200_000) -> DataFrame:
     """conv_id, code: the first rule a conversation breaks, else ok."""
     facts = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("role").isin("system", "user", "assistant"), F.lit(False))).alias("odd"), F.count_if(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0).alias("blank"), F.sum(F.length("text")).alias("size"))

@@ -20,8 +20,8 @@ MIME_TYPES = {
 SORTABLE = ("filename", "file_size", "page_count", "created_at", "status", "id")
 
 
-def query_documents(docs: DataFrame, status: str | None = None, folder_id: str | None = None, tags: tuple[str, ...] = (), favourites: bool = False, search: str = "", sort_by: str = "created_at", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of the documents that pass all filters (tags: any of), sorted by the field and then id, with total and has_more."""
+def query_documents(docs: DataFrame, status: str | None = None, folder_id: str | None = None, tags: tuple[str, ...] = (), favourites: bool = False, search: str = "", root: bool = False, sort_by: str = "created_at", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
+    """One page of the documents that pass all filters (tags: any of), sorted by the field and then id, with total and has_more. root: those in no folder."""
     if sort_by not in SORTABLE:
         raise ValueError(f"can't sort by {sort_by}")
     kept = docs
@@ -29,6 +29,8 @@ def query_documents(docs: DataFrame, status: str | None = None, folder_id: str |
         kept = kept.where(F.col("status") == status)
     if folder_id is not None:
         kept = kept.where(F.col("folder_id") == folder_id)
+    if root:
+        kept = kept.where(F.col("folder_id").isNull())
     if tags:
         kept = kept.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     if favourites:
@@ -57,11 +59,15 @@ def top_accessed(accesses: DataFrame, n: int = 10) -> DataFrame:
 
 
 def library_stats(docs: DataFrame) -> DataFrame:
-    """grouping (all, status, month), key, documents, pages, bytes, in one pass with grouping sets."""
+    """grouping (all, status, month), key, documents, pages, bytes, in one pass with grouping sets.
+
+    Every known status has a row, of zeros where no document has it; documents without a status or month are counted under a null key. The key of all is empty.
+    """
     month = docs.withColumn("month", F.date_format("created_at", "yyyy-MM"))
-    sets = month.groupingSets([[], ["status"], ["month"]], "status", "month").agg(F.count(F.lit(1)).alias("documents"), F.sum("page_count").alias("pages"), F.sum("file_size").alias("bytes"))
-    name = F.when(F.col("month").isNotNull(), "month").when(F.col("status").isNotNull(), "status").otherwise("all")
-    return sets.select(name.alias("grouping"), F.coalesce("month", "status", F.lit("")).alias("key"), "documents", "pages", "bytes")
+    sets = month.groupingSets([[], ["status"], ["month"]], "status", "month").agg(F.grouping("status").alias("s"), F.grouping("month").alias("m"), F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+    sets = sets.select(F.when(F.col("s") == 0, "status").when(F.col("m") == 0, "month").otherwise("all").alias("grouping"), F.when(F.col("s") == 0, F.col("status")).when(F.col("m") == 0, F.col("month")).otherwise("").alias("key"), "documents", "pages", "bytes")
+    zeros = docs.sparkSession.createDataFrame([("status", k, 0, 0, 0) for k in STATUSES], "grouping string, key string, documents bigint, pages bigint, bytes bigint")
+    return sets.unionByName(zeros).groupBy("grouping", "key").agg(*[F.sum(c).alias(c) for c in ("documents", "pages", "bytes")])
 
 
 def content_stats(docs: DataFrame, messages: DataFrame, embeddings: DataFrame, dimensions: int = 384) -> DataFrame:
@@ -91,6 +97,29 @@ def import_documents(new: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.coalesce("file_size", F.lit(0)) <= 0, "error").when(F.col("known"), "skipped").otherwise("imported").alias("outcome"))
 
 
+def import_files(new: DataFrame, docs: DataFrame, at) -> dict[str, DataFrame]:
+    """The tables that an import of files (id, filename, content, mime_type, page_count, tags, folder_id) makes beside documents (id): outcomes, documents, blobs, versions, counts.
+
+    outcomes: id, outcome (imported, skipped, error), message. A known id is skipped; a file that is empty, of another type than PDF or
+    without its header is an error. Of repeated ids the largest file counts, of equally large ones the one of the smaller hash. An
+    imported file has a record, a blob and version 1, all made at the given time; their ids are hashes of the document's. counts is one row.
+    """
+    hashed = new.withColumns({"_size": F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint"), "_sha": F.sha2(F.coalesce("content", F.lit(b"")), 256)})
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_size"), "_sha", "filename"))
+    known = docs.select(F.col("id").alias("_known")).where("_known is not null").distinct()
+    one = hashed.withColumn("_nth", nth).where("_nth = 1").drop("_nth").join(known, F.col("id") == F.col("_known"), "left")
+    mime = F.coalesce("mime_type", F.lit(""))
+    # The messages.
+    message = F.when(F.col("_size") == 0, "Cannot import an empty document").when((mime != "") & (mime != MIME_TYPES["pdf"]), "Only application/pdf documents can be imported").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "The selected file does not contain a PDF header")
+    told = materialised(one.withColumn("message", F.when(F.col("_known").isNull(), message)).withColumn("outcome", F.when(F.col("_known").isNotNull(), "skipped").when(F.col("message").isNotNull(), "error").otherwise("imported")).drop("_known"), "import")
+    made = told.where("outcome = 'imported'").withColumns({"blob_id": F.sha2(F.concat(F.col("id").cast("string"), F.lit("/blob/1")), 256), "version_id": F.sha2(F.concat(F.col("id").cast("string"), F.lit("/version/1")), 256), "created_at": F.lit(at).cast("timestamp")})
+    records = made.select("id", "filename", F.lit(MIME_TYPES["pdf"]).alias("mime_type"), F.col("_size").alias("file_size"), "page_count", F.lit("ready").alias("status"), "tags", "folder_id", "created_at", F.col("created_at").alias("updated_at"), F.col("created_at").alias("last_accessed_at"), F.col("_sha").alias("file_hash"), F.col("version_id").alias("original_version_id"), F.col("version_id").alias("current_version_id"), F.lit("local-only").alias("sync_status"))
+    blobs = made.select(F.col("blob_id").alias("id"), F.col("id").alias("document_id"), F.col("content").alias("data"), F.col("_size").alias("size"), F.col("_sha").alias("sha256"), "created_at")
+    versions = made.select(F.col("version_id").alias("id"), F.col("id").alias("document_id"), "blob_id", F.lit(1).alias("version_number"), F.lit("import").alias("source"), F.lit("Original import").alias("label"), "created_at")
+    counts = told.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("imported", "imported"), ("skipped", "skipped"), ("error", "errors"))])
+    return {"outcomes": told.select("id", "outcome", "message"), "documents": records, "blobs": blobs, "versions": versions, "counts": counts}
+
+
 def append_versions(changes: DataFrame, versions: DataFrame) -> DataFrame:
     """document_id, version_number, blob_id, parent_version, is_current: changes (document_id, seq, blob_id) numbered on from the last version."""
     last = versions.groupBy("document_id").agg(F.max("version_number").alias("last"))
@@ -116,34 +145,101 @@ def bytes_as_of(versions: DataFrame, moment) -> DataFrame:
     return latest_version(versions.where(F.col("created_at") <= F.lit(moment)))
 
 
-def delete_documents(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Each table (with document_id) without the rows of the ids (document_id): one anti join a table."""
-    return {name: t.join(ids, "document_id", "left_anti") for name, t in tables.items()}
+def versions_as_of(versions: DataFrame, points: DataFrame, span_seconds: int = 86_400) -> DataFrame:
+    """document_id, at, version_number, blob_id, size: for every point (document_id, at) the version in force, nulls before the first one.
+
+    An as-of join without an inequality: versions (document_id, version_number, blob_id, size, created_at) and points are
+    sorted together and the last version is carried forward, within stretches of span_seconds; only a stretch's last
+    version goes on to the later ones, so a document with most of all rows is spread over its stretches. A version made at the very
+    moment counts, of several the highest number. Points without a document or time, and versions without a time, take no part; repeated points keep a row each.
+    """
+    stretch = lambda at: F.floor(F.unix_micros(at.cast("timestamp")) / (span_seconds * 1_000_000))
+    made = versions.where("created_at is not null").select("document_id", F.col("created_at").cast("timestamp").alias("at"), F.struct("version_number", "blob_id", "size").alias("v"))
+    made = made.groupBy("document_id", "at").agg(F.max_by("v", "v.version_number").alias("v")).withColumn("s", stretch(F.col("at")))
+    asked = points.where("document_id is not null and at is not null").select("document_id", F.col("at").cast("timestamp").alias("at")).withColumn("s", stretch(F.col("at")))
+    both = made.withColumn("ask", F.lit(0)).unionByName(asked.withColumn("ask", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("document_id", "s").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("v", F.last("v", ignorenulls=True).over(so_far)).where("ask = 1")
+    # A row for each stretch of a document: its last version, and the last one of those before.
+    ends = both.groupBy("document_id", "s").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("last"))
+    earlier = Window.partitionBy("document_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("document_id", "s", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    found = inside.join(ends, ["document_id", "s"]).withColumn("v", F.coalesce("v", "before"))
+    return found.select("document_id", "at", "v.version_number", "v.blob_id", "v.size")
+
+
+def delete_documents(ids: DataFrame, tables: dict[str, DataFrame], at=None) -> dict[str, DataFrame]:
+    """What is left of each table once the documents of ids (document_id) go.
+
+    documents goes by id; conversations (conv_id, document_ids) loses the ids from its lists, is changed at the given time where it has an
+    updated_at, and goes where none is left; messages (conv_id) go with their conversation; all other tables (blobs, versions,
+    runs, artifacts, embeddings, ...) go by document_id. Conversations that named no document stay, as do rows without an id. Repeated ids do no harm.
+    """
+    gone = ids.select(F.col("document_id").alias("_gone_id")).where("_gone_id is not null").distinct()
+    out = {n: t.join(gone, t["id" if n == "documents" else "document_id"] == gone["_gone_id"], "left_anti") for n, t in tables.items() if n not in ("conversations", "messages")}
+    if "conversations" in tables:
+        talks = tables["conversations"]
+        hits = talks.select(F.col("conv_id").alias("_hit_conv"), F.explode(F.array_distinct("document_ids")).alias("_gone_id")).join(gone, "_gone_id").groupBy("_hit_conv").agg(F.collect_set("_gone_id").alias("_gone_ids"))
+        left = F.filter("document_ids", lambda d: ~F.coalesce(F.array_contains("_gone_ids", d), F.lit(False)))
+        marked = talks.join(hits, talks["conv_id"] == hits["_hit_conv"], "left").withColumn("_left_ids", F.when(F.col("_gone_ids").isNull(), F.col("document_ids")).otherwise(left))
+        dropped = F.col("_gone_ids").isNotNull() & (F.size("_left_ids") == 0)
+        if at is not None and "updated_at" in talks.columns:
+            marked = marked.withColumn("updated_at", F.when(F.col("_gone_ids").isNotNull(), F.lit(at)).otherwise(F.col("updated_at")))
+        out["conversations"] = marked.where(~dropped).withColumn("document_ids", F.col("_left_ids")).select(*talks.columns)
+        if "messages" in tables:
+            silent = marked.where(dropped).select(F.col("conv_id").alias("_gone_conv")).distinct()
+            out["messages"] = tables["messages"].join(silent, tables["messages"]["conv_id"] == silent["_gone_conv"], "left_anti")
+    elif "messages" in tables:
+        out["messages"] = tables["messages"]
+    return out
 
 
 def folder_tree(folders: DataFrame) -> DataFrame:
     """ancestor, id, level for every folder (id, parent_id) below each one, itself at 0, however deep.
 
-    Each level is written to the shared folder and joined once more. A folder that is its own ancestor is met again at the
-    end of its ring, and there it ends. Roots are folders whose parent is null or unknown.
+    By doubled reach: a round joins what lies up to 2^k levels above with the folder 2^k levels up, so a chain of n folders takes
+    log2(n) rounds; each is written to the shared folder. A folder of a ring has all of the ring above it once, and rounds end when
+    they find no new pair. Roots are folders whose parent is null or unknown; ids must not repeat.
     """
-    up = folders.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where("id is not null")
-    found = step = folders.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("level"))
-    level = 0
+    known = folders.select("id", "parent_id").where("id is not null")
+    up = known.join(known.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.col("parent_id").alias("above"))
+    found = known.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("level"))
+    reach, count = 1, found.count()
     while True:
-        level += 1
-        below = step.join(up, "id").where("child <> ancestor").select("ancestor", F.col("child").alias("id"), F.lit(level).alias("level"))
-        step = materialised(below, "folders")
-        if step.isEmpty():
+        up = materialised(up, "folder_steps")
+        further = up.select(F.col("id").alias("low"), F.col("above").alias("id")).join(found, "id").select("ancestor", F.col("low").alias("id"), (F.col("level") + reach).alias("level"))
+        found = materialised(found.unionByName(further).groupBy("ancestor", "id").agg(F.min("level").alias("level")), "folders")
+        if (new := found.count()) == count:
             return found
-        found = found.unionByName(step)
+        count, reach = new, 2 * reach
+        up = up.join(up.select(F.col("id").alias("above"), F.col("above").alias("top")), "above").select("id", F.col("top").alias("above"))
+
+
+def folder_subtree(folders: DataFrame, folder_id) -> DataFrame:
+    """id of a folder (id, parent_id) and of all below it, without the pairs of the others.
+
+    Every folder keeps one place above it and whether the wanted one lies on the way there; a round doubles the way, so a chain
+    of n folders takes log2(n) rounds. Rings end when the way is longer than there are folders. An unknown folder has no subtree.
+    """
+    known = folders.select("id", F.col("parent_id").alias("above")).where("id is not null")
+    state = known.withColumn("hit", F.col("id") == F.lit(folder_id)).withColumn("above", F.when(~F.col("hit"), F.col("above")))
+    most, reach = known.count(), 1
+    while True:
+        state = materialised(state, "subtree")
+        if reach > most or state.where("not hit and above is not null").isEmpty():
+            return state.where("hit").select("id")
+        there = state.select(F.col("id").alias("above"), F.col("above").alias("top"), F.col("hit").alias("found"))
+        # What is settled has no way left, so no null or shared key gathers rows.
+        open_ = state.where("not hit and above is not null").join(there, "above", "left")
+        moved = open_.select("id", F.when(~F.coalesce("found", F.lit(False)), F.col("top")).alias("above"), F.coalesce("found", F.lit(False)).alias("hit"))
+        state, reach = state.where("hit or above is null").unionByName(moved), 2 * reach
 
 
 def delete_folder(folders: DataFrame, docs: DataFrame, folder_id, target=None) -> tuple[DataFrame, DataFrame]:
     """The folders without one and all below it, and the documents, those in them moved to the target folder (null: to the root)."""
-    gone = folder_tree(folders).where(F.col("ancestor") == F.lit(folder_id)).select(F.col("id").alias("gone"))
-    kept = folders.join(gone, folders["id"] == gone["gone"], "left_anti")
-    moved = docs.join(gone, docs["folder_id"] == gone["gone"], "left").withColumn("folder_id", F.when(F.col("gone").isNotNull(), F.lit(target)).otherwise(F.col("folder_id"))).drop("gone")
+    gone = folder_subtree(folders, folder_id).select(F.col("id").alias("_gone_folder"))
+    kept = folders.join(gone, folders["id"] == gone["_gone_folder"], "left_anti")
+    moved = docs.join(gone, docs["folder_id"] == gone["_gone_folder"], "left").withColumn("folder_id", F.when(F.col("_gone_folder").isNotNull(), F.lit(target)).otherwise(F.col("folder_id"))).drop("_gone_folder")
     return kept, moved
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.folds import fold_rows
+from quire.functions.shared import materialised
 
 
 def parse_page_ranges(spec: Column, last: Column) -> Column:
@@ -133,10 +134,56 @@ def merge_plan(docs: DataFrame) -> DataFrame:
     return docs.select("bundle", "doc_id", F.coalesce(F.sum("page_count").over(w), F.lit(0)).cast("bigint").alias("page_offset"), "page_count")
 
 
-def page_labels(manifest: DataFrame, form: str = "x-of-y", custom: str = "") -> DataFrame:
-    """doc_id, page, label: page-x, x-of-y, x-slash-y, x-only or custom with {page} and {total}."""
+def merge_checks(bundles: DataFrame, docs: DataFrame, most: int = 50) -> DataFrame:
+    """bundle, documents, error of every bundle (bundle): null where its documents (bundle, ...) can be merged, which takes 1 to `most`."""
+    n = docs.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+    rows = bundles.select("bundle").distinct().join(n, "bundle", "left").select("bundle", F.coalesce("n", F.lit(0)).alias("documents"))
+    return rows.withColumn("error", F.when(F.col("documents") == 0, "No documents provided for merging").when(F.col("documents") > most, f"Cannot merge more than {most} documents at once"))
+
+
+_OUTLINE = "array<struct<title:string,dest:int,items:string>>"
+#: White space at both ends, as scripts of web pages trim it.
+_ENDS = "^[\\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u000b]+|[\\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u000b]+$"
+
+
+def flat_outline(outlines: DataFrame) -> DataFrame:
+    """doc_id, path (0-based places from the top), title, dest of every entry of outlines (doc_id, outline: JSON array of {title, dest, items}), however deep.
+
+    Nested entries stay JSON until their level is unfolded, and levels with entries are written to the shared folder, so there are as many
+    rounds as levels. Null, empty and unreadable outlines have no entries. Order by path is that of reading.
+    """
+    level = outlines.select("doc_id", F.array().cast("array<int>").alias("path"), F.col("outline").alias("items"))
+    found = None
+    while True:
+        rows = level.select("doc_id", "path", F.posexplode(F.from_json("items", _OUTLINE)).alias("i", "e")).where("e is not null")
+        rows = materialised(rows.select("doc_id", F.concat("path", F.array("i")).alias("path"), "e.title", "e.dest", "e.items"), "outline")
+        part = rows.select("doc_id", "path", "title", "dest")
+        found = part if found is None else found.unionByName(part)
+        level = rows.where("items is not null and items not in ('', '[]')").select("doc_id", "path", "items")
+        if level.isEmpty():
+            return found
+
+
+def merge_bookmarks(docs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """bundle, seq (0-based), doc_id, title, page (0-based in the merged document): the outlines (doc_id, outline) of documents (bundle, position, doc_id, page_count), flattened.
+
+    Entries without a title or with a place outside their document are left out; what is nested in them stays.
+    """
+    plan = merge_plan(docs).join(docs.select("bundle", "doc_id", "position"), ["bundle", "doc_id"])
+    title = F.regexp_replace("title", _ENDS, "")
+    rows = flat_outline(outlines).withColumn("title", title).where("length(title) > 0").join(plan, "doc_id").where("dest >= 0 and dest < page_count")
+    seq = F.row_number().over(Window.partitionBy("bundle").orderBy("position", "path")) - 1
+    return rows.select("bundle", seq.alias("seq"), "doc_id", "title", (F.col("page_offset") + F.col("dest")).alias("page"))
+
+
+def page_labels(manifest: DataFrame, form: str = "x-of-y", custom: str = "", start_page: int = 1, end_page: int | None = None, start_number: int = 1) -> DataFrame:
+    """doc_id, page, label: page-x, x-of-y, x-slash-y, x-only or custom with {page} and {total}; without a custom text the number alone.
+
+    Pages from start_page to end_page have one, numbered from start_number; the total is that of all pages. Null pages have none.
+    """
     total = F.count(F.lit(1)).over(Window.partitionBy("doc_id")).cast("string")
-    page = F.col("page").cast("string")
+    page = (F.col("page") - start_page + start_number).cast("string")
+    form = "x-only" if form == "custom" and not custom else form
     label = {
         "page-x": F.concat(F.lit("Page "), page),
         "x-of-y": F.concat(page, F.lit(" of "), total),
@@ -144,15 +191,19 @@ def page_labels(manifest: DataFrame, form: str = "x-of-y", custom: str = "") ->
         "x-only": page,
         "custom": F.replace(F.replace(F.lit(custom), F.lit("{page}"), page), F.lit("{total}"), total),
     }[form]
-    return manifest.select("doc_id", "page", label.alias("label"))
+    # The total is counted before pages are left out.
+    labelled = manifest.select("doc_id", "page", label.alias("label")).where(F.col("page") >= start_page)
+    return labelled if end_page is None else labelled.where(F.col("page") <= end_page)
 
 
-def bates_numbers(manifest: DataFrame, prefix: str = "", suffix: str = "", start: int = 1, digits: int = 6, per_zone: int = 100_000, most_zones: int = 10_000) -> DataFrame:
-    """doc_id, page, bates: one running number over all documents, in doc_id and page order. doc_id is a number; rows without one are left out.
+def bates_numbers(manifest: DataFrame, prefix: str = "", suffix: str = "", start: int = 1, digits: int = 6, per_zone: int = 100_000, most_zones: int = 10_000, start_page: int = 1, end_page: int | None = None) -> DataFrame:
+    """doc_id, page, bates: one running number over the pages from start_page to end_page of all documents, in doc_id and page order. doc_id is a number; rows without one are left out.
 
     Documents are cut into zones of about per_zone at quantiles of doc_id, whatever their spread. Only the zones' sums, most_zones at
     most, are added up in one task; documents are numbered within their zone and pages within their document.
     """
+    manifest = manifest.where(F.col("page") >= start_page) if start_page > 1 else manifest
+    manifest = manifest if end_page is None else manifest.where(F.col("page") <= end_page)
     counts = manifest.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     zones = max(1, min(most_zones, counts.count() // per_zone))
     cuts = sorted(set(counts.approxQuantile("doc_id", [i / zones for i in range(1, zones)], 0.25 / zones))) if zones > 1 else []
@@ -177,6 +228,36 @@ def image_inventory(images: DataFrame, min_width: int = 0, min_height: int = 0)
     return one.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("images"), F.sum("px").alias("pixels"))
 
 
+# The format that each filter of a stored image gives, and the share of the raw bytes it is taken to need.
+IMAGE_FORMATS = {"DCTDecode": "jpeg", "JPXDecode": "jp2", "JBIG2Decode": "jbig2"}
+IMAGE_SHARES = {"jpeg": 0.1, "png": 0.5}
+
+
+def image_metadata(images: DataFrame, min_width: int = 0, min_height: int = 0, prefix: str = "image") -> DataFrame:
+    """doc_id, index (0-based in the document), page, object_name, format, width, height, estimated_bytes, filename of a page's distinct objects.
+
+    images: doc_id, page, seq (order of painting), object_name, width, height, filter. Of a name the first painted one counts, and goes where it
+    is too small; without a name there is none. Missing sizes are 0; unknown and missing filters are png.
+    """
+    first = F.row_number().over(Window.partitionBy("doc_id", "page", "object_name").orderBy("seq"))
+    rows = images.where("coalesce(object_name, '') <> ''").withColumn("nth", first).where("nth = 1").fillna(0, ["width", "height"])
+    rows = rows.where((F.col("width") >= min_width) & (F.col("height") >= min_height))
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in IMAGE_FORMATS.items() for x in kv]), F.col("filter")), F.lit("png"))
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in IMAGE_SHARES.items() for x in kv]), F.col("format")), F.lit(1.0))
+    raw = F.col("width").cast("bigint") * F.col("height") * 3
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seq", "object_name")) - 1
+    rows = rows.withColumn("format", kind).withColumn("index", index).withColumn("estimated_bytes", F.floor(raw * share + 0.5).cast("bigint"))
+    name = F.concat(F.lit(f"{prefix}_page"), F.col("page").cast("string"), F.lit("_"), (F.col("index") + 1).cast("string"), F.lit("."), "format")
+    return rows.select("doc_id", "index", "page", "object_name", "format", "width", "height", "estimated_bytes", name.alias("filename"))
+
+
+def image_counts(manifest: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id, page, images, total (of the document) for every page (doc_id, page): distinct named objects, 0 on pages without one."""
+    n = images.where("coalesce(object_name, '') <> ''").groupBy("doc_id", "page").agg(F.countDistinct("object_name").alias("images"))
+    rows = manifest.select("doc_id", "page").distinct().join(n, ["doc_id", "page"], "left").fillna(0, ["images"])
+    return rows.withColumn("total", F.sum("images").over(Window.partitionBy("doc_id")))
+
+
 def window_counter(limit: int, window_ms: int, reset: int | None = None, count: int = 0):
     """A client's limiter: a step from a request's time to (allowed, retry_after in seconds), and its state (reset, count)."""
 

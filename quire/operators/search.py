@@ -7,12 +7,16 @@ rows; columns not named are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.functions.spans import BOUND, find_all, let
 
@@ -85,14 +89,63 @@ def match_rects(matches: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, page, start, text, x, y, width, height: the box of all items whose characters a match shares; matches with none are dropped.
 
     matches (doc_id, page, start, text) of page texts that items (doc_id, page, item_idx, str, x, y, width, height, has_eol) make up in order with a break after
-    each item that ends a line. An interval join within pages.
+    each item that ends a line. An interval join by a sweep: matches and items of a page come in order of their
+    places, and only the last item and the matches not yet closed are held, so the work grows with their number and overlaps,
+    not with their product. Matches may overlap each other. Null texts have no characters, and items without a whole box cover nothing.
     """
-    length = F.length("str") + F.coalesce(F.col("has_eol"), F.lit(False)).cast("int")
+    n = F.coalesce(F.length("str"), F.lit(0))
     before = Window.partitionBy("doc_id", "page").orderBy("item_idx").rowsBetween(Window.unboundedPreceding, -1)
-    placed = items.select("doc_id", "page", "x", "y", "width", "height", F.coalesce(F.sum(length).over(before), F.lit(0)).alias("i_start"), F.length("str").alias("n"))
-    found = matches.select("doc_id", "page", "start", "text").join(placed, ["doc_id", "page"]).where("i_start < start + length(text) and i_start + n > start")
-    boxes = found.groupBy("doc_id", "page", "start", "text").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max("height").alias("height"))
-    return boxes.select("doc_id", "page", "start", "text", "x", "y", (F.col("right") - F.col("x")).alias("width"), "height")
+    box = ["x", "y", "width", "height"]
+    placed = items.select("doc_id", "page", F.coalesce(F.sum(n + F.coalesce(F.col("has_eol"), F.lit(False)).cast("int")).over(before), F.lit(0)).cast("bigint").alias("at"), F.lit(0).alias("kind"), n.cast("bigint").alias("n"), *[F.col(c).cast("double").alias(c) for c in box], F.lit(None).cast("string").alias("text"))
+    placed = placed.where(" and ".join(f"{c} is not null" for c in box))
+    asked = matches.select("doc_id", "page", F.col("start").cast("bigint").alias("at"), F.lit(1).alias("kind"), F.length("text").cast("bigint").alias("n"), *[F.lit(None).cast("double").alias(c) for c in box], "text").where("n > 0")
+    # Dealt by a hash of the page: a union of sides that are dealt by page already would be taken as dealt, though their partitions may have been coalesced apart.
+    rows = placed.unionByName(asked).repartition(F.xxhash64("doc_id", "page")).sortWithinPartitions("doc_id", "page", "at", "kind")
+    kinds = {f.name: f.dataType for f in matches.schema.fields}
+    out = StructType([StructField(c, kinds[c]) for c in ("doc_id", "page", "start", "text")] + [StructField(c, DoubleType()) for c in box])
+    return rows.mapInArrow(lambda batches: _swept(batches, to_arrow_schema(out)), out)
+
+
+def _swept(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Boxes of matches (kind 1) over items (kind 0) in order of page, place and kind."""
+    page, item, still = None, None, []
+
+    def close(at: float) -> list[tuple]:
+        """Takes out the matches that end at or before a place, as rows."""
+        nonlocal still
+        done = [m for m in still if m[0] <= at]
+        if done:
+            still = [m for m in still if m[0] > at]
+        return [(*page, start, text, x, y, right - x, height) for _, start, text, x, y, right, height in done if x is not None]
+
+    def cover(m: list, box: tuple) -> None:
+        x, y, width, height = box
+        m[3:] = (x, y, x + width, height) if m[3] is None else (min(m[3], x), min(m[4], y), max(m[5], x + width), max(m[6], height))
+
+    for batch in batches:
+        found: list[tuple] = []
+        for doc, number, at, kind, n, x, y, width, height, text in zip(*[c.to_pylist() for c in batch.columns]):
+            if (doc, number) != page:
+                found += close(float("inf"))
+                page, item, still = (doc, number), None, []
+            if still:
+                found += close(at)
+            if kind:
+                m = [at + n, at, text, None, None, None, None]
+                if item and item[0] > at:
+                    cover(m, item[1])
+                still.append(m)
+            else:
+                # An item without characters strictly inside a match counts, at its start it does not.
+                for m in still:
+                    if at + n > m[1]:
+                        cover(m, (x, y, width, height))
+                if n:
+                    item = at + n, (x, y, width, height)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+    if found := close(float("inf")):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
 
 def count_matches(pages: DataFrame, query: str, **options) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classify, corpus, entities, layout, more, pages, records
+from . import classify, corpus, entities, layout, more, pages, parts, records
 
-MODULES = (entities, classify, corpus, layout, records, pages, more)
+MODULES = (entities, classify, corpus, layout, records, pages, more, parts)
 
 
 def queries() -> dict:
