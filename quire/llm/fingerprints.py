@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, stored
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples taken from one row: more of them make code that Java does not compile.
 AT_ONCE = 32
 #: Characters of a zone of neighbouring documents, and the most zones: their bounds are in the plan.
