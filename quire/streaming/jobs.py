@@ -120,6 +120,17 @@ def session_counts(requests: DataFrame, gap: str = "30 minutes", late: str = "1
     return counts.select("client", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
 
 
+def chat_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """stream_id, seq, the columns more, id, delta, finish_reason of all server lines (stream_id, seq, line): those that say nothing, such as blank lines, other fields, the end mark and unreadable data, have a null id."""
+    data = F.regexp_extract(F.trim("line"), r"(?s)\Adata: (.*)\z", 1)
+    known = F.when((data != "") & (data != "[DONE]"), data)
+    rows = lines.select("stream_id", "seq", *more, F.from_json(known, "id string, choices array<struct<delta:struct<content:string>,finish_reason:string>>").alias("j"))
+    first = F.get("j.choices", F.lit(0))
+    delta, reason = F.coalesce(first["delta"]["content"], F.lit("")), first["finish_reason"]
+    says = (delta != "") | reason.isNotNull()
+    return rows.select("stream_id", "seq", *more, F.when(says, F.coalesce(F.col("j.id"), F.lit(""))).alias("id"), F.when(says, delta).alias("delta"), reason.alias("finish_reason"))
+
+
 def chat_deltas(lines: DataFrame) -> DataFrame:
     """stream_id, seq, id, delta, finish_reason of server lines (stream_id, seq, line): blank lines, other fields, the end mark and unreadable data are skipped.
 
