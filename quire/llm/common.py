@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text, as binary: told apart from any other text but for a chance of n^2 / 2^129 among n; null has a key of its own."""
+    return F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text)))
+
+
 def spread_join(rows: DataFrame, marks: DataFrame, on: list[str], counted: str, deal: str, how: str = "inner", least: int = 1_000, most: int = 10_000) -> DataFrame:
     """rows joined to marks (one row for each key, the number of its rows in column counted) without hot tasks.
 

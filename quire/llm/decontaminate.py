@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import pick, stored
 
@@ -24,8 +25,8 @@ from .common import pick, stored
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEGMENT_WORDS = 1_000_000
 BLOCK_BYTES = 8_000_000
-INDEX_SCHEMA = "segment string, doc_ids array<bigint>, n_words array<bigint>, terms array<string>, counts array<int>, positions binary"
-MATCH_SCHEMA = "segment string, ordinal int, doc_id bigint, n_words bigint, runs array<struct<item_id:bigint,start:bigint,stop:bigint>>"
+INDEX_SCHEMA = "segment string, doc_ids array<{}>, n_words array<bigint>, terms array<string>, counts array<int>, positions binary"
+MATCH_SCHEMA = "segment string, ordinal int, doc_id {}, n_words bigint, runs array<struct<item_id:bigint,start:bigint,stop:bigint>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,6 +42,8 @@ def build_index(docs: DataFrame, vocabulary: Iterable[str] | None = None) -> Dat
     not read; an empty table gives no segments.
     """
     known = None if vocabulary is None else {w.encode(): i for i, w in enumerate(sorted(set(vocabulary)))}
+    id_type = docs.schema["doc_id"].dataType
+    arrow_id = to_arrow_type(id_type)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -57,7 +60,7 @@ def build_index(docs: DataFrame, vocabulary: Iterable[str] | None = None) -> Dat
             present, counts = np.unique(flat, return_counts=True)
             names = list(ranks)
             rows = [f"{part}-{made}"], [ids], [lens], [[names[i].decode() for i in present]], [counts.tolist()], [at[order].astype("<i4").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.string())), pa.array(rows[4], pa.list_(pa.int32())), pa.array(rows[5], pa.binary())], names=["segment", "doc_ids", "n_words", "terms", "counts", "positions"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1], pa.list_(arrow_id)), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.string())), pa.array(rows[4], pa.list_(pa.int32())), pa.array(rows[5], pa.binary())], names=["segment", "doc_ids", "n_words", "terms", "counts", "positions"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -78,14 +81,14 @@ def build_index(docs: DataFrame, vocabulary: Iterable[str] | None = None) -> Dat
         if ids:
             yield close()
 
-    return pick(docs, "doc_id", "text").mapInArrow(segments, INDEX_SCHEMA)
+    return pick(docs, "doc_id", "text").mapInArrow(segments, INDEX_SCHEMA.format(id_type.simpleString()))
 
 
 class _Segment:
     """One segment's postings as sorted keys term * span + position."""
 
-    def __init__(self, doc_ids, n_words, terms, counts, positions, vocabulary: dict[str, int]):
-        self.doc_ids = doc_ids
+    def __init__(self, doc_ids, n_words, terms, counts, positions, vocabulary: dict[str, int], id_type: pa.DataType):
+        self.doc_ids, self.id_type = doc_ids, id_type
         self.lens = np.asarray(n_words, np.int64)
         self.ends = np.cumsum(self.lens)
         self.begins = self.ends - self.lens
@@ -125,7 +128,7 @@ class _Segment:
                 mine.append({"item_id": w, "start": a, "stop": b})
         n = len(self.doc_ids)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(self.doc_ids, pa.int64()), pa.array(self.lens), pa.array([runs.get(d, []) for d in range(n)], kind)], names=["segment", "ordinal", "doc_id", "n_words", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(self.doc_ids, self.id_type), pa.array(self.lens), pa.array([runs.get(d, []) for d in range(n)], kind)], names=["segment", "ordinal", "doc_id", "n_words", "runs"])
 
 
 def _chunks(load: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
@@ -151,7 +154,7 @@ def search_phrases(index: DataFrame, phrases: list[tuple[int, tuple[str, ...]]])
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg = _Segment(row["doc_ids"], row["n_words"], row["terms"], row["counts"], row["positions"], vocabulary)
+                seg = _Segment(row["doc_ids"], row["n_words"], row["terms"], row["counts"], row["positions"], vocabulary, batch.schema.field("doc_ids").type.value_type)
                 hits = [(np.empty(0, np.int64),) * 4]
                 for item, terms in shapes:
                     counts = seg.count[terms]
@@ -178,7 +181,7 @@ def search_phrases(index: DataFrame, phrases: list[tuple[int, tuple[str, ...]]])
                         hits.append((doc[kept], item[which[kept]], start[kept], start[kept] + width))
                 yield seg.rows(row["segment"], *(np.concatenate(x) for x in zip(*hits)))
 
-    return index.mapInArrow(look, MATCH_SCHEMA)
+    return index.mapInArrow(look, MATCH_SCHEMA.format(index.schema["doc_ids"].dataType.elementType.simpleString()))
 
 
 def search_proximity(index: DataFrame, queries: list[tuple[int, tuple[str, ...]]], slop: int) -> DataFrame:
@@ -193,7 +196,7 @@ def search_proximity(index: DataFrame, queries: list[tuple[int, tuple[str, ...]]
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg = _Segment(row["doc_ids"], row["n_words"], row["terms"], row["counts"], row["positions"], vocabulary)
+                seg = _Segment(row["doc_ids"], row["n_words"], row["terms"], row["counts"], row["positions"], vocabulary, batch.schema.field("doc_ids").type.value_type)
                 hits = [(np.empty(0, np.int64),) * 4]
                 for item, query in queries:
                     terms = sorted((vocabulary[w] for w in query), key=lambda t: seg.count[t])
@@ -217,7 +220,7 @@ def search_proximity(index: DataFrame, queries: list[tuple[int, tuple[str, ...]]
                     hits.append((seg.doc_of(spot), np.full(len(spot), item), low, high + 1))
                 yield seg.rows(row["segment"], *(np.concatenate(x) for x in zip(*hits)))
 
-    return index.mapInArrow(look, MATCH_SCHEMA)
+    return index.mapInArrow(look, MATCH_SCHEMA.format(index.schema["doc_ids"].dataType.elementType.simpleString()))
 
 
 def windows(items: Iterable[tuple[int, str]], size: int) -> list[tuple[int, tuple[str, ...]]]:
@@ -232,6 +235,7 @@ def windows(items: Iterable[tuple[int, str]], size: int) -> list[tuple[int, tupl
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, runs (spans of words that benchmark windows cover, by item).
 
+    The index holds the postings of all terms, whatever the benchmark. doc_ids may be of any type.
     benchmark: (item_id, text). It is taken in blocks of at most about block_bytes of text, each of
     which goes to every task; the blocks' runs are united. Null items and texts have no windows; a
     window of repeated items counts for each id; null doc_ids, null and empty texts and repeated rows
@@ -240,10 +244,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    if blocks == 1:
-        phrases = windows(((r[0], r[1]) for r in items.toLocalIterator()), size)
-        index = stored(build_index(docs, {w for _, p in phrases for w in p}), "postings")
-        return search_phrases(index, phrases)
     index = stored(build_index(docs), "postings")
     found = None
     for b in range(blocks):
