@@ -35,3 +35,21 @@ def fold_rows(rows: DataFrame, keys: list[str], order: list[str | Column], read:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(zip(*out), kinds)]], names=names)
 
     return dealt.mapInArrow(run, StructType([*rows.schema.fields, *adds_type.fields]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Of batches in order of keys the rows of one key after another, each as a table: one key's rows are held at a time."""
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+        cuts = [0, *[i for i in range(1, len(found)) if found[i] != found[i - 1]], len(found)]
+        for low, high in zip(cuts, cuts[1:]):
+            if parts and found[low] != now:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            now = found[low]
+            parts.append(batch.slice(low, high - low))
+    if parts:
+        yield pa.Table.from_batches(parts)

@@ -6,14 +6,18 @@ their own; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from quire.functions.folds import fold_rows
+from quire.functions.folds import fold_rows, whole_groups
 
-from .layout import PAGE, number_rows
+from .layout import PAGE
 
 # Label patterns of each field type, in the order in which they are tried, and marks of required fields.
 _END = r"\s*[:.]?$"
@@ -56,51 +60,134 @@ def field_name(label: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(slug, 1, 50), F.lit("")), F.lit("field"))
 
 
+def _candidate() -> Column:
+    """struct(family, x, y, width, height) of an item that is a place for a field: 0 lines, 1 boxes, 2 labels with room to their right; null for others."""
+    text = F.trim("str")
+    right = F.col("x") + F.col("width") + 8
+    free = F.col("page_width") - right - 20
+    place = lambda family, x, y, width, height: F.struct(F.lit(family).alias("family"), x.cast("double").alias("x"), y.cast("double").alias("y"), width.cast("double").alias("width"), height.cast("double").alias("height"))
+    out = F.when(text.rlike(LINE_FIELD), place(0, F.col("x"), F.col("y") - 5, F.col("width"), F.lit(20.0)))
+    out = out.when(text.rlike(BOX_FIELD), place(1, F.col("x"), F.col("y"), F.greatest("width", F.lit(15.0)), F.greatest("height", F.lit(15.0))))
+    # The tests that cost most come last.
+    named = F.col("str").rlike(r"[:*]\s*$") & (free >= FREE_WIDTH) & (F.length(_label(F.col("str"))) >= 2)
+    named = F.when(named, suggest_field_type(_label(F.col("str")))["confidence"] > 50).otherwise(False)
+    return out.when(named, place(2, right, F.col("y") - 4, F.least(F.lit(WIDEST), free), F.greatest(F.lit(20.0), F.col("height") + 8)))
+
+
 def field_candidates(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page, family (0 lines, 1 boxes, 2 labels), item_idx, str, x, y, width, height of places for a field.
+    """doc_id, page, family (0 lines, 1 boxes, 2 labels), item_idx, str, x, y, width, height of places for a field, in one pass over the items.
 
     pages (doc_id, page, page_width) tells how much room a label has to its right; a page without a row has none.
     """
-    text = F.trim("str")
-    at = [*PAGE, "item_idx", "str"]
-    line = items.where(text.rlike(LINE_FIELD)).select(*at, F.lit(0).alias("family"), "x", (F.col("y") - 5).alias("y"), "width", F.lit(20.0).alias("height"))
-    box = items.where(text.rlike(BOX_FIELD)).select(*at, F.lit(1).alias("family"), "x", "y", F.greatest("width", F.lit(15.0)).alias("width"), F.greatest("height", F.lit(15.0)).alias("height"))
-    right = F.col("x") + F.col("width") + 8
-    free = F.col("page_width") - right - 20
-    label = items.where(F.col("str").rlike(r"[:*]\s*$") & (F.length(_label(F.col("str"))) >= 2) & (suggest_field_type(_label(F.col("str")))["confidence"] > 50)).join(pages.select(*PAGE, "page_width"), PAGE).where(free >= FREE_WIDTH)
-    label = label.select(*at, F.lit(2).alias("family"), right.alias("x"), (F.col("y") - 4).alias("y"), F.least(F.lit(WIDEST), free).alias("width"), F.greatest(F.lit(20.0), F.col("height") + 8).alias("height"))
-    return line.unionByName(box).unionByName(label)
+    rows = items.join(pages.select(*PAGE, "page_width"), PAGE, "left").withColumn("c", _candidate()).where("c is not null")
+    return rows.select(*PAGE, "c.family", "item_idx", "str", "c.x", "c.y", "c.width", "c.height")
 
 
 def _label(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[:*\s]+$", ""))
 
 
+_SPOT = ["x", "y", "width", "height"]
+
+
+def _is_label() -> Column:
+    return (F.length(F.trim("str")) > 1) & ~F.trim("str").rlike(NO_LABEL)
+
+
+def _nearest(page: pa.Table) -> list[str | None]:
+    """For each candidate of a page (kind 0, first) the text of its label (kind 1), by cells of RADIUS points: none that is near enough lies beyond the next cell."""
+    kind = page.column("kind").to_numpy()
+    n = int((kind == 0).sum())
+    x, y, w, h = (page.column(c).to_numpy(zero_copy_only=False) for c in _SPOT)
+    cell_x, cell_y = np.floor((x + w / 2) / RADIUS), np.floor((y + h / 2) / RADIUS)
+    cells: dict[tuple, list[int]] = {}
+    index = page.column("item_idx").to_numpy(zero_copy_only=False)
+    good = ~np.isnan(x + y + w + h)
+    for i in (n + np.argsort(index[n:], kind="stable")).tolist():
+        if good[i]:
+            cells.setdefault((cell_x[i], cell_y[i]), []).append(i)
+    held = {k: np.array(v) for k, v in cells.items()}
+    text, out = page.column("text"), []
+    for i in range(n):
+        near = [held[k] for a in (-1, 0, 1) for b in (-1, 0, 1) if (k := (cell_x[i] + a, cell_y[i] + b)) in held] if good[i] and page.column("family")[i].as_py() != 2 else []
+        if not near:
+            out.append(None)
+            continue
+        j = np.concatenate(near)
+        left = x[j] + w[j] < x[i]
+        beside = left & (y[j] < y[i] + h[i]) & (y[j] + h[j] > y[i])
+        above = (y[j] > y[i] + h[i]) & (np.abs(x[j] - x[i]) < w[i])
+        apart = np.sqrt((x[j] + w[j] / 2 - x[i] - w[i] / 2) ** 2 + (y[j] + h[j] / 2 - y[i] - h[i] / 2) ** 2)
+        j, left = (v[(apart < RADIUS) & (beside | above)] for v in (j, left))
+        out.append(text[int(j[np.lexsort((index[j], ~left))[0]])].as_py() if len(j) else None)
+    return out
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """The candidates among rows (doc_id, page, kind, family, item_idx, x, y, width, height, text) with label_text. A page's candidates and labels meet in one task, which holds the page."""
+    dealt = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "kind", "family", "item_idx")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in whole_groups(batches, PAGE):
+            n = int((page.column("kind").to_numpy() == 0).sum())
+            if n:
+                first = page.slice(0, n).drop_columns(["kind"]).append_column("label_text", pa.array(_nearest(page), pa.string()))
+                yield from first.to_batches()
+
+    out = StructType([*[f for f in rows.schema.fields if f.name != "kind"], StructField("label_text", StringType())])
+    return dealt.mapInArrow(meet, out)
+
+
 def nearby_labels(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, page, family, item_idx, label_text: the label of each candidate, null where none is near.
+    """doc_id, page, family, item_idx, label_text: the label of each candidate, null where none is near. Label candidates (family 2) need none.
 
-    Near: centres under 150 apart, and left of the place at its height, or above it. Left ones come first, then by item_idx.
-    A range join within pages.
+    Near: centres under 150 apart, and left of the place at its height, or above it. Left ones come first, then by item_idx. A range join by
+    cells of 150 points: a candidate meets only the labels of its own and the eight cells around it.
     """
-    labels = items.select(*PAGE, F.col("item_idx").alias("l_idx"), F.trim("str").alias("l_text"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("width").alias("lw"), F.col("height").alias("lh")).where((F.length("l_text") > 1) & ~F.col("l_text").rlike(NO_LABEL))
-    left = F.expr("lx + lw < x and ly < y + height and ly + lh > y")
-    above = F.expr("ly > y + height and abs(lx - x) < width")
-    apart = F.expr("sqrt(pow(lx + lw / 2 - x - width / 2, 2) + pow(ly + lh / 2 - y - height / 2, 2))")
-    places = candidates.select(*PAGE, "family", "item_idx", "x", "y", "width", "height")
-    near = places.join(labels, PAGE).where((apart < RADIUS) & (left | above))
-    best = near.groupBy(*PAGE, "family", "item_idx").agg(F.min_by("l_text", F.struct(F.when(F.expr("lx + lw < x"), 0).otherwise(1).alias("side"), "l_idx")).alias("label_text"))
-    return places.select(*PAGE, "family", "item_idx").distinct().join(best, [*PAGE, "family", "item_idx"], "left")
+    places = candidates.select(*PAGE, F.lit(0).alias("kind"), "family", F.col("item_idx").cast("bigint").alias("item_idx"), *[F.col(c).cast("double").alias(c) for c in _SPOT], F.lit(None).cast("string").alias("text")).distinct()
+    labels = items.where(_is_label()).select(*PAGE, F.lit(1).alias("kind"), F.lit(-1).alias("family"), F.col("item_idx").cast("bigint").alias("item_idx"), *[F.col(c).cast("double").alias(c) for c in _SPOT], F.trim("str").alias("text"))
+    kind = candidates.schema["item_idx"].dataType
+    return _labelled(places.unionByName(labels)).select(*PAGE, "family", F.col("item_idx").cast(kind).alias("item_idx"), "label_text")
+
+
+def _free_places(page: pa.Table) -> list[tuple[int, int]]:
+    """Of a page's fields, in their order, those that overlap none taken before by over half of the smaller, each with its row of BAND points from the top."""
+    boxes = list(zip(*[page.column(c).to_pylist() for c in _SPOT]))
+    cells: dict[tuple, list[int]] = {}
+    taken = []
+    for i, (x, y, w, h) in enumerate(boxes):
+        spots = [(a, b) for a in range(int(x // RADIUS), int((x + w) // RADIUS) + 1) for b in range(int(y // RADIUS), int((y + h) // RADIUS) + 1)]
+        for j in {j for s in spots for j in cells.get(s, ())}:
+            a, b, c, d = boxes[j]
+            wide, high = min(x + w, a + c) - max(x, a), min(y + h, b + d) - max(y, b)
+            if wide > 0 and high > 0 and wide * high > 0.5 * min(w * h, c * d):
+                break
+        else:
+            taken.append(i)
+            for s in spots:
+                cells.setdefault(s, []).append(i)
+    row, anchor, out = -1, None, []
+    for i in sorted(taken, key=lambda i: -boxes[i][1]):
+        if anchor is None or abs(boxes[i][1] - anchor) > BAND:
+            row, anchor = row + 1, boxes[i][1]
+        out.append((i, row))
+    return out
 
 
 def detect_form_fields(items: DataFrame, pages: DataFrame, sensitivity: int = 50, min_confidence: float = 30.0, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, page, seq (0-based in the document by page, height in bands of 20, x), type, label, x, y, width, height, confidence, name, required, placeholder, rule.
 
     Fields are taken in order of family and item_idx; one that overlaps a field already taken by over half of the smaller is
-    dropped. item_idx tells a page's items apart.
+    dropped. item_idx tells a page's items apart; items without a place are left out. Items are read once: a page's candidates meet its labels in one task, and its
+    fields each other in another, both by cells of 150 points, so the work grows with the items and their neighbours. A task holds one page.
     """
-    found = field_candidates(items, pages)
-    near = nearby_labels(found.where("family < 2"), items)
-    rows = found.join(near, [*PAGE, "family", "item_idx"], "left")
+    meeting = lambda kind, family, spot, text: F.struct(F.lit(kind).alias("kind"), family.alias("family"), *[c.cast("double").alias(n) for n, c in zip(_SPOT, spot)], text.alias("text"))
+    own_place = [F.col("x"), F.col("y"), F.col("width"), F.col("height")]
+    rows = items.join(pages.select(*PAGE, "page_width"), PAGE, "left").withColumn("c", _candidate())
+    place = F.when(F.col("c").isNotNull(), meeting(0, F.col("c.family"), [F.col(f"c.{n}") for n in _SPOT], F.col("str")))
+    label = F.when(_is_label(), meeting(1, F.lit(-1), own_place, F.trim("str")))
+    rows = rows.select(*PAGE, F.col("item_idx").cast("bigint").alias("item_idx"), F.explode(F.array_compact(F.array(place, label))).alias("m")).select(*PAGE, "m.kind", "m.family", "item_idx", *[f"m.{n}" for n in _SPOT], "m.text")
+    rows = _labelled(rows).withColumnRenamed("text", "str").where(" and ".join(f"{c} is not null" for c in _SPOT))
     own = F.col("family") == 2
     raw = F.nullif(F.when(own, _label(F.col("str"))).otherwise(_label(F.col("label_text"))), F.lit(""))
     label = F.coalesce(F.col("raw"), F.lit("Unlabeled field"))
@@ -120,21 +207,13 @@ def detect_form_fields(items: DataFrame, pages: DataFrame, sensitivity: int = 50
     if kinds is not None:
         rows = rows.where(F.col("type").isin(*kinds))
 
-    def start():
-        taken: list[tuple[float, float, float, float]] = []
-
-        def step(x: float, y: float, w: float, h: float) -> tuple[bool]:
-            for a, b, c, d in taken:
-                wide, high = min(x + w, a + c) - max(x, a), min(y + h, b + d) - max(y, b)
-                if wide > 0 and high > 0 and wide * high > 0.5 * min(w * h, c * d):
-                    return (False,)
-            taken.append((x, y, w, h))
-            return (True,)
-
-        return step
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in whole_groups(batches, PAGE):
+            at, row = zip(*_free_places(page))
+            yield from page.take(list(at)).append_column("row", pa.array(row, pa.int32())).to_batches()
 
-    rows = fold_rows(rows, PAGE, ["family", "item_idx"], ["x", "y", "width", "height"], "taken boolean", start).where("taken").drop("taken")
-    rows = number_rows(rows, BAND)
+    dealt = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "family", "item_idx")
+    rows = dealt.mapInArrow(free, StructType([*rows.schema.fields, StructField("row", IntegerType())]))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row", "x", "family", "item_idx")) - 1
     return rows.withColumn("seq", seq).drop("family", "item_idx", "row")
 

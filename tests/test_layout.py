@@ -111,3 +111,34 @@ def test_names_are_unique_and_pass_over_used_ones(spark):
     fields = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)] + [(2, 0, "name")], "doc_id bigint, seq int, name string")
     found = {(r["doc_id"], r["seq"]): r["unique_name"] for r in B.unique_field_names(fields).collect()}
     assert found == {(1, 0): "name", (1, 1): "name_2", (1, 2): "name_3", (1, 3): "name_4", (1, 4): "x", (1, 5): "name_5", (2, 0): "name"}
+
+
+def test_dense_page_by_cells(spark):
+    """20,000 items on one page in seconds, and a small one against all pairs."""
+    import random
+    import time
+
+    r = random.Random(1)
+    item = lambda i, n: (1, 1, i, r.choice(["_____", "[ ]", "Name", "Date", "x1", "City:"]), r.uniform(0, n), r.uniform(0, n), r.uniform(5, 60), 10.0)
+    schema = "doc_id int, page int, item_idx int, str string, x double, y double, width double, height double"
+    small = [item(i, 500) for i in range(150)]
+    places = B.field_candidates(spark.createDataFrame(small, schema), spark.createDataFrame([(1, 1, 600.0)], "doc_id int, page int, page_width double")).where("family < 2")
+    found = {(x["family"], x["item_idx"]): x["label_text"] for x in B.nearby_labels(places, spark.createDataFrame(small, schema)).collect()}
+    labels = [x for x in small if len(x[3]) > 1 and x[3] != "_____"]
+    for p in places.collect():
+        near = []
+        for _, _, i, s, x, y, w, h in labels:
+            apart = ((x + w / 2 - p["x"] - p["width"] / 2) ** 2 + (y + h / 2 - p["y"] - p["height"] / 2) ** 2) ** 0.5
+            left = x + w < p["x"] and y < p["y"] + p["height"] and y + h > p["y"]
+            if apart < 150 and (left or y > p["y"] + p["height"] and abs(x - p["x"]) < p["width"]):
+                near.append((x + w >= p["x"], i, s))
+        assert found[p["family"], p["item_idx"]] == (min(near)[2] if near else None)
+    dense = spark.createDataFrame([item(i, 3000) for i in range(20_000)], schema)
+    began = time.time()
+    fields = B.detect_form_fields(dense, spark.createDataFrame([(1, 1, 3000.0)], "doc_id int, page int, page_width double")).collect()
+    assert len(fields) > 1000 and time.time() - began < 60
+    boxes_ = [(f["x"], f["y"], f["width"], f["height"]) for f in fields if f["type"] == "checkbox"][:300]
+    for i, (x, y, w, h) in enumerate(boxes_):
+        for a, b, c, d in boxes_[:i]:
+            wide, high = min(x + w, a + c) - max(x, a), min(y + h, b + d) - max(y, b)
+            assert not (wide > 0 and high > 0 and wide * high > 0.5 * min(w * h, c * d))
