@@ -7,6 +7,7 @@ scores and no matches, empty ones zeros; repeated rows are classified alike; emp
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,17 +97,40 @@ def keyword_pattern(keyword: str) -> str:
     return BOUND + "".join("\\" + c if c in r".*+?^${}()|[]\/#" else c for c in keyword.lower()) + BOUND
 
 
-def keyword_counts(text: Column, custom: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, str, Column]]:
-    """(category, keyword, count expression): a cheap substring test stands before every count."""
+_TOKEN = "[a-z0-9_]+"
+
+
+def _listed(custom: dict[str, tuple[str, ...]] | None) -> list[tuple[str, str]]:
+    return [(c, k) for c, ks in KEYWORDS.items() for k in (*ks, *(custom or {}).get(c, ()))]
+
+
+def first_words(text: Column, custom: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """array<string>: the words of the lower-cased text that some keyword begins with, in one pass.
+
+    Bounds stand at both ends of a keyword, so its first run of letters, digits and underscores is a whole word of any
+    text that has it.
+    """
+    firsts = sorted({m[0] for _, k in _listed(custom) if (m := re.search(_TOKEN, k.lower()))})
+    return F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)), F.array(*map(F.lit, firsts)))
+
+
+def keyword_counts(text: Column, firsts: Column, custom: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, str, Column]]:
+    """(category, keyword, count expression): a keyword is looked for only where its first word is among `first_words`, as a column of its own; those without one always are."""
     lower = F.lower(text)
-    words = {c: (*k, *(custom or {}).get(c, ())) for c, k in KEYWORDS.items()}
-    return [(c, k, F.when(lower.contains(k.lower()), F.regexp_count(lower, F.lit(keyword_pattern(k)))).otherwise(0)) for c, ks in words.items() for k in ks]
+
+    def count(k: str) -> Column:
+        begins = re.search(_TOKEN, k.lower())
+        may = F.array_contains(firsts, begins[0]) & lower.contains(k.lower()) if begins else lower.contains(k.lower())
+        return F.when(may, F.regexp_count(lower, F.lit(keyword_pattern(k)))).otherwise(0)
+
+    return [(c, k, count(k)) for c, k in _listed(custom)]
 
 
 def keyword_matches(docs: DataFrame, custom: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, category, keyword, count, weight of every keyword that occurs as whole words, whatever its case."""
-    found = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword"), n.cast("int").alias("count"), F.lit(weight(k)).alias("weight")) for c, k, n in keyword_counts(F.col("text"), custom)])
-    return docs.select("doc_id", F.explode(F.filter(found, lambda m: m["count"] > 0)).alias("m")).select("doc_id", "m.*")
+    rows = docs.select("doc_id", "text", first_words(F.col("text"), custom).alias("firsts"))
+    found = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword"), n.cast("int").alias("count"), F.lit(weight(k)).alias("weight")) for c, k, n in keyword_counts(F.col("text"), F.col("firsts"), custom)])
+    return rows.select("doc_id", F.explode(F.filter(found, lambda m: m["count"] > 0)).alias("m")).select("doc_id", "m.*")
 
 
 def lines_of(text: Column) -> Column:
@@ -171,7 +195,9 @@ def type_scores(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn("page_count", F.lit(1))
     title = F.lower(F.coalesce("title", F.lit(""))) if "title" in docs.columns else None
     keys = ["doc_id", "text", "page_count", *(["title"] if title is not None else [])]
-    rows = docs.select(*keys, *[F.array(*[n for c, _, n in keyword_counts(F.col("text")) if c == t]).alias(f"k_{t}") for t in KEYWORDS], F.size(feature_entities(F.col("text"), "amounts")).alias("amounts"), F.size(feature_entities(F.col("text"), "emails")).alias("emails"))
+    docs = docs.select(*keys, first_words(F.col("text")).alias("firsts"))
+    counts = keyword_counts(F.col("text"), F.col("firsts"))
+    rows = docs.select(*keys, *[F.array(*[n for c, _, n in counts if c == t]).alias(f"k_{t}") for t in KEYWORDS], F.size(feature_entities(F.col("text"), "amounts")).alias("amounts"), F.size(feature_entities(F.col("text"), "emails")).alias("emails"))
     text = F.col("text")
     count = lambda p: F.regexp_count(text, F.lit(p))
     lines = lines_of(text)
@@ -253,7 +279,9 @@ def pattern_scores(docs: DataFrame) -> DataFrame:
 
 def quick_classify(docs: DataFrame) -> DataFrame:
     """doc_id, type, confidence = min(100, best score / 2); below 15 it is other with the rest of 100."""
-    counts = {t: [(n, weight(k)) for c, k, n in keyword_counts(F.col("text")) if c == t] for t in TYPES}
+    docs = docs.select("doc_id", "text", first_words(F.col("text")).alias("firsts"))
+    found = keyword_counts(F.col("text"), F.col("firsts"))
+    counts = {t: [(n, weight(k)) for c, k, n in found if c == t] for t in TYPES}
     rows = docs.select("doc_id", "text", *[F.array(*[n for n, _ in counts[t]]).alias(f"k_{t}") for t in KEYWORDS])
 
     def points(t: str) -> Column:

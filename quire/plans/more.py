@@ -34,10 +34,15 @@ def _files(s, d):
 
 
 def _entities_back(s, d):
-    """Emails written as CSV and read again."""
+    """All kinds written as CSV and read again: the fields of each in their order."""
     path = shared_folder(s, "entities")
-    X.write_entities(biz(s, d), path, "csv", ("email",))
-    return s.read.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/email").selectExpr("doc_id", "Email AS email", "Domain AS domain", "Confidence AS confidence", "Page AS page")
+    X.write_entities(biz(s, d), path)
+    out = None
+    for kind, columns in X.CSV_COLUMNS.items():
+        rows = s.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(f"{path}/{kind}")
+        part = rows.select("doc_id", F.lit(kind).alias("kind"), F.concat_ws("|", *[F.coalesce(F.col(f"`{h}`"), F.lit("")) for h, _ in columns]).alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _archive(s, d):
@@ -162,7 +167,7 @@ def _job_events(s, d):
 
 
 _JOBS = f"(SELECT event_id, user_id * 1000 + dayofmonth(ts) AS job_id, ts AS updated_at, {records._STATUS} AS status FROM events)"
-_LINE = """CASE WHEN turn % 7 = 6 THEN 'data: {broken' WHEN turn % 5 = 4 THEN ': ping' ELSE 'data: {"id": "c' || cast(conv_id as string) || '", "choices": [{"delta": {"content": "' || regexp_replace(substring(text, 1, 12), '[^a-zA-Z ]', '') || '"}, "finish_reason": ' || CASE WHEN turn >= 3 THEN '"stop"' ELSE 'null' END || '}]}' END"""
+_LINE = """CASE WHEN turn % 7 = 6 THEN 'data: {broken' WHEN turn % 5 = 4 THEN ': ping' ELSE 'data: {"id": "c' || cast(conv_id as string) || '", "choices": [{"delta": ' || to_json(named_struct('content', text)) || ', "finish_reason": ' || CASE WHEN turn >= 3 THEN '"stop"' ELSE 'null' END || '}]}' END"""
 
 
 def _chat_lines(s, d):
@@ -187,7 +192,7 @@ def _events_now(s, d):
 
 QUERIES = {
     "a1_validated_files": lambda s, d: A.validated(_files(s, d)).select("path", "length", "error", A.image_type(F.col("content")).alias("image_type")),
-    "a5_entity_csv_lines": lambda s, d: X.entity_csv_lines(biz(s, d), ("email", "phone", "amount", "id")),
+    "a5_entity_csv_lines": lambda s, d: X.entity_csv_lines(biz(s, d)),
     "a5_write_entities": _entities_back,
     "a6_table_lines": lambda s, d: X.table_lines(layout._tables(s, d), ";", headers=False),
     "a6_table_text": lambda s, d: X.table_text(layout._tables(s, d)),
@@ -262,7 +267,7 @@ QUERIES = {
     "m4_sliding_counts": lambda s, d: M.request_counts(_events_now(s, d).selectExpr("ts", "event_type AS kind"), "6 hours", "2 hours"),
     "m4_session_counts": lambda s, d: M.session_counts(_events_now(s, d).selectExpr("ts", "user_id AS client"), "8 hours"),
     "m5_assemble_chat_stream": lambda s, d: M.assemble_chat_stream(_chat_lines(s, d)),
-    "m6_stream_key_information": lambda s, d: M.replayed(entities.E.extract_key_information(_orders_stream(s, d), ("email", "phone")), "entities"),
+    "m6_stream_key_information": lambda s, d: M.replayed(entities.E.extract_key_information(_orders_stream(s, d)), "entities"),
     "m6_stream_classify": _streamed_counts,
 }
 
@@ -316,12 +321,21 @@ _TOPIC = "CASE " + " ".join(f"WHEN {' + '.join(f'CAST(contains(low, {lit(w)}) AS
 _ASKED = ", ".join(f"({lit(t)}, {i + 1}, {lit(q)})" for t, qs in D.QUESTIONS.items() for i, q in enumerate(qs))
 _CSV = lambda x, sep=",": f"CASE WHEN contains({x}, '{sep}') OR contains({x}, '\"') OR contains({x}, chr(10)) THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 _E = entities
-_CSV_LINES = " UNION ALL ".join((
-    f"SELECT doc_id, 'email' AS kind, concat_ws(',', 'Email', {_CSV('text')}, domain, confidence, page) AS line FROM ({_E._emails(BIZ)})",
-    f"SELECT doc_id, 'phone', concat_ws(',', 'Phone', {_CSV('text')}, digits, format, confidence, page) FROM ({_E._phones(BIZ)})",
-    f"SELECT doc_id, 'amount', concat_ws(',', 'Amount', {_CSV('text')}, CAST(value AS VARCHAR), currency, confidence, page) FROM ({_E._amounts()})",
-    f"SELECT doc_id, 'id', concat_ws(',', 'ID', id_type, {_CSV('text')}, CASE WHEN valid THEN 'Yes' ELSE 'No' END, confidence, page) FROM ({_E._ids()})",
-))
+_YES = lambda x: f"CASE WHEN {x} THEN 'Yes' ELSE 'No' END"
+#: kind: (entities, title, fields in the order of their export).
+_EXPORTS = {
+    "date": (_E._dates(), "Date", ("text", "format", "CAST(parsed AS VARCHAR)", "confidence", "page")),
+    "amount": (_E._amounts(), "Amount", ("text", "CAST(value AS VARCHAR)", "currency", "confidence", "page")),
+    "email": (_E._emails(BIZ), "Email", ("text", "domain", "confidence", "page")),
+    "phone": (_E._phones(BIZ), "Phone", ("text", "digits", "format", "confidence", "page")),
+    "name": (_E._names(), "Name", ("text", "first", "last", "confidence", "page")),
+    "url": (_E._urls(), "URL", ("text", "domain", _YES("secure"), "confidence", "page")),
+    "id": (_E._ids(), "ID", ("id_type", "text", _YES("valid"), "confidence", "page")),
+    "address": (_E._addresses(), "Address", ("text", "city", "state", "zip", "confidence", "page")),
+}
+_TEXT = lambda x: f"coalesce(CAST({x} AS VARCHAR), '')"
+_CSV_LINES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, concat_ws(',', '{title}', {', '.join(_CSV(_TEXT(x)) for x in fields)}) AS line FROM ({rows})" for k, (rows, title, fields) in _EXPORTS.items())
+_WRITTEN = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, '{k}' AS kind, concat_ws('|', {', '.join(_TEXT(x) for x in fields)}) AS fields FROM ({rows})" for k, (rows, title, fields) in _EXPORTS.items())
 _TABLES = layout._TABLES
 _LINES = lambda sep: f"(SELECT doc_id, page, header, row, array_to_string(list_transform(rows[row + 1], lambda x: {_CSV('x', sep)}), '{sep}') AS line FROM (SELECT doc_id, page, rows, {layout._HEAD} AS header, CAST(unnest(range(0, row_count)) AS INTEGER) AS row FROM {_TABLES}))"
 _GRID = "(SELECT *, CASE WHEN t = '' THEN 'empty' WHEN n <> '' THEN 'number' ELSE 'text' END AS kind, TRY_CAST(nullif(n, '') AS DOUBLE) AS number FROM (SELECT *, trim(value) AS t, regexp_extract(replace(trim(value), ',', ''), '^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?') AS n FROM " + layout._TABLE_CELLS + "))"
@@ -335,7 +349,7 @@ _FINAL = "('succeeded', 'failed', 'cancelled', 'expired')"
 ORACLES = {
     "a1_validated_files": "SELECT 'f' || doc_id AS path, CAST(CASE doc_id % 4 WHEN 0 THEN strlen(text) + 9 WHEN 1 THEN 0 WHEN 2 THEN strlen(text) ELSE strlen(substring(text, 1, 20)) + 5 END AS INTEGER) AS length, CASE WHEN doc_id % 4 = 1 OR (doc_id % 4 = 2 AND text = '') THEN 'EMPTY_FILE' WHEN doc_id % 4 = 2 THEN 'INVALID_PDF' END AS error, 'png' AS image_type FROM documents",
     "a5_entity_csv_lines": _CSV_LINES,
-    "a5_write_entities": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS email, domain, CAST(confidence AS VARCHAR) AS confidence, CAST(page AS VARCHAR) AS page FROM ({_E._emails(BIZ)})",
+    "a5_write_entities": _WRITTEN,
     "a6_table_lines": f"SELECT doc_id, page, 0 AS table_idx, row, line FROM {_LINES(';')} WHERE NOT header OR row >= 1",
     "a6_table_text": f"WITH t AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY row) AS body FROM {_LINES(',')} GROUP BY doc_id, page), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM t) SELECT doc_id, string_agg(CASE WHEN i = 1 THEN body ELSE chr(10) || '--- Table ' || i || ' (Page ' || page || ') ---' || chr(10) || body END, chr(10) ORDER BY i) AS text FROM n GROUP BY doc_id",
     "a7_typed_grid": f"SELECT doc_id, page, 0 AS table_idx, 'Table_Page' || page || '_1' AS sheet, row, col, kind, number, CASE WHEN kind = 'text' THEN t END AS text FROM {_GRID}",
@@ -414,8 +428,8 @@ ORACLES = {
     "m4_request_counts_stream": "SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type AS kind, count(*) AS requests FROM events GROUP BY ALL) WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "m4_sliding_counts": "SELECT start, kind, count(*) AS requests FROM (SELECT time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(2 * k AS INTEGER)) AS start, event_type AS kind FROM events, range(0, 3) r(k)) GROUP BY ALL",
     "m4_session_counts": "SELECT client, min(ts) AS start, max(ts) + INTERVAL 8 HOURS AS \"end\", count(*) AS requests FROM (SELECT *, sum(n) OVER (PARTITION BY client ORDER BY ts, event_id) AS g FROM (SELECT user_id AS client, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 8 HOURS THEN 0 ELSE 1 END AS n FROM events)) GROUP BY client, g",
-    "m5_assemble_chat_stream": "SELECT 'c' || conv_id AS id, string_agg(delta, '' ORDER BY turn) AS content, count(*) AS chunks, count(*) FILTER (turn >= 3) > 0 AS finished, CASE WHEN count(*) FILTER (turn >= 3) > 0 THEN 'stop' END AS finish_reason FROM (SELECT conv_id, turn, regexp_replace(substring(text, 1, 12), '[^a-zA-Z ]', '', 'g') AS delta FROM conversations WHERE turn % 7 <> 6 AND turn % 5 <> 4) WHERE delta <> '' OR turn >= 3 GROUP BY conv_id",
-    "m6_stream_key_information": " UNION ALL ".join(f"SELECT doc_id, page, {lit(k)} AS kind, start, stop, text, {v} AS value, confidence FROM ({q})" for k, q, v in (("email", _E._emails(BIZ), "lower(domain)"), ("phone", _E._phones(BIZ), "digits"))),
+    "m5_assemble_chat_stream": "SELECT 'c' || conv_id AS id, string_agg(delta, '' ORDER BY turn) AS content, count(*) AS chunks, count(*) FILTER (turn >= 3) > 0 AS finished, CASE WHEN count(*) FILTER (turn >= 3) > 0 THEN 'stop' END AS finish_reason FROM (SELECT conv_id, turn, text AS delta FROM conversations WHERE turn % 7 <> 6 AND turn % 5 <> 4) WHERE delta <> '' OR turn >= 3 GROUP BY conv_id",
+    "m6_stream_key_information": _E._all(),
     "m6_stream_classify": f"SELECT type AS kind, count(*) AS n FROM ({classify.ORACLES['d7_quick_classify']}) GROUP BY type",
 }
 ORACLES |= {

@@ -13,6 +13,7 @@ from quire.operators import history as K
 from quire.operators import library as J
 from quire.operators import manifest as I
 from quire.operators.chunk_index import ChunkIndex
+from quire.streaming import state as T
 
 from . import corpus, entities, more, pages, records, views
 from .duck import find, lit, rx
@@ -168,6 +169,28 @@ f AS (SELECT c.*, coalesce(changed, 0) AS changed, coalesce(CAST(floor(100.0 * (
 SELECT pair_id, CAST(page_a AS INTEGER) AS page_a, CAST(page_b AS INTEGER) AS page_b, changed + CASE WHEN same_size THEN 0 ELSE 1 END AS differences, text_similarity, same_size, CASE WHEN same_size THEN text_similarity ELSE CAST(floor(text_similarity * 0.5 + 0.5) AS INTEGER) END AS similarity FROM f"""
 
 
+# --- Streams with state ---------------------------------------------------------------------------------------------
+_ANSWER = """'data: {"id": "c' || cast(conv_id as string) || '", "choices": [{"delta": ' || to_json(named_struct('content', text)) || ', "finish_reason": ' || CASE WHEN turn % 3 = 2 THEN '"stop"' ELSE 'null' END || '}]}'"""
+
+
+def _answers(s, d):
+    return T.chat_answers(load(s, d, "conversations").selectExpr("conv_id AS stream_id", "turn AS seq", f"{_ANSWER} AS line"))
+
+
+def _job_lives(s, d):
+    return T.job_states_batch(load(s, d, "events").selectExpr("user_id AS job_id", "event_id", f"{records._STATUS} AS status", "ts AS updated_at"), 3 * 86_400)
+
+
+#: A life is found event by event: the first one begins it, and the first one after its end the next.
+_LIVES = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS job_id, event_id, {records._STATUS} AS status, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+l AS (SELECT job_id, n, ms AS began FROM e WHERE n = 1 UNION ALL SELECT e.job_id, e.n, CASE WHEN e.ms >= l.began + 259200000 THEN e.ms ELSE l.began END FROM l JOIN e ON e.job_id = l.job_id AND e.n = l.n + 1),
+t AS (SELECT *, coalesce(max(CAST(status IN {records._TERMINAL} AS INTEGER)) OVER (PARTITION BY job_id, began ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e JOIN l USING (job_id, n))
+SELECT job_id, event_id, status, make_timestamp(ms * 1000) AS at, make_timestamp(began * 1000) AS began, CASE WHEN ended = 1 THEN 'rejected' ELSE 'accepted' END AS outcome FROM t
+UNION ALL SELECT job_id, NULL, 'expired', make_timestamp((began + 259200000) * 1000), make_timestamp(began * 1000), 'expired' FROM t GROUP BY job_id, began HAVING count(*) FILTER (status IN {records._TERMINAL}) = 0"""
+_ANSWERED = """SELECT conv_id AS stream_id, 'c' || conv_id AS id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS content, CAST(count(*) AS INTEGER) AS chunks, max(turn % 3) = 2 AS finished, CASE WHEN max(turn % 3) = 2 THEN 'stop' END AS finish_reason
+ FROM (SELECT *, coalesce(count(*) FILTER (turn % 3 = 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM conversations WHERE coalesce(text, '') <> '' OR turn % 3 = 2) GROUP BY conv_id, part"""
+
+
 # --- Runs, prompts, totals -----------------------------------------------------------------------------------------
 def _timed_runs(s, d):
     return records.runs(s, d).join(load(s, d, "events").selectExpr("event_id AS run_id", "ts AS created_at", "CASE WHEN event_id % 3 > 0 THEN ts + make_dt_interval(0, 0, 0, event_id % 97) END AS completed_at"), "run_id")
@@ -236,6 +259,8 @@ QUERIES = {
     "g3_page_comparison": _compared,
     "g3_comparison_summary": lambda s, d: C.comparison_summary(_compared(s, d), corpus._diff(s, d)),
     "g4_page_pairs": _page_pairs,
+    "m1_job_lives": _job_lives,
+    "m5_chat_answers": _answers,
     "k8_run_statistics": lambda s, d: K.run_statistics(_timed_runs(s, d), records.artifacts(s, d)).withColumns({c: F.round(c, 6) for c in ("success_rate", "mean_ms")}),
     "l3_local_prompts": lambda s, d: K.local_prompts(load(s, d, "conversations"), _settings(s, d), 4),
     "l3_cloud_messages": lambda s, d: K.cloud_messages(_roles(s, d), _settings(s, d)),
@@ -267,6 +292,8 @@ ORACLES = {
  (SELECT pair_id, count(*) FILTER (presence <> 'added') AS pages_a, count(*) FILTER (presence <> 'removed') AS pages_b, count(*) FILTER (differences > 0) AS changed_pages, count(*) FILTER (differences = 0) AS identical_pages, CAST(floor(avg(similarity) + 0.5) AS INTEGER) AS similarity, CAST(floor(avg(visual_similarity) + 0.5) AS INTEGER) AS visual_similarity FROM {_PAGES} GROUP BY pair_id)
  LEFT JOIN (SELECT pair_id, {corpus._KINDS} FROM ({corpus._DIFF}) GROUP BY pair_id) USING (pair_id)""",
     "g4_page_pairs": _PAGE_PAIRS,
+    "m1_job_lives": _LIVES,
+    "m5_chat_answers": _ANSWERED,
     "k8_run_statistics": f"SELECT * REPLACE (round(success_rate, 6) AS success_rate, round(mean_ms, 6) AS mean_ms) FROM ({_RUN_STATS})",
     "l3_local_prompts": _PROMPTS,
     "l3_cloud_messages": _CLOUD,

@@ -64,10 +64,10 @@ def chats(s, d):
 
 def coded(s, d):
     """Messages of which some carry fenced blocks made of their own words."""
-    return chats(s, d).selectExpr("conv_id", "turn", "CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('see ```py\n', substring(text, 1, 20), '\n``` and ```', chr(10), substring(text, 5, 9), '```') ELSE text END AS text")
+    return chats(s, d).selectExpr("conv_id", "turn", "CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('see ```py\n', text, '\n``` and ```', chr(10), text, '```') ELSE text END AS text")
 
 
-_CODED = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'see ```py' || chr(10) || substring(text, 1, 20) || chr(10) || '``` and ```' || chr(10) || substring(text, 5, 9) || '```' ELSE text END AS text FROM conversations"
+_CODED = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'see ```py' || chr(10) || text || chr(10) || '``` and ```' || chr(10) || text || '```' ELSE text END AS text FROM conversations"
 _FENCE = "'(?s)```(\\w*)\\n?(.*?)```'"
 _TERMINAL = "('succeeded', 'failed', 'cancelled', 'expired')"
 

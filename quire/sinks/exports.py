@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.shared import shared_folder
+from quire.functions.spans import first_of_each
 from quire.operators import entities as E
 
 # CSV headers by entity kind, as (header, column of the extractor), and the archive's version.
@@ -23,7 +25,6 @@ CSV_COLUMNS = {
     "address": (("Full Address", "text"), ("City", "city"), ("State", "state"), ("ZIP", "zip"), ("Confidence", "confidence"), ("Page", "page")),
 }
 TITLES = {"date": "Date", "amount": "Amount", "email": "Email", "phone": "Phone", "name": "Name", "url": "URL", "id": "ID", "address": "Address"}
-EXTRACTORS = {"date": E.extract_dates, "amount": E.extract_amounts, "email": E.extract_emails, "phone": E.extract_phones, "name": E.extract_names, "url": E.extract_urls, "id": E.extract_ids, "address": E.extract_addresses}
 ARCHIVE_VERSION = 2
 
 
@@ -34,27 +35,37 @@ def csv_field(value: Column, delimiter: str = ",") -> Column:
     return F.when(odd, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def entity_fields(kind: str, found: DataFrame) -> DataFrame:
-    """doc_id and the export columns of a kind's entities under their headers; true and false become Yes and No."""
-    plain = lambda c: F.when(F.col(c), "Yes").otherwise("No") if c in ("secure", "valid") else F.col(c).cast("string")
-    return found.select("doc_id", F.lit(TITLES[kind]).alias("Type"), *[plain(c).alias(h) for h, c in CSV_COLUMNS[kind]])
+def entity_rows(pages: DataFrame, kinds: tuple[str, ...] = tuple(CSV_COLUMNS)) -> DataFrame:
+    """doc_id, kind, fields (the export columns of the kind, in order, as strings) of every entity, in one pass over the pages; true and false become Yes and No."""
+    found = pages.select("doc_id", "page", *[E.KINDS[k][0](F.col("text")).alias(k) for k in kinds])
+
+    def of_kind(kind: str) -> Column:
+        key = E.KINDS[kind][2]
+        plain = lambda h, c: F.when(h[c], "Yes").otherwise("No") if c in ("secure", "valid") else (F.col("page") if c == "page" else h[c]).cast("string")
+        row = lambda h: F.struct(F.lit(kind).alias("kind"), F.array(*[plain(h, c) for _, c in CSV_COLUMNS[kind]]).alias("fields"))
+        return F.transform(first_of_each(F.col(kind), key) if key else F.col(kind), row)
+
+    return found.select("doc_id", F.inline(F.concat(*map(of_kind, kinds))))
 
 
 def entity_csv_lines(pages: DataFrame, kinds: tuple[str, ...] = tuple(CSV_COLUMNS)) -> DataFrame:
     """doc_id, kind, line: the CSV line of every entity."""
-    out = None
-    for kind in kinds:
-        rows = entity_fields(kind, EXTRACTORS[kind](pages))
-        line = F.concat_ws(",", F.lit(TITLES[kind]), *[csv_field(F.col(f"`{h}`")) for h, _ in CSV_COLUMNS[kind]])
-        part = rows.select("doc_id", F.lit(kind).alias("kind"), line.alias("line"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    titles = F.create_map(*[F.lit(x) for k in kinds for x in (k, TITLES[k])])
+    return entity_rows(pages, kinds).select("doc_id", "kind", F.concat_ws(",", F.try_element_at(titles, F.col("kind")), F.transform("fields", lambda x: csv_field(x))).alias("line"))
 
 
 def write_entities(pages: DataFrame, path: str, form: str = "csv", kinds: tuple[str, ...] = tuple(CSV_COLUMNS)) -> None:
-    """One folder for each kind below path: CSV with headers, or JSON lines."""
+    """One folder for each kind below path: CSV with headers, or JSON lines.
+
+    The pages are read once: what is found goes to the shared folder by kind, and each kind's folder is written from its own part.
+    """
+    aside = shared_folder(pages.sparkSession, "entities")
+    rows = entity_rows(pages, kinds)
+    rows.write.partitionBy("kind").parquet(aside)
+    held = pages.sparkSession.read.schema(rows.schema).parquet(aside)
     for kind in kinds:
-        writer = entity_fields(kind, EXTRACTORS[kind](pages)).write.mode("overwrite")
+        fields = [F.get("fields", F.lit(i)).alias(h) for i, (h, _) in enumerate(CSV_COLUMNS[kind])]
+        writer = held.where(F.col("kind") == kind).select("doc_id", F.lit(TITLES[kind]).alias("Type"), *fields).write.mode("overwrite")
         if form == "csv":
             writer.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{kind}")
         else:
