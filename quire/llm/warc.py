@@ -3,7 +3,8 @@
 Records are gzip members of their own, and a sidecar index holds each member's offset, so files are
 planned into partitions by byte ranges at record bounds. A reader inflates the head of a member,
 tests the pushed-down predicates on its headers, and inflates the payload only of records that pass
-and only if payloads are asked for. Each write task writes files of its own name; a manifest written
+and only if payloads are asked for: a member's gzip header tells its length, so others are gone past. Members
+of other writers are inflated to find their end. Each write task writes files of its own name; a manifest written
 at commit lists those that count, so files of failed or repeated tasks are never read.
 """
 
@@ -168,23 +169,53 @@ def passes(row: dict, tests: list[tuple]) -> bool:
     return True
 
 
+#: The subfield of a gzip header's extra field that tells the length of the whole member.
+_LENGTH = b"QL\x08\x00"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member with its own length in its header, so that a reader can go past it without inflating it."""
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    plain = z.compress(data) + z.flush()
+    extra = _LENGTH + (len(plain) + 14).to_bytes(8, "little")
+    return plain[:3] + bytes([plain[3] | 4]) + plain[4:10] + len(extra).to_bytes(2, "little") + extra + plain[10:]
+
+
 class _Members:
-    """The gzip members of a file, inflated piece by piece from `at` on."""
+    """The gzip members of a file, inflated piece by piece from `at` on. inflated: how many bytes that gave."""
 
     def __init__(self, f, at: int):
         f.seek(at)
-        self.f, self.at, self.buffer = f, at, b""
+        self.f, self.at, self.buffer, self.inflated = f, at, b"", 0
 
     def begin(self) -> None:
+        while len(self.buffer) < 24 and (more := self.f.read(1 << 20)):
+            self.buffer += more
+        told = self.buffer[3:4] and self.buffer[3] & 4 and self.buffer[12:16] == _LENGTH
+        self.next = self.at + int.from_bytes(self.buffer[16:24], "little") if told else None
         self.z = zlib.decompressobj(31)
         self.rest = self.buffer
 
+    def skip(self) -> bool:
+        """Goes on to the next member without inflating the rest of this one; not where its header does not tell its length."""
+        if self.next is None:
+            return False
+        ahead = self.next - self.at
+        if ahead <= len(self.buffer):
+            self.buffer = self.buffer[ahead:]
+        else:
+            self.f.seek(self.next)
+            self.buffer = b""
+        self.at = self.next
+        return True
+
     def pull(self, most: int) -> bytes:
         """Up to `most` bytes more of the member; none at its end."""
         while not self.z.eof:
             out = self.z.decompress(self.rest, most)
             self.rest = self.z.unconsumed_tail
             if out:
+                self.inflated += len(out)
                 return out
             if not self.rest and not self.z.eof:
                 self.at += len(self.buffer)
@@ -200,8 +231,12 @@ class _Members:
 
 
 def scan(f, start: int, stop: int | None, tests: list[tuple], payloads: bool) -> Iterator[dict]:
-    """Records whose gzip members begin in [start, stop): headers first, payloads of those that pass alone."""
-    members, stop = _Members(f, start), f.size() if stop is None else stop
+    """Records whose gzip members begin in [start, stop): headers first, payloads of those that pass alone; the rest of others is gone past."""
+    yield from records(_Members(f, start), f.size() if stop is None else stop, tests, payloads)
+
+
+def records(members: _Members, stop: int, tests: list[tuple], payloads: bool) -> Iterator[dict]:
+    """The records of members that begin before stop, as `scan` gives them."""
     while members.at < stop:
         members.begin()
         text = b""
@@ -215,10 +250,12 @@ def scan(f, start: int, stop: int | None, tests: list[tuple], payloads: bool) ->
         wanted = passes(row, tests)
         keep = wanted and payloads and row["record_type"] != "revisit"
         parts = [body]
-        while more := members.pull(1 << 20):
-            if keep:
-                parts.append(more)
-        members.end()
+        if keep or not members.skip():
+            # Members of other writers don't tell their length: they are inflated to their end.
+            while more := members.pull(1 << 20):
+                if keep:
+                    parts.append(more)
+            members.end()
         if keep:
             block = b"".join(parts)[: row["content_length"]]
             row["payload"] = block.partition(b"\r\n\r\n")[2] if said.get("content-type", "").startswith("application/http") else block
@@ -254,8 +291,7 @@ class WarcWriter(DataSourceWriter):
                     close()
                 made.append((f"part-{part:05d}-{len(made):03d}-{attempt}.warc.gz", []))
                 out, at = store.open_output_stream(f"{root}/{made[-1][0]}", compression=None), 0
-            z = zlib.compressobj(4, zlib.DEFLATED, 31)
-            data = z.compress(record(row["source_id"], row["url"], bytes(row["payload"] or b""), row["record_type"], row["refers_to_source"], date)) + z.flush()
+            data = member(record(row["source_id"], row["url"], bytes(row["payload"] or b""), row["record_type"], row["refers_to_source"], date))
             if not made[-1][1] or at - made[-1][1][-1] >= 1_000_000:
                 made[-1][1].append(at)
             out.write(data)
