@@ -53,3 +53,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             parts.append(batch.slice(low, high - low))
     if parts:
         yield pa.Table.from_batches(parts)
+
+
+def together(tables: Iterator[pa.Table], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Small tables as batches of about so many rows: a batch costs more than its rows where groups are small."""
+    held, n = [], 0
+    for table in tables:
+        held.append(table)
+        n += table.num_rows
+        if n >= rows:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()

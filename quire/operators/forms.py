@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from quire.functions.folds import fold_rows, whole_groups
+from quire.functions.folds import fold_rows, together, whole_groups
 
 from .layout import PAGE
 
@@ -127,12 +127,14 @@ def _labelled(rows: DataFrame) -> DataFrame:
     """The candidates among rows (doc_id, page, kind, family, item_idx, x, y, width, height, text) with label_text. A page's candidates and labels meet in one task, which holds the page."""
     dealt = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "kind", "family", "item_idx")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for page in whole_groups(batches, PAGE):
             n = int((page.column("kind").to_numpy() == 0).sum())
             if n:
-                first = page.slice(0, n).drop_columns(["kind"]).append_column("label_text", pa.array(_nearest(page), pa.string()))
-                yield from first.to_batches()
+                yield page.slice(0, n).drop_columns(["kind"]).append_column("label_text", pa.array(_nearest(page), pa.string()))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return together(met(batches))
 
     out = StructType([*[f for f in rows.schema.fields if f.name != "kind"], StructField("label_text", StringType())])
     return dealt.mapInArrow(meet, out)
@@ -207,10 +209,13 @@ def detect_form_fields(items: DataFrame, pages: DataFrame, sensitivity: int = 50
     if kinds is not None:
         rows = rows.where(F.col("type").isin(*kinds))
 
-    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for page in whole_groups(batches, PAGE):
             at, row = zip(*_free_places(page))
-            yield from page.take(list(at)).append_column("row", pa.array(row, pa.int32())).to_batches()
+            yield page.take(list(at)).append_column("row", pa.array(row, pa.int32()))
+
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return together(freed(batches))
 
     dealt = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "family", "item_idx")
     rows = dealt.mapInArrow(free, StructType([*rows.schema.fields, StructField("row", IntegerType())]))
