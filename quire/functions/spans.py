@@ -45,8 +45,10 @@ def find_all(text: Column, pattern: str, guard: str | None = None, groups: int =
     The pattern runs once over the text and must not match the empty string. guard: a cheaper pattern without which none
     can match. needs: groups of which one must have matched; the other matches are left out before any is taken apart. Noncharacters U+FDD0 to U+FDD2 in the text count as U+FFFD.
     """
-    hay = text if guard is None else F.when(text.rlike(guard), text)
-    hay = F.translate(F.coalesce(hay, F.lit("")), _BEGIN + _GROUP + _END, "\ufffd" * 3)
+    # Bytes are searched before characters are translated one by one.
+    marks = text.contains(_BEGIN) | text.contains(_GROUP) | text.contains(_END)
+    clean = F.when(marks, F.translate(text, _BEGIN + _GROUP + _END, "\ufffd" * 3)).otherwise(F.coalesce(text, F.lit("")))
+    hay = clean if guard is None else F.when(text.rlike(guard), clean).otherwise(F.lit(""))
     marked = F.regexp_replace(hay, pattern, _BEGIN + "$0" + "".join(f"{_GROUP}${k + 1}" for k in range(groups)) + _END)
     if needs:
         other = f"[^{_BEGIN}{_GROUP}{_END}]*"
@@ -58,7 +60,7 @@ def find_all(text: Column, pattern: str, guard: str | None = None, groups: int =
         before = running(F.transform(ps, lambda p: F.length(p[0]) + F.length(p[1])))
         return F.zip_with(ps, before, lambda p, at: F.struct((at + F.length(p[0])).alias("start"), p[1].alias("text"), F.slice(p, 3, F.lit(groups)).alias("groups")))
 
-    return F.when(F.size(parts) > 0, let(parts, placed)).otherwise(F.array().cast(MATCH))
+    return let(parts, lambda ps: F.when(F.size(ps) > 0, placed(ps)).otherwise(F.array().cast(MATCH)))
 
 
 def group(match: Column, k: int) -> Column:

@@ -45,6 +45,9 @@ PHONES = (
 _STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC"
 STREET = rf"(?i)(\d+\s+[A-Za-z0-9\s,.-]+(?:St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Dr(?:ive)?|Rd|Road|Ln|Lane|Way|Ct|Court|Pl|Place|Cir|Circle)\.?)\s*,?\s*([A-Za-z\s]+),?\s*({_STATES})\s*(\d{{5}}(?:-\d{{4}})?)"
 TOWN = rf"(?i){OPEN}([A-Za-z][A-Za-z\s]{{2,25}}),?\s*({_STATES})\s+(\d{{5}}(?:-\d{{4}})?){CLOSE}"
+#: Where a street address or a town must end: a stretch of their characters up to its last state with a ZIP, and whether a text has any.
+_UP_TO_ZIP = rf"(?i)(?<![a-z0-9\s,.-])[a-z0-9\s,.-]*(?=[a-z]{{2}}\s*\d{{5}})(?:{_STATES})\s*\d{{5}}(?:-\d{{4}})?"
+_ZIP = rf"(?i)(?=[a-z]{{2}}\s*\d{{5}})(?:{_STATES})\s*\d{{5}}"
 URL = BOUND + r"(?i)((?:https?|ftp)://)?(?:www\.)?([a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,})+)(/[^\s<>\"{}|\\^`\[\]]*)?"
 TLD = r"(?i)\.(com|org|net|edu|gov|io|co|me|info|biz|us|uk|ca|de|fr|app|dev|ai|tech|xyz|online)\z"
 IDS = (
@@ -59,6 +62,16 @@ IDS = (
 )
 
 
+def _begins(pattern: str, characters: str) -> str:
+    """The pattern behind a test of the one character its matches begin with, which is cheaper than what stands first in it."""
+    return f"(?=[{characters}])" + pattern
+
+
+def _states_tested(pattern: str) -> str:
+    """The pattern with two letters and a ZIP asked for before the states are tried one by one."""
+    return pattern.replace(f"({_STATES})", rf"(?=[a-z]{{2}}\s*\d{{5}})({_STATES})")
+
+
 def _groups(pattern: str) -> int:
     """The number of capturing groups."""
     return re.compile(re.sub(r"\(\?[iu]+\)", "", pattern)).groups
@@ -185,8 +198,11 @@ def extract_phones(pages: DataFrame) -> DataFrame:
 
 def address_hits(text: Column) -> Column:
     trimmed = lambda h, p, k: F.trim(group(h, k))
-    street = _hits(text, STREET, lambda h: {"street": trimmed(h, STREET, 1), "city": trimmed(h, STREET, 2), "state": F.upper(group(h, 3)), "zip": group(h, 4), "confidence": F.lit(85)}, r"\d{5}")
-    town = _hits(text, TOWN, lambda h: {"street": F.lit(None).cast("string"), "city": trimmed(h, TOWN, 1), "state": F.upper(group(h, 2)), "zip": group(h, 3), "confidence": F.lit(70)}, r"\d{5}")
+    street_fields = lambda h: {"street": trimmed(h, STREET, 1), "city": trimmed(h, STREET, 2), "state": F.upper(group(h, 3)), "zip": group(h, 4), "confidence": F.lit(85)}
+    # STREET lets every number try the whole text that follows; all it can match lies in these stretches, so it runs in them alone.
+    moved = lambda s: F.transform(_hits(s["text"], _states_tested(STREET), street_fields), lambda h: h.withField("start", h["start"] + s["start"]).withField("stop", h["stop"] + s["start"]))
+    street = F.flatten(F.transform(find_all(text, _UP_TO_ZIP, _ZIP), moved))
+    town = _hits(text, _states_tested(TOWN), lambda h: {"street": F.lit(None).cast("string"), "city": trimmed(h, TOWN, 1), "state": F.upper(group(h, 2)), "zip": group(h, 3), "confidence": F.lit(70)}, _ZIP)
     return F.concat(street, town)
 
 
@@ -214,7 +230,9 @@ def id_hits(text: Column) -> Column:
             d = F.regexp_replace(h["text"], "[^0-9]", "")
             return ~(d.startswith("000") | d.startswith("666") | d.startswith("9")) if kind == "SSN" else F.lit(True)
 
-        parts.append(_hits(text, pattern, lambda h, kind=kind, valid=valid: {"id_type": F.lit(kind), "normalized": F.regexp_replace(h["text"], "[^A-Za-z0-9]", ""), "valid": valid(h), "confidence": F.when(valid(h), 80).otherwise(50)}))
+        words = re.search(r"\(\?:([A-Za-z/|]+)\)\[#", pattern)
+        begins = "".join(sorted({c for w in words[1].split("|") for c in (w[0].upper(), w[0].lower())})) if words else "0-9"
+        parts.append(_hits(text, _begins(pattern, begins), lambda h, kind=kind, valid=valid: {"id_type": F.lit(kind), "normalized": F.regexp_replace(h["text"], "[^A-Za-z0-9]", ""), "valid": valid(h), "confidence": F.when(valid(h), 80).otherwise(50)}))
     return F.concat(*parts)
 
 

@@ -1,5 +1,7 @@
 """Key information on hand-written rows: the stated examples and the quirks."""
 
+import re
+
 import pytest
 
 from quire.operators import entities as E
@@ -36,3 +38,23 @@ def test_redaction_covers_repeats(spark):
     pages = spark.createDataFrame([(1, 1, "a@b.com and a@b.com"), (2, 1, None)], "doc_id bigint, page int, text string")
     found = {r["doc_id"]: r["redacted"] for r in E.redact_spans(pages, ("email",), "#").collect()}
     assert found == {1: "# and #", 2: None}
+
+
+ADDRESSES = [
+    "12 Oak St, Boston, MA 02101-1234 and 7 Elm Road Salem OR 97301",
+    "1 2 3 Main Street Town, TX 75001; then 9 Hill Ave, Reno NV 89501 5 Low Ln X CA 90001",
+    "5 High Court\nSpringfield\nIL\n62704-99 x: 8 Way, IN 46001",
+    "44 Some Place without a state 12345. 3 Best Drive, CAL CA90210",
+    "no number St, Boston, MA 02101",
+    "é 10 Rue St, Paris, TX 75460 😀 11 Bay Blvd. Miami FL 33101",
+    "7 Oak St, New York, NY 10001-12345",
+    "",
+    "99 " * 400 + "Main St, Austin, TX 73301",
+]
+
+
+def test_streets_as_the_plain_pattern_finds_them(spark):
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(ADDRESSES)], "doc_id bigint, page int, text string")
+    found = sorted((r["doc_id"], r["start"], r["stop"], r["zip"]) for r in E.extract_addresses(pages).where("confidence = 85").collect())
+    plain = sorted((i, m.start(), m.end(), m[4]) for i, t in enumerate(ADDRESSES) for m in re.compile(E.STREET, re.ASCII).finditer(t))
+    assert found == plain and len(plain) > 6
