@@ -79,7 +79,8 @@ def search_text(pages: DataFrame, query: str, around: int = 30, max_results: int
     pattern = query_pattern(query, **options)
     if pattern is None:
         return pages.limit(0).select("doc_id", "page", F.lit(0).alias("start"), "text", F.col("text").alias("context"), F.lit(0).alias("match_index"))
-    found = pages.select("doc_id", "page", F.inline(_contexts(F.col("text"), pattern, around)))
+    # Pages without a match are left out before texts are cut in pieces.
+    found = pages.where(F.col("text").rlike(pattern)).select("doc_id", "page", F.inline(_contexts(F.col("text"), pattern, around)))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "start")) - 1
     found = found.withColumn("match_index", index)
     return found if max_results is None else found.where(F.col("match_index") < max_results)
