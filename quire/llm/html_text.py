@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block of text. A line's mass is its
 an article keeps three fifths. Lines fall into runs, parted by what can't be text (menus, footers, forms and the like) and by the borders
 of articles and of elements whose name marks them as something else. In a run, sums of mass and of length over windows of lines, one
 ending and one beginning at each line, tell where text surges and where it dives: a block of links stays only where text
-stands on both its sides, a label only where text follows. Runs outside the article, or under a mark, stay only if they hold most of the page.
+stands on both its sides (a title where text follows, a single paragraph where text stands before), a label only where text follows. Runs outside the article, or under a mark, stay only if they hold most of the page.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .common import pick
 # Element names of HTML, roles, and words of class and id names that mark what isn't main text.
 RAW = frozenset("script style noscript template textarea iframe noembed noframes object svg math canvas audio video xmp title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-CHROME = frozenset("nav aside footer button select dialog menu head".split())
+BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+CHROME = frozenset("nav aside footer button select label dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle adbox banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert alerts "
@@ -34,7 +34,7 @@ MARKS = frozenset(
     "topbar header masthead footer copyright comment comments commentlist disqus respond replies reply widget widgets pagination pager toolbar skip paywall disclaimer".split()
 )
 #: Words that stand beside a mark in a name without changing it.
-NEUTRAL = frozenset("site page global top bottom left right upper lower wrap wrapper container inner outer box block list item items area section bar col column links link buttons button main content primary secondary fixed sticky mobile desktop reader user thread form".split())
+NEUTRAL = frozenset("site page global top bottom left right upper lower wrap wrapper container inner outer box block list item items area section bar col column links link buttons button main content primary secondary fixed sticky mobile desktop reader user thread form slot unit zone".split())
 #: What may stand in a head; anything else ends it.
 HEAD = frozenset("base link meta title style script noscript template head html".split())
 #: Elements that a mark never takes away: they hold the page or the article itself.
@@ -87,25 +87,32 @@ def _chrome(tag: str, attrs: str, inside: bool) -> int:
 
 @dataclass
 class Line:
-    """A block's text: how much of it is links, whether it can't be main text, and the article, main and marked elements it is in (0 and () for none)."""
+    """A block's text: how much of it is links, whether it can't be main text, and the article, main and innermost marked element it is in (0 for none)."""
 
     text: str
     links: int
     dark: bool
     article: int
     main: int
-    marks: tuple[tuple[int, int], ...]
+    mark: int
+    #: The level of the heading it is, 0 for none, and whether it is a paragraph.
+    heading: int
+    paragraph: bool
 
 
 class _Reader:
-    """Lines of a page in one forward pass; every step is undone at most once, so the time is linear in the page."""
+    """Lines of a page in one forward pass; every step is undone at most once, so the time is linear in the page.
+
+    marks holds the marked elements by number, each with the one around it (0 for none) and what its name says; a line has the number of its innermost.
+    """
 
     def __init__(self, html: str):
         self.html, self.lines = html, []
         self.stack: list[tuple[str, bool, bool]] = []
         self.open: Counter = Counter()
         self.parts: list[tuple[str, bool]] = []
-        self.marks: list[tuple[int, int]] = []
+        self.marks: list[tuple[int, int]] = [(0, 0)]
+        self.mark = 0
         self.articles: list[int] = []
         self.mains: list[int] = []
         #: Depth of the element that a comments' heading silences from there on, and the heading's level.
@@ -125,7 +132,7 @@ class _Reader:
                 if not self.mute and not self.articles and COMMENT_HEAD.fullmatch(text):
                     self.mute = depth - 1, self.level
             links = sum(len("".join(t.split())) for t, link in self.parts if link)
-            self.lines.append(Line(text, links, self.dark > 0 or self.mute is not None, self.articles[-1] if self.articles else 0, self.mains[-1] if self.mains else 0, tuple(self.marks)))
+            self.lines.append(Line(text, links, self.dark > 0 or self.mute is not None, self.articles[-1] if self.articles else 0, self.mains[-1] if self.mains else 0, self.mark, self.level, self.open["p"] > 0))
         self.parts.clear()
 
     def pop(self) -> None:
@@ -133,7 +140,7 @@ class _Reader:
         self.open[tag] -= 1
         self.dark -= was_dark
         if marked:
-            self.marks.pop()
+            self.mark = self.marks[self.mark][0]
         if tag == "article":
             self.articles.pop()
         elif tag == "main":
@@ -150,8 +157,8 @@ class _Reader:
         if how and (self.articles or tag == "form" and inside):
             how = HARD
         if 0 < how < HARD:
-            self.count += 1
-            self.marks.append((self.count, how))
+            self.marks.append((self.mark, how))
+            self.mark = len(self.marks) - 1
         self.stack.append((tag, how == HARD, 0 < how < HARD))
         self.open[tag] += 1
         self.dark += how == HARD
@@ -233,7 +240,10 @@ def _kept(run: list[Line], window: int) -> list[Line]:
     for i, line in enumerate(run):
         before, after = dense(max(0, i + 1 - window), i + 1), dense(i, min(len(run), i + window))
         if mass[i] <= DENSE * size[i]:
-            keep = before and after
+            # A title of links belongs to the text that surges after it; a single paragraph of links to the text that dives with it.
+            title, beyond = 0 < line.heading <= 2, i + 1 == len(run) or dense(i + 1, min(len(run), i + 1 + window))
+            single = line.paragraph and i > 0 and dense(i - 1, i) and beyond
+            keep = before and (after or single) or title and after
         elif size[i] <= LABEL and not line.text.endswith(SENTENCE_END):
             keep = after
         else:
@@ -251,24 +261,33 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
     """
     if not html:
         return ""
-    lines = _Reader(html).read()
+    reader = _Reader(html)
+    lines = reader.read()
     while lines and not lines[-1].dark and len(lines[-1].text) <= 200 and RIGHTS.match(lines[-1].text):
         lines.pop()
     lit = [x for x in lines if not x.dark]
     weight = lambda some: sum(max(0, len(x.text) - x.links) for x in some)
-    plain = [x for x in lit if not any(how == MARKED for _, how in x.marks)] or lit
+    # Elements are numbered from the outside in, so what holds for one is known when those in it come.
+    sure = [False]
+    for outer, how in reader.marks[1:]:
+        sure.append(sure[outer] or how == MARKED)
+    plain = [x for x in lit if not sure[x.mark]] or lit
     total = weight(plain)
     inside = next((f for f in (lambda x: x.article, lambda x: x.main) if any(map(f, plain)) and 2 * weight(filter(f, plain)) >= total), None)
-    held: Counter = Counter()
+    held = [0] * len(reader.marks)
     for x in plain:
-        for n, _ in x.marks:
-            held[n] += max(0, len(x.text) - x.links)
-    under = lambda x: any(how == MARKED or 2 * held[n] <= total for n, how in x.marks)
+        held[x.mark] += max(0, len(x.text) - x.links)
+    for n in range(len(held) - 1, 0, -1):
+        held[reader.marks[n][0]] += held[n]
+    lost = [False]
+    for n, (outer, how) in enumerate(reader.marks[1:], 1):
+        lost.append(lost[outer] or how == MARKED or 2 * held[n] <= total)
+    under = lambda x: lost[x.mark]
     core = [x for x in lit if inside is None or inside(x)]
     if core and all(map(under, core)):
         under = lambda x: False
     # Runs are parted by dark lines and where article or marks change; only those of the article without a mark are text.
-    kind = lambda x: None if x.dark or under(x) or inside is not None and not inside(x) else (inside(x) if inside else 0, x.marks)
+    kind = lambda x: None if x.dark or under(x) or inside is not None and not inside(x) else (inside(x) if inside else 0, x.mark)
     return " ".join(x.text for key, run in groupby(lines, kind) if key is not None for x in _kept(list(run), window))
 
 

@@ -1,5 +1,6 @@
 """Main text of pages: what decides, awkward markup, and time."""
 
+import random
 import time
 
 import pytest
@@ -23,6 +24,11 @@ WORDS = "word " * 60
         ("<article>A teaser.</article><div>" + WORDS + "</div>", "A teaser. " + WORDS.strip()),
         ("<p>" + WORDS + "</p><div>&copy; 2020 somebody</div>", WORDS.strip()),
         ("<form action=/><p>" + WORDS + "</p></form>", WORDS.strip()),
+        ("<div><h1><a href=/p>The title as link</a></h1><p>" + WORDS + "</p></div>", "The title as link " + WORDS.strip()),
+        ("<div><p>" + WORDS + "</p><p><a href=x>Read the source paper</a></p></div>", WORDS + "Read the source paper"),
+        ("<p>" + WORDS + "</p><p><a href=x>Home</a></p><p><a href=y>About</a></p>", WORDS.strip()),
+        ("<p>" + WORDS + "</p><div class='ad-slot'>Buy now.</div><p>" + WORDS + "</p>", WORDS + WORDS.strip()),
+        ("<p>" + WORDS + "</p><label for=s>Choose</label><select id=s><option>a</select><p>" + WORDS + "</p>", WORDS + WORDS.strip()),
         ("<article><ul><li><a href=1>One reference</a></ul></article>", "One reference"),
     ],
 )
@@ -49,7 +55,28 @@ def test_tags_and_names_are_not_needed():
     assert H.main_text(page) == H.main_text(plain) == expected
 
 
-@pytest.mark.parametrize("html", ["<a " * 350_000, "<b>" * 150_000 + "</i>" * 150_000, '<a x="' * 200_000, "<p " * 200_000 + ">", "<" * 1_000_000, '<div class="a">' * 60_000 + "x", "<!--" * 200_000, "<h2>Comments</h2>" * 50_000])
+def generated(seed: int) -> tuple[str, str]:
+    """A page whose parts all stand in neutral elements, and its article."""
+    r = random.Random(seed)
+    sentence = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n)).capitalize() + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>{sentence(r.randint(1, 3))[:-1]}</a></li>" for i in range(n)) + "</ul>"
+    blocks = [sentence(4)[:-1], *[sentence(r.randint(12, 60)) for _ in range(r.randint(4, 12))]]
+    body = [f"<h1>{blocks[0]}</h1>", *[f"<p>{b}</p>" for b in blocks[1:]]]
+    parts = [links(r.randint(4, 9)), *body, links(r.randint(4, 9)), "".join(f"<h4><a href=/t{i}>{sentence(6)[:-1]}</a></h4>" for i in range(5))]
+    advert = f"<div class='ad-slot'>{sentence(8)}</div>"
+    parts.insert(r.randint(2, len(body)), advert)
+    return "<html><body>" + "".join(f"<div class=c{i}>{p}</div>" for i, p in enumerate(parts)) + "</body></html>", " ".join(blocks)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_generated_pages(seed, monkeypatch):
+    html, article = generated(seed)
+    assert H.main_text(html) == article
+    monkeypatch.setattr(H, "_kept", lambda run, window: run)
+    assert H.main_text(html) != article
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<b>" * 150_000 + "</i>" * 150_000, '<a x="' * 200_000, "<p " * 200_000 + ">", "<" * 1_000_000, '<div class="a">' * 60_000 + "x", "<!--" * 200_000, "<h2>Comments</h2>" * 50_000, "<div class=ad>x. " * 60_000, "<div class='ad box'>x. " * 45_000])
 def test_linear_in_bad_markup(html):
     began = time.process_time()
     H.main_text(html)
