@@ -201,7 +201,7 @@ QUERIES = {
     "a7_column_widths": lambda s, d: X.column_widths(X.typed_grid(L.table_cells(layout._tables(s, d)))),
     "a8_import_library": _archive,
     "a9_validate_archive": _archive_errors,
-    "a10_export_classifications": lambda s, d: _exported_classes(s, d).drop("top_keywords"),
+    "a10_export_classifications": _exported_classes,
     "a11_export_history": lambda s, d: X.export_history(_log(s, d)).withColumn("document_ids", F.array_join(F.col("document_ids").cast("array<string>"), ",")),
     "b3_pages_to_html": lambda s, d: B.pages_to_html(views.doc_pages(s, d), load(s, d, "documents").where("doc_id % 2 = 0").selectExpr("doc_id", "concat('A & ', source) AS title")),
     "b6_valid_ocr_language": lambda s, d: load(s, d, "documents").select("doc_id", B.valid_ocr_language(F.when(F.col("doc_id") % 3 == 0, F.lit("deu")).otherwise(F.col("lang"))).alias("valid")),
@@ -357,7 +357,7 @@ ORACLES = {
     "a9_validate_archive": """WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id END AS c, doc_id + 1 AS o FROM documents), v AS (SELECT doc_id AS id, doc_id * 2 AS blob_id FROM documents WHERE doc_id % 7 > 0), b AS (SELECT doc_id * 2 AS id FROM documents WHERE doc_id % 9 > 0)
  SELECT 'document' AS record, id, 'NO_VERSION' AS error FROM d WHERE c IS NULL UNION ALL SELECT 'document', id, 'MISSING_VERSION' FROM d WHERE c IS NOT NULL AND (c NOT IN (SELECT id FROM v) OR o NOT IN (SELECT id FROM v))
  UNION ALL SELECT 'version', id, 'MISSING_BYTES' FROM v WHERE blob_id NOT IN (SELECT id FROM b) UNION ALL SELECT 'artifact', event_id, 'MISSING_BYTES' FROM events WHERE user_id * 2 NOT IN (SELECT id FROM b)""",
-    "a10_export_classifications": f"SELECT c.doc_id, 'order ' || c.doc_id || '.pdf' AS filename, CASE WHEN c.doc_id % 13 = 0 THEN 'contract' ELSE type END AS type, confidence, level, CASE WHEN c.doc_id % 13 = 0 THEN 'Yes' ELSE 'No' END AS overridden, coalesce(n, 0) AS keyword_count FROM {_CLASSES} c LEFT JOIN (SELECT doc_id, count(*) AS n FROM {_KEYWORDS} GROUP BY doc_id) k ON k.doc_id = c.doc_id",
+    "a10_export_classifications": f"SELECT c.doc_id, 'order ' || c.doc_id || '.pdf' AS filename, CASE WHEN c.doc_id % 13 = 0 THEN 'contract' ELSE type END AS type, confidence, level, CASE WHEN c.doc_id % 13 = 0 THEN 'Yes' ELSE 'No' END AS overridden, coalesce(n, 0) AS keyword_count, coalesce(top, '') AS top_keywords FROM {_CLASSES} c LEFT JOIN (SELECT doc_id, count(*) AS n, array_to_string(list(keyword ORDER BY k.\"count\" * k.weight DESC, keyword, category)[1:5], ',') AS top FROM {_KEYWORDS} k GROUP BY doc_id) k ON k.doc_id = c.doc_id",
     "a11_export_history": f"""SELECT id, type, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor((epoch_us("timestamp") % 1000000) / 1000) AS INTEGER) AS VARCHAR), 3, '0') || 'Z' AS "timestamp", description, undo AS can_undo, array_to_string(document_ids, ',') AS document_ids, metadata FROM {_LOG}""",
     "b3_pages_to_html": f"""WITH p AS (SELECT doc_id, page, count(*) OVER (PARTITION BY doc_id) AS n, {pages._ESC.replace('text', 'trim(text)')} AS body FROM ({views.DOC_PAGES})), t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A &amp; ' || source ELSE 'Converted PDF' END AS title FROM documents)
  SELECT doc_id, {lit(B.HTML_HEAD[0])} || title || {lit(B.HTML_HEAD[1])} || title || {lit(B.HTML_HEAD[2])} || string_agg('  <div class="page">' || chr(10) || '    <div class="page-number">Page ' || page || ' of ' || n || '</div>' || chr(10) || '    <pre>' || body || '</pre>' || chr(10) || '  </div>', chr(10) ORDER BY page) || chr(10) || '</body>' || chr(10) || '</html>' AS html FROM p JOIN t USING (doc_id) GROUP BY doc_id, title""",
