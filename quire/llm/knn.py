@@ -28,11 +28,11 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id, v = floor(scale * x) as bigints of (vec_id, embedding).
 
     A vector that is null or holds a null or non-finite component is left out, as is a null vec_id, and as is one
-    whose scaled squared norm reaches 2^62: its inner products may not fit 64 bits. Repeated rows stay.
+    whose scaled squared norm reaches 2^124: its components or products may not fit what holds them. Repeated rows stay.
     """
     x = pick(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
     x = x.where(F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    fits = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + (F.abs(e.cast("double")) * scale + 1) * (F.abs(e.cast("double")) * scale + 1)) < 2.0**62
+    fits = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + (F.abs(e.cast("double")) * scale + 1) * (F.abs(e.cast("double")) * scale + 1)) < 2.0**124
     return x.where(fits).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda e: F.floor(e.cast("double") * scale)).alias("v"))
 
 
@@ -64,16 +64,18 @@ def solve(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: i
     x_id, x = x_id[first], x[first].astype(exact)
     out: list[tuple] = []
     for i in range(0, len(q), 256):
-        score = (q[i : i + 256].astype(exact) @ x.T).astype(np.int64)
+        score = q[i : i + 256].astype(exact) @ x.T
+        score = score if exact is object else score.astype(np.int64)
         for mine, row in zip(q_id[i : i + 256], score):
             own = x_id != mine
             ids, row = x_id[own], row[own]
             if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
+                least = (np.sort(row) if exact is object else np.partition(row, len(row) - k))[len(row) - k]
                 best = np.concatenate((np.flatnonzero(row > least), np.flatnonzero(row == least)[:k]))
             else:
                 best = np.arange(len(row))
-            best = best[np.lexsort((ids[best], -row[best]))][:k]
+            by_score = sorted(range(len(best)), key=lambda j: (-row[best[j]], ids[best[j]])) if exact is object else np.lexsort((ids[best], -row[best]))
+            best = best[by_score][:k]
             out.append((np.full(len(best), mine), ids[best], row[best]))
     return tuple(np.concatenate(a) for a in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
@@ -85,7 +87,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     ties go to the smaller vec_id. Repeated vec_ids are reduced to one candidate, with their least vector, before
     anything is counted, so that k + 1 distances are always those of k other candidates; queries of one
     id are answered together. Vectors of unequal length count as padded by zeros.
-    Squared norms must be below 2^62, as quantised() sees to. Pivots: a bounded sample of the rows, by hash.
+    Squared norms must be below 2^124, as quantised() sees to; from 2^62 on scores are whole numbers of any length, ranked as
+    they are, and null where they don't fit 64 bits. Pivots: a bounded sample of the rows, by hash.
     Empty tables give no rows; columns not named are ignored. dealt_only gives the rows as dealt to groups and blocks
     instead, to count how many copies of the data there are.
     """
@@ -97,7 +100,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     if not seen["n"] or not seen["dim"]:
         return spark.createDataFrame([], schema) if not seen["n"] else _ranked(rows.where("is_query").select(F.col("vec_id").alias("query_id")).distinct(), rows, k)
     dim, most, total = seen["dim"], seen["most"], seen["n"]
-    exact = np.float64 if most < 2.0**52 else np.int64
+    exact = np.float64 if most < 2.0**52 else np.int64 if most < 2.0**61 else object
+    score_type, score_kind = (pa.decimal128(38, 0), "decimal(38,0)") if exact is object else (pa.int64(), "bigint")
     full = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dim) - F.size("v")))
     data = rows.groupBy("vec_id").agg(F.min(full).alias("v")).withColumn("is_query", F.lit(False))
     # A row is a candidate or a query; the query's id has a candidate of its own.
@@ -212,19 +216,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
         asks = table.column("is_query").to_numpy()
         ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
         q, v, s = solve(ids[asks], x[asks], ids[~asks], x[~asks], k, exact)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s.tolist(), score_type)})
 
     dealt = rows.select("vec_id", "v", "is_query", "cell").mapInArrow(deal, "group int, block int, is_query boolean, vec_id bigint, v array<bigint>")
     if dealt_only:
         return dealt
-    local = dealt.groupBy("group", "block").applyInArrow(best, "query_id bigint, vec_id bigint, score bigint")
+    local = dealt.groupBy("group", "block").applyInArrow(best, f"query_id bigint, vec_id bigint, score {score_kind}")
     return _first(local, k)
 
 
 def _first(scored: DataFrame, k: int) -> DataFrame:
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").try_cast("bigint").alias("score"))
 
 
 def _ranked(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
