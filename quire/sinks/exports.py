@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.shared import shared_folder
-from quire.functions.spans import first_of_each
+from quire.functions.spans import first_of_each, inlined
 from quire.operators import entities as E
 
 # CSV headers by entity kind, as (header, column of the extractor), and the archive's version.
@@ -45,7 +45,7 @@ def entity_rows(pages: DataFrame, kinds: tuple[str, ...] = tuple(CSV_COLUMNS)) -
         row = lambda h: F.struct(F.lit(kind).alias("kind"), F.array(*[plain(h, c) for _, c in CSV_COLUMNS[kind]]).alias("fields"))
         return F.transform(first_of_each(F.col(kind), key) if key else F.col(kind), row)
 
-    return found.select("doc_id", F.inline(F.concat(*map(of_kind, kinds))))
+    return inlined(found, ["doc_id"], F.concat(*map(of_kind, kinds)), "kind")
 
 
 def entity_csv_lines(pages: DataFrame, kinds: tuple[str, ...] = tuple(CSV_COLUMNS)) -> DataFrame:
