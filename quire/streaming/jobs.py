@@ -22,8 +22,10 @@ TTL_SECONDS = 1800
 
 
 def _ordered(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """A key's events of one micro-batch, in order."""
-    return pd.concat(list(frames), ignore_index=True).sort_values(list(by), kind="stable")
+    """A key's events of one micro-batch, in order. Most keys have one frame of few rows, where pandas costs more than the rows."""
+    held = list(frames)
+    rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+    return rows if len(rows) < 2 else rows.sort_values(list(by), kind="stable")
 
 
 def job_lifecycle(events: DataFrame, late: str = "1 hour", ttl_seconds: int = TTL_SECONDS) -> DataFrame:
@@ -51,7 +53,7 @@ def job_lifecycle(events: DataFrame, late: str = "1 hour", ttl_seconds: int = TT
             ended = ended or status in TERMINAL
         state.update((ends, ended))
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": rows["job_id"], "event_id": rows["event_id"].astype("Int64"), "status": rows["status"], "ms": rows["ms"], "outcome": outcome})
+        yield pd.DataFrame({c: rows[c].array for c in ("job_id", "event_id", "status", "ms")} | {"outcome": outcome})
 
     schema = "job_id bigint, event_id bigint, status string, ms bigint, outcome string"
     found = watched.groupBy("job_id").applyInPandasWithState(step, schema, "ends bigint, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
