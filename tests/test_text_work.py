@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quire.functions.spans import spelt
 from quire.operators import classify as C
 from quire.operators import entities as E
@@ -43,3 +45,13 @@ def test_classes_are_spelt_out():
     assert spelt(r"(?i)[0-9-.]") == r"(?i)[0-9-.]"
     pattern = E.EMAIL
     assert re.findall(spelt(pattern), "a.B9@x-1.org, no@") == re.findall(pattern, "a.B9@x-1.org, no@") != []
+
+
+def test_characters_are_counted_by_text(spark):
+    r = random.Random(3)
+    texts = ["", None, " ", "a", "A b", "\t\n", "é Ü9 \u2003x\x0b", None, *("".join(r.choice("aZ9 \né\u00a0.") for _ in range(r.randrange(9))) for _ in range(200)), " z", "q "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).orderBy("doc_id").select("doc_id", C.class_counts(F.col("text")).alias("c"))
+    found = {x["doc_id"]: x["c"] for x in rows.collect()}
+    for i, t in enumerate(texts):
+        wanted = None if t is None else tuple(len(re.findall(p, t, re.A)) for p in ("[A-Z]", "[a-z]", "[0-9]", r"\S+"))
+        assert (found[i] if t is None else tuple(found[i])) == wanted, t
