@@ -7,8 +7,16 @@ own; items without a place (null x or y) are left out; empty tables give no rows
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quire.functions.folds import fold_rows
 
@@ -91,6 +99,68 @@ def assign_cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
     return lines.select(*PAGE, "row", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("cells"))
 
 
+def _last(x: float) -> tuple[bool, float]:
+    """A key that puts NaN after all numbers, and equal to each other, as Spark does."""
+    return x != x, x if x == x else 0.0
+
+
+def _grid(items: list[tuple], tolerance: float) -> tuple | None:
+    """starts, cells by row and the box of a page's items (y falling, x, item_idx, str, at, right, top), by the rules of number_rows, detect_columns and assign_cells."""
+    row, anchor, lines = -1, None, []
+    for item in items:
+        if anchor is None or abs(item[0] - anchor) > tolerance:
+            row, anchor = row + 1, item[0]
+            lines.append([])
+        lines[row].append(item)
+    often = max(2, math.floor((row + 1) * 0.3))
+    starts = sorted(at for at, n in Counter(i[4] for i in items).items() if n >= often)
+    if not starts:
+        return None
+    rows, places = [], {}
+    for line in lines:
+        cells = defaultdict(list)
+        for y, x, index, text, *_ in sorted(line, key=lambda i: (_last(i[1]), _last(-i[0]), i[2] is not None, i[2], i[3])):
+            # Most items begin where others do.
+            if (col := places.get(x)) is None:
+                col = places[x] = min(((abs(x - c), i) for i, c in enumerate(starts)), default=None)[1]
+            cells[col].append(text)
+        rows.append([" ".join(cells[i]) if i in cells else "" for i in range(len(starts))])
+    held = [[i[k] for i in items if i[k] is not None] for k in (1, 0, 5, 6)]
+    return starts, rows, *[f(v, key=_last) if v else None for f, v in zip((min, min, max, max), held)]
+
+
+def page_grids(items: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """doc_id, page, starts, rows (the cells of each row, from the top), x, y, right, top of the pages with columns: group_rows, detect_columns and assign_cells in one pass.
+
+    Items are shuffled once, by page, and stream through a task in order of their height; it holds the items of one page.
+    """
+    at = (F.floor(F.col("x") / COLUMN_STEP + 0.5) * COLUMN_STEP).cast("int")
+    read = _placed(items).select(*PAGE, F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "item_idx", "str", at.alias("at"), (F.col("x") + F.col("width")).cast("double").alias("right"), (F.col("y") + F.col("height")).cast("double").alias("top"))
+    dealt = read.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("y"))
+    adds = _parse_datatype_string("starts array<int>, rows array<array<string>>, x double, y double, right double, top double")
+    out = StructType([*read.schema.fields[:2], *adds.fields])
+    form = to_arrow_schema(out)
+
+    def gridded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = (i for b in batches for i in zip(*[c.to_pylist() for c in b.columns]))
+        held = []
+        for key, page in groupby(items, lambda i: i[:2]):
+            if grid := _grid([i[2:] for i in page], tolerance):
+                held.append((*key, *grid))
+            if len(held) == 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), form)], schema=form)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), form)], schema=form)
+
+    return dealt.mapInArrow(gridded, out)
+
+
+def page_cells(grids: DataFrame) -> DataFrame:
+    """doc_id, page, row, cells of page_grids: what assign_cells gives for the same items."""
+    return grids.select(*PAGE, F.posexplode("rows").alias("row", "cells"))
+
+
 def table_confidence(rows: Column, n_columns: Column) -> Column:
     """0.4 x share of rows with the most common number of filled cells + 0.2 each for 3 rows and 3 columns + 0.2 x filled share; 0 under two of either."""
     filled = F.transform(rows, lambda r: F.size(F.filter(r, lambda c: F.length(F.trim(c)) > 0)))
@@ -114,14 +184,11 @@ def extract_tables(items: DataFrame, min_rows: int = 2, min_columns: int = 2, mi
     A page is one candidate for a table and passes by its rows, columns and confidence.
     """
     items = items if pages is None else items.where(F.col("page").isin(*pages))
-    rows = group_rows(items)
-    box = rows.groupBy(*PAGE).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("top"))
-    lines = assign_cells(rows, detect_columns(rows))
-    tables = lines.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("rows"))
+    tables = page_grids(items)
     tables = tables.withColumn("column_count", F.size(F.get("rows", F.lit(0)))).withColumn("row_count", F.size("rows"))
     tables = tables.where((F.col("row_count") >= min_rows) & (F.col("column_count") >= min_columns)).withColumn("confidence", table_confidence(F.col("rows"), F.col("column_count"))).where(F.col("confidence") >= min_confidence)
     header = F.when(is_header(F.get("rows", F.lit(0))), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return tables.join(box, PAGE).select(*PAGE, F.lit(0).alias("table_idx"), "rows", header.alias("header_rows"), "row_count", "column_count", "confidence", "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("top") - F.col("y")).alias("height"))
+    return tables.select(*PAGE, F.lit(0).alias("table_idx"), "rows", header.alias("header_rows"), "row_count", "column_count", "confidence", "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("top") - F.col("y")).alias("height"))
 
 
 def table_counts(tables: DataFrame) -> DataFrame:

@@ -142,3 +142,16 @@ def test_dense_page_by_cells(spark):
         for a, b, c, d in boxes_[:i]:
             wide, high = min(x + w, a + c) - max(x, a), min(y + h, b + d) - max(y, b)
             assert not (wide > 0 and high > 0 and wide * high > 0.5 * min(w * h, c * d))
+
+
+def test_grids_are_those_of_the_steps_in_one_shuffle(spark):
+    r = random.Random(4)
+    data = scattered() + [(20 + d, 1, r.choice([i, i, None]), r.choice(["a", "b", "é"]), r.choice([50, 54.9, 55, 95, 100, 100, float("nan")]), r.choice([700, 698, 694.5, 690, 600, 595, 594.9]), 11.0, "f", False) for d in range(8) for i in range(30)]
+    table = items(spark, data).repartition(3).cache()
+    rows = L.group_rows(table)
+    wanted = sorted((x["doc_id"], x["page"], x["row"], list(x["cells"])) for x in L.assign_cells(rows, L.detect_columns(rows)).collect())
+    grids = L.page_grids(table)
+    assert sorted((x["doc_id"], x["page"], x["row"], list(x["cells"])) for x in L.page_cells(grids).collect()) == wanted and len(wanted) > 50
+    box = {(x["doc_id"], x["page"]): repr([x["a"], x["b"], x["c"], x["d"]]) for x in rows.groupBy("doc_id", "page").agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max(F.col("x") + F.col("width")).alias("c"), F.max(F.col("y") + F.col("height")).alias("d")).collect()}
+    assert all(repr([x["x"], x["y"], x["right"], x["top"]]) == box[x["doc_id"], x["page"]] for x in grids.collect())
+    assert L.extract_tables(items(spark, data))._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
