@@ -1,7 +1,7 @@
-"""Near copies by the exact Jaccard similarity of word shingles, over candidates from MinHash bands.
+"""Near copies by the exact Jaccard similarity of word shingles, over candidates from SimHash fingerprints and MinHash bands.
 
-Every distinct text has 80 minima of its shingles' hashes, cut into 20 bands of four; texts that share a band are
-compared by their whole shingle sets. Two texts of similarity 0.8 share no band with a probability of 3 in 100,000,
+Texts whose fingerprints the operator `simhash` links, in steps of at most RADIUS bits, are candidates; copies that differ in more bits come by bands. Every distinct text has 80 minima of its shingles' hashes, cut into 20 bands of four; texts that share a band or
+a component of fingerprints are compared by their whole shingle sets. Two texts of similarity 0.8 share no band with a probability of 3 in 100,000,
 more similar ones with less. Bands that hold the same texts are compared once. Within a band a text is compared to the
 kept ones alone, so a large group of near copies takes no pairs; a band of more texts than PART is cut into parts
 first, and what each part keeps is compared again. Where that no longer halves the largest band, its texts are unlike, and parts are compared with parts.
@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import forget, pick, stored, text_key
 from .hashing import BASES, Hashes, Powers, rolling
+from .simhash import fingerprint, fingerprint_roots
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 20
 ROWS = 4
 PART = 256
+#: Bits by which linked fingerprints differ at most.
+RADIUS = 2
 #: Odd factors and offsets of the hash functions.
 _FACTORS, _OFFSETS = (np.random.default_rng(n).integers(0, 2**64, BANDS * ROWS, np.uint64) for n in (1, 2))
 _FACTORS |= np.uint64(1)
@@ -86,7 +89,7 @@ def keep_distinct(docs: DataFrame, part: int = PART) -> DataFrame:
     """text_key, least_id of the texts of (doc_id, text) that stay: text_key is `common.text_key`, 128 bits of the text, least_id its smallest doc_id.
 
     A text goes if it is a near copy of one with a smaller (least_id, text_key), null ids last, or of one that goes
-    for that reason; of texts that stay no two that share a band are near copies. Null and blank texts are
+    for that reason; of texts that stay no two that share a band or a component of fingerprints are near copies. Null and blank texts are
     copies of each other; an empty table gives no rows.
     """
     keyed = pick(docs, "doc_id", "text").withColumn("text_key", text_key(F.col("text")))
@@ -95,17 +98,24 @@ def keep_distinct(docs: DataFrame, part: int = PART) -> DataFrame:
         known = Hashes()
         for batch in batches:
             made = [bands(shingles(t.as_py(), hashes=known)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
+            fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(made, pa.list_(pa.int64())), pa.array(fp)], names=["doc_id", "text_key", "bands", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), hashes=known).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())], names=["text_key", "hashes"])
 
-    rows = stored(keyed.mapInArrow(signed, "doc_id bigint, text_key binary, bands array<bigint>"), "signed")
-    texts = stored(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.any_value("bands").alias("bands")), "texts")
+    rows = stored(keyed.mapInArrow(signed, "doc_id bigint, text_key binary, bands array<bigint>, fp bigint"), "signed")
+    texts = stored(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp")), "texts")
     forget(rows)
-    spread = texts.select("text_key", "least_id", F.explode("bands").alias("bucket"))
+    by_bands = texts.select("text_key", "least_id", F.explode("bands").alias("bucket"))
+    # A component of fingerprints is one more bucket; a fingerprint of one text that is linked to none is left out.
+    prints = stored(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")), "prints")
+    roots = stored(fingerprint_roots(prints, RADIUS), "roots")
+    shared = roots.groupBy("root").agg(F.sum("texts").alias("texts")).where("texts > 1")
+    by_print = texts.join(roots.join(shared, "root", "left_semi").select("fp", "root"), "fp").select("text_key", "least_id", F.xxhash64(F.lit("print"), "root").alias("bucket"))
+    spread = by_bands.unionByName(by_print)
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("text_key")).alias("held"), F.sum(F.xxhash64("text_key").cast("decimal(20,0)")).alias("total")).where("n > 1")
     once = sizes.groupBy("n", "held", "total").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = stored(spread.join(once, "bucket"), "members")

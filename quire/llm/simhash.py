@@ -106,6 +106,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, tile: int = TILE) ->
     return pairs.groupBy("s", "t").applyInArrow(compare, "a bigint, b bigint")
 
 
+def fingerprint_roots(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """The rows of distinct (fp, ...) with root, the same for all fingerprints that reach each other by links of at most radius bits."""
+    linked = components(fingerprint_links(distinct, radius, tile))
+    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) of every row of (doc_id, text).
 
@@ -115,9 +121,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, tile: in
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = components(fingerprint_links(distinct, radius, tile))
-    roots = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = stored(roots, "roots")
+    roots = stored(fingerprint_roots(distinct, radius, tile), "roots")
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = roots.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")

@@ -103,3 +103,21 @@ def test_stages_take_empty_tables_and_clashing_names(spark, tmp_path):
             if n < 4:
                 assert now.columns == [c.split()[0] for c in schema.split(", ")] and now.count() == (len(given) if n == 0 else min(3, len(given)))
         assert now.count() == 0 if not given else now.agg({"length": "sum"}).first()[0] > 50_000
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Near copies that share no band are found by the links of their fingerprints; linked texts that are no near copies stay."""
+    from quire.llm import near_copies as N
+    from quire.llm.simhash import fingerprint
+
+    monkeypatch.setattr(N, "bands", lambda hashes: [hash(hashes.tobytes())])
+    r = random.Random(4)
+    base = {i: [f"w{r.randrange(10**6)}" for _ in range(300)] for i in range(30)}
+    rows = [(i, " ".join(w)) for i, w in base.items()] + [(100 + i, " ".join([*w, "more"])) for i, w in base.items()]
+    # One shingle makes up most of both texts and so all bits, yet their sets of shingles differ.
+    rows += [(200, " ".join(["same"] * 50)), (201, " ".join(["same"] * 50 + ["other"] * 8))]
+    away = [(fingerprint(rows[i][1]) ^ fingerprint(rows[30 + i][1])).bit_count() for i in range(30)]
+    near = [i for i in range(30) if away[i] <= N.RADIUS]
+    assert len(near) > 5 and (fingerprint(rows[60][1]) ^ fingerprint(rows[61][1])).bit_count() <= N.RADIUS
+    kept = {x["doc_id"] for x in P.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()}
+    assert kept == {d for d, _ in rows} - {100 + i for i in near}
