@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BLOCK = 4096
 TILE = 512
 #: Distinct terms a task holds before it sends them on.
 HELD = 400_000
+#: Rows of a group that are summed before they leave their transducer.
+SUMMED = 16
 _SPACES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
@@ -103,13 +106,26 @@ class Transducer:
     def load(cls, row: dict[str, object]) -> Transducer:
         return cls(row["root"], *[np.frombuffer(row[k], np.int64) for k in ("keys", "targets", "adds")], np.frombuffer(row["final"], bool))
 
-    def ordinals(self, joined: bytes, n: int) -> np.ndarray:
-        """The places of n words, joined by line breaks, among the transducer's; -1 of others. All words go on a byte at a time."""
+    def after(self, prefix: bytes) -> tuple[int, int] | None:
+        """The state behind a prefix and what its edges add up to; None where no word begins with it."""
+        state, total = self.root, 0
+        for byte in prefix:
+            key = state << 8 | byte
+            edge = int(np.searchsorted(self.keys, key))
+            if edge == len(self.keys) or self.keys[edge] != key:
+                return None
+            state, total = int(self.targets[edge]), total + int(self.adds[edge])
+        return state, total
+
+    def ordinals(self, joined: bytes, n: int, prefix: bytes = b"") -> np.ndarray:
+        """The places of n words, joined by line breaks and each behind the prefix, among the transducer's; -1 of others. All words go on a byte at a time."""
+        if (begins := self.after(prefix)) is None:
+            return np.full(n, -1, np.int64)
         text = np.frombuffer(joined + b"\n", np.uint8)
         ends = np.flatnonzero(text == 10)
         at = np.concatenate(([0], ends[:-1] + 1))
-        out, state, live = np.full(n, -1, np.int64), np.full(n, self.root), np.arange(n)
-        sums = np.zeros(n, np.int64)
+        out, state, live = np.full(n, -1, np.int64), np.full(n, begins[0]), np.arange(n)
+        sums = np.full(n, begins[1])
         while len(live):
             over = at[live] == ends[live]
             done = live[over]
@@ -237,23 +253,38 @@ def _through(shards: DataFrame, places: Places, rows: DataFrame, copies: int, ru
     return both.repartition("shard", "part").sortWithinPartitions("shard", "part", "ask").mapInArrow(stream, out)
 
 
+def _summed(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places in order, each with its sum of n."""
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    firsts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
+    return at[firsts], np.add.reduceat(n, firsts) if len(at) else n
+
+
 def recount(docs: DataFrame, shards: DataFrame, places: Places) -> DataFrame:
     """lang, source, ordinal, n: how often each kept term stands in the documents of a group, as the transducers tell, stored; ordinal -1 with 0 of every group."""
     firsts = places.firsts
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], Counter] = {}
+        sending = TaskContext.get().partitionId() << 32
 
         def send() -> Iterator[pa.RecordBatch]:
+            nonlocal sending
+            sending += 1
             for (lang, source), n in held.items():
                 head = _prefix(lang)
                 words = sorted(n)
-                keys = [head + w for w in words]
-                cuts = [0, *[bisect.bisect_left(keys, f) for f in firsts[1:]], len(keys)]
-                found = [(max(0, k - 1), low, high) for k, (low, high) in enumerate(zip(cuts, cuts[1:]), 1) if low < high and firsts]
-                rows = [(shard, b"\n".join(keys[low:high]), np.fromiter(map(n.__getitem__, words[low:high]), np.int64, high - low).tobytes()) for shard, low, high in found] + [(0, b"", b"")]
-                shard, text, numbers = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([lang] * len(rows), pa.string()), pa.array([source] * len(rows), pa.string()), pa.array(text, pa.binary()), pa.array(numbers, pa.binary())], names=["shard", "lang", "source", "words", "numbers"])
+                # A stretch begins before, among or behind the language's terms.
+                cuts = [0, *[bisect.bisect_left(words, f[len(head) :]) if f.startswith(head) else 0 if f < head else len(words) for f in firsts[1:]], len(words)]
+                found = [(k, low, high) for k, (low, high) in enumerate(zip(cuts, cuts[1:])) if low < high and firsts]
+                numbers = np.fromiter(map(n.__getitem__, words), np.int64, len(words))
+                if not len(words) or numbers.max() < 2**31:
+                    numbers = numbers.astype(np.int32)
+                rows = [(shard, b"\n".join(words[low:high]), numbers[low:high].tobytes(), high - low) for shard, low, high in found] + [(0, b"", b"", 0)]
+                shard, text, numbers, sizes = zip(*rows)
+                same = [pa.array([x] * len(rows), t) for x, t in ((sending, pa.int64()), (lang, pa.string()), (source, pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *same, pa.array(text, pa.binary()), pa.array(numbers, pa.binary()), pa.array(sizes, pa.int32())], names=["shard", "sending", "lang", "source", "words", "numbers", "size"])
             held.clear()
 
         for batch in batches:
@@ -263,19 +294,24 @@ def recount(docs: DataFrame, shards: DataFrame, places: Places) -> DataFrame:
                     yield from send()
         yield from send()
 
-    rows = stored(_clean(docs).mapInArrow(sent, "shard int, lang string, source string, words binary, numbers binary"), "words")
-    groups = rows.where("length(numbers) = 0").select("lang", "source", F.lit(-1).cast("bigint").alias("ordinal"), F.lit(0).cast("bigint").alias("n")).distinct()
-    copies = max(1, -(-rows.count() // (64 * max(1, len(firsts)))))
+    rows = stored(_clean(docs).mapInArrow(sent, "shard int, sending bigint, lang string, source string, words binary, numbers binary, size int"), "words")
+    groups = rows.where("size = 0").select("lang", "source", F.lit(-1).cast("bigint").alias("ordinal"), F.lit(0).cast("bigint").alias("n")).distinct()
+    n_rows, sendings = rows.agg(F.count(F.lit(1)), F.count_distinct("sending")).first()
+    copies = max(1, -(-n_rows // (64 * max(1, len(firsts)))))
 
     def count(machine: Transducer, base: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lang, source, words, numbers in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "words", "numbers")]):
-            n = np.frombuffer(numbers, np.int64)
-            at = machine.ordinals(words, len(n))
-            good = at >= 0
-            k = int(good.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(at[good] + base), pa.array(n[good])], names=["lang", "source", "ordinal", "n"])
-
-    asked = rows.where("length(numbers) > 0").withColumn("part", F.pmod(F.xxhash64("lang", "source", "words"), F.lit(copies)).cast("int"))
+        of_group: dict[tuple[str, str], list[tuple]] = {}
+        for lang, source, *row in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "words", "numbers", "size")]):
+            of_group.setdefault((lang, source), []).append(row)
+        for (lang, source), asked in of_group.items():
+            n = np.concatenate([np.frombuffer(numbers, np.int32 if len(numbers) == 4 * size else np.int64).astype(np.int64) for _, numbers, size in asked])
+            at = machine.ordinals(b"\n".join(words for words, *_ in asked), len(n), _prefix(lang))
+            at, n = _summed(at[at >= 0] + base, n[at >= 0])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(at), pa.array(n)], names=["lang", "source", "ordinal", "n"])
+
+    # A group has one row of a sending and shard at most: about SUMMED of them meet in a part and are summed there, and a large group has many parts.
+    meet = F.pmod(F.xxhash64("sending"), F.lit(max(1, -(-sendings // SUMMED))))
+    asked = rows.where("size > 0").withColumn("part", F.pmod(F.xxhash64("lang", "source", meet), F.lit(copies)).cast("int")).drop("sending")
     found = _through(shards, places, asked, copies, count, "lang string, source string, ordinal bigint, n bigint")
     return stored(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")).unionByName(groups), "counts")
 

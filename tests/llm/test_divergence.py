@@ -76,3 +76,24 @@ def test_shares_beyond_64_bits():
 
     big = np.array([10**12, 0], np.int64)
     assert D._shares(big, 10**12, 2, 10**9).tolist() == [1 + 10**9 * (10**12 + 1) // (10**12 + 2), 1]
+
+
+def test_words_behind_a_prefix_and_sums():
+    words = sorted([b"6465 baum", b"6465 haus", b"656e house", b"656e tree"])
+    machine = D.Transducer.load(D.Transducer.build(words).save())
+    assert machine.ordinals(b"tree\nbaum\nhouse", 3, b"656e ").tolist() == [3, -1, 2]
+    assert machine.ordinals(b"tree\nbaum", 2, b"6672 ").tolist() == [-1, -1]
+    at, n = D._summed(D.np.array([5, 2, 5, 2, 9]), D.np.array([1, 2**40, 3, 4, 5]))
+    assert (at.tolist(), n.tolist()) == ([2, 5, 9], [2**40 + 4, 4, 5])
+    assert D._summed(D.np.empty(0, D.np.int64), D.np.empty(0, D.np.int64))[1].tolist() == []
+
+
+def test_equal_counts_with_many_sendings(spark, monkeypatch):
+    """Groups in many small sendings and stretches give what one sending gives, and are summed where they meet."""
+    r = random.Random(3)
+    rows = [(r.choice(["de", "en", ""]), r.choice("ab"), " ".join(r.choice("abcdef") * r.randint(1, 3) for _ in range(30))) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3).cache()
+    whole = sorted(map(tuple, D.divergence(docs).collect()))
+    monkeypatch.setattr(D, "HELD", 40)
+    monkeypatch.setattr(D, "SHARD_TERMS", 7)
+    assert sorted(map(tuple, D.divergence(docs).collect())) == whole
