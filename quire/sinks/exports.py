@@ -109,14 +109,24 @@ def write_tables(tables: DataFrame, path: str, form: str = "csv") -> None:
         raise ValueError(f"can't write {form}")
 
 
+def _number(text: Column) -> Column:
+    """The number that a trimmed text begins with, commas left out; null where there is none or it is not finite."""
+    number = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def _written(number: Column) -> Column:
+    """The number as text; a whole one without its fraction."""
+    return F.regexp_replace(number.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+
+
 def typed_grid(cells: DataFrame) -> DataFrame:
     """doc_id, page, table_idx, sheet, row, col, kind (empty, number, text), number, text of cells (doc_id, page, table_idx, row, col, value).
 
     A cell that begins with a number, commas left out, is that number.
     """
     text = F.trim("value")
-    number = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0).try_cast("double")
-    number = F.when(F.abs(number) < float("inf"), number)
+    number = _number(text)
     kind = F.when(F.length(text) == 0, "empty").when(number.isNotNull(), "number").otherwise("text")
     sheet = F.concat(F.lit("Table_Page"), F.col("page").cast("string"), F.lit("_"), (F.col("table_idx") + 1).cast("string"))
     return cells.select("doc_id", "page", "table_idx", sheet.alias("sheet"), "row", "col", kind.alias("kind"), number.alias("number"), F.when(kind == "text", text).alias("text"))
@@ -124,12 +134,27 @@ def typed_grid(cells: DataFrame) -> DataFrame:
 
 def column_widths(grid: DataFrame) -> DataFrame:
     """doc_id, page, table_idx, col, width: the longest cell and 2 more, from 10 to 50."""
-    # A whole number is written without its fraction.
-    shown = F.when(F.col("kind") == "number", F.regexp_replace(F.col("number").cast("decimal(38,6)").cast("string"), r"\.?0+$", "")).otherwise(F.coalesce("text", F.lit("")))
+    shown = F.when(F.col("kind") == "number", _written(F.col("number"))).otherwise(F.coalesce("text", F.lit("")))
     longest = F.max(F.length(shown))
     return grid.groupBy("doc_id", "page", "table_idx", "col").agg(F.greatest(F.lit(10), F.least(F.lit(50), longest + 2)).alias("width"))
 
 
+def table_widths(tables: DataFrame) -> DataFrame:
+    """doc_id, page, table_idx, col, width: column_widths of the typed cells of tables, told within each table's row: no cell is a row of its own and nothing is shuffled."""
+
+    def shown(cell: Column) -> Column:
+        text = F.trim(cell)
+        number = _number(text)
+        # Of 7 characters at most none takes more than 8 as a number, unless it has an exponent: the least width is for 8.
+        short = (F.length(text) <= 7) & ~F.lower(text).contains("e")
+        return F.when(short, F.length(text)).when(number.isNotNull(), F.length(_written(number))).otherwise(F.coalesce(F.length(text), F.lit(0)))
+
+    columns = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    longest = lambda i: F.array_max(F.transform(F.filter("rows", lambda r: F.size(r) > i), lambda r: shown(F.get(r, i))))
+    widths = F.transform(F.sequence(F.lit(0), columns - 1), lambda i: F.greatest(F.lit(10), F.least(F.lit(50), longest(i) + 2)))
+    return tables.select("doc_id", "page", "table_idx", F.posexplode(F.when(columns > 0, widths)).alias("col", "width"))
+
+
 def export_classifications(classes: DataFrame, files: DataFrame, keywords: DataFrame, manual: DataFrame) -> DataFrame:
     """filename, type (a manual one wins), confidence, level, overridden (Yes or No), keyword_count, top_keywords.
 

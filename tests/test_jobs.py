@@ -117,6 +117,18 @@ def test_tables_are_exported(spark, tmp_path):
     assert sorted((r["col"], r["width"]) for r in X.column_widths(grid).collect()) == [(0, 10), (1, 10), (2, 50)]
 
 
+def test_widths_of_tables_are_told_without_a_shuffle(spark):
+    kinds = "doc_id bigint, page int, table_idx int, rows array<array<string>>, header_rows array<int>"
+    cells = ["1,234.5 kg", "abc", " ", "-.123456", "1e20", "1e-3x", "Ee", "1234567", ".99999", "+5.", "12345678", "x" * 9, "y" * 60, None, "", "-1,5e9,x", "9e9 e", "1e400", "00000.10"]
+    some = [(k, 1, 0, [[c, "a"], ["7", c], [cells[k - 1], "b", "c" * k]], []) for k, c in enumerate(cells)] + [(90, 1, 0, [], []), (91, 1, 0, [[], ["abcdefghijk"]], [])]
+    tables = spark.createDataFrame(some, kinds)
+    found, known = X.table_widths(tables), X.column_widths(X.typed_grid(L.table_cells(tables)))
+    assert found.schema.simpleString() == known.schema.simpleString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_library_round_trip(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id bigint, name string")
     X.export_library({"documents": spark.createDataFrame([(2, "new"), (3, "c")], old.schema)}, str(tmp_path))
