@@ -117,16 +117,19 @@ def _grid(items: list[tuple], tolerance: float) -> tuple | None:
     if not starts:
         return None
     rows, places = [], {}
+    # Numbers alone are in order as they are, at less cost.
+    plain = all(x == x for i in items for x in (i[0], i[1], i[5], i[6]))
+    order = (lambda i: (i[1], -i[0], i[2] is not None, i[2], i[3])) if plain else (lambda i: (_last(i[1]), _last(-i[0]), i[2] is not None, i[2], i[3]))
     for line in lines:
         cells = defaultdict(list)
-        for y, x, index, text, *_ in sorted(line, key=lambda i: (_last(i[1]), _last(-i[0]), i[2] is not None, i[2], i[3])):
+        for y, x, index, text, *_ in sorted(line, key=order):
             # Most items begin where others do.
             if (col := places.get(x)) is None:
                 col = places[x] = min(((abs(x - c), i) for i, c in enumerate(starts)), default=None)[1]
             cells[col].append(text)
         rows.append([" ".join(cells[i]) if i in cells else "" for i in range(len(starts))])
     held = [[i[k] for i in items if i[k] is not None] for k in (1, 0, 5, 6)]
-    return starts, rows, *[f(v, key=_last) if v else None for f, v in zip((min, min, max, max), held)]
+    return starts, rows, *[f(v, key=None if plain else _last) if v else None for f, v in zip((min, min, max, max), held)]
 
 
 def page_grids(items: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
