@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import pick, stored
 
 SAMPLES = 64
-#: Samples taken from one row: more of them make code that Java does not compile.
-AT_ONCE = 32
+#: Samples taken from one row: more of them make code that Java compiles late or not at all.
+AT_ONCE = 8
 #: Characters of a zone of neighbouring documents, and the most zones: their bounds are in the plan.
 ZONE_CHARS = 4_000_000
 MOST_ZONES = 65_536

@@ -95,3 +95,13 @@ def test_ties_nulls_and_repeats(spark):
     one = P.neighbour_fingerprints(spark.createDataFrame([(1, "only one here")], "doc_id bigint, text string")).first()
     assert one["near_next"] == 1.0
     assert P.neighbour_fingerprints(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_samples_at_once_do_not_matter(spark, monkeypatch):
+    from quire.llm import fingerprints as X
+
+    assert X.AT_ONCE <= 8
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "b c d"), (3, ""), (4, None)], "doc_id bigint, text string")
+    few = sorted(map(tuple, X.neighbour_fingerprints(docs).collect()))
+    monkeypatch.setattr(X, "AT_ONCE", 32)
+    assert sorted(map(tuple, X.neighbour_fingerprints(docs).collect())) == few
