@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from .common import pick, stored
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEGMENT_WORDS = 1_000_000
 BLOCK_BYTES = 8_000_000
+#: Segments that are written or read at once, and phrases that are looked up at once.
+SEGMENTS_HELD, PHRASES_HELD = 4, 65_536
 INDEX_SCHEMA = "segment string, doc_ids array<{}>, n_words array<bigint>, terms array<string>, counts array<int>, positions binary"
 MATCH_SCHEMA = "segment string, ordinal int, doc_id {}, n_words bigint, runs array<struct<item_id:bigint,start:bigint,stop:bigint>>"
 
@@ -85,20 +88,20 @@ def build_index(docs: DataFrame, vocabulary: Iterable[str] | None = None) -> Dat
 
 
 class _Segment:
-    """One segment's postings as sorted keys term * span + position."""
+    """One segment's postings of the vocabulary's terms as sorted keys term * span + position."""
 
-    def __init__(self, doc_ids, n_words, terms, counts, positions, vocabulary: dict[str, int], id_type: pa.DataType):
-        self.doc_ids, self.id_type = doc_ids, id_type
-        self.lens = np.asarray(n_words, np.int64)
+    def __init__(self, batch: pa.RecordBatch, row: int, vocabulary: pa.Array):
+        column = lambda c: batch.column(c)[row]
+        self.name, self.doc_ids = column("segment").as_py(), column("doc_ids").values
+        self.lens = column("n_words").values.to_numpy(zero_copy_only=False).astype(np.int64)
         self.ends = np.cumsum(self.lens)
         self.begins = self.ends - self.lens
         self.span = int(self.ends[-1]) + 1 if len(self.ends) else 1
-        place = np.array([vocabulary.get(t, -1) for t in terms], np.int64)
-        counts = np.asarray(counts, np.int64)
-        term = np.repeat(place, counts)
-        spot = np.frombuffer(positions, "<i4").astype(np.int64)
-        spot, term = spot[term >= 0], term[term >= 0]
-        self.keys = term * self.span + spot
+        place = pc.fill_null(pc.index_in(column("terms").values, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = column("counts").values.to_numpy(zero_copy_only=False)
+        asked = place >= 0
+        spot = np.frombuffer(column("positions").as_buffer(), "<i4")[np.repeat(asked, counts)].astype(np.int64)
+        self.keys = np.repeat(place[asked], counts[asked]) * self.span + spot
         if len(self.keys) > 1 and (np.diff(self.keys) < 0).any():
             self.keys.sort()
         bounds = np.searchsorted(self.keys, np.arange(len(vocabulary) + 1) * self.span)
@@ -115,7 +118,7 @@ class _Segment:
     def doc_of(self, spot: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, spot, side="right")
 
-    def rows(self, name: str, doc, item, start, stop) -> pa.RecordBatch:
+    def rows(self, doc, item, start, stop) -> pa.RecordBatch:
         """A row per document with its matches merged, by item, where they overlap."""
         runs: dict[int, list] = {}
         for i in np.lexsort((start, item, doc)).tolist():
@@ -128,7 +131,15 @@ class _Segment:
                 mine.append({"item_id": w, "start": a, "stop": b})
         n = len(self.doc_ids)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(self.doc_ids, self.id_type), pa.array(self.lens), pa.array([runs.get(d, []) for d in range(n)], kind)], names=["segment", "ordinal", "doc_id", "n_words", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([self.name] * n, pa.string()), pa.array(range(n), pa.int32()), self.doc_ids, pa.array(self.lens), pa.array([runs.get(d, []) for d in range(n)], kind)], names=["segment", "ordinal", "doc_id", "n_words", "runs"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], terms: Iterable[str]) -> Iterator[_Segment]:
+    """The segments of an index, one at a time, with the postings of these terms."""
+    vocabulary = pa.array(terms, pa.string())
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield _Segment(batch, row, vocabulary)
 
 
 def _chunks(load: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
@@ -139,7 +150,8 @@ def _chunks(load: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
 
 def _by_length(phrases: list[tuple[int, tuple[str, ...]]], vocabulary: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
     lengths = sorted({len(p) for _, p in phrases})
-    return [(np.array([i for i, p in phrases if len(p) == n], np.int64), np.array([[vocabulary[w] for w in p] for _, p in phrases if len(p) == n], np.int64).reshape(-1, n)) for n in lengths]
+    places = lambda n: np.fromiter((vocabulary[w] for _, p in phrases if len(p) == n for w in p), np.int32).reshape(-1, n)
+    return [(np.array([i for i, p in phrases if len(p) == n], np.int64), places(n)) for n in lengths]
 
 
 def search_phrases(index: DataFrame, phrases: list[tuple[int, tuple[str, ...]]]) -> DataFrame:
@@ -152,14 +164,14 @@ def search_phrases(index: DataFrame, phrases: list[tuple[int, tuple[str, ...]]])
     shapes = _by_length(sorted(set(phrases)), vocabulary)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                seg = _Segment(row["doc_ids"], row["n_words"], row["terms"], row["counts"], row["positions"], vocabulary, batch.schema.field("doc_ids").type.value_type)
-                hits = [(np.empty(0, np.int64),) * 4]
-                for item, terms in shapes:
+        for seg in _segments(batches, vocabulary):
+            hits = [(np.empty(0, np.int64),) * 4]
+            for all_items, all_terms in shapes:
+                for low in range(0, len(all_items), PHRASES_HELD):
+                    item, terms = all_items[low : low + PHRASES_HELD], all_terms[low : low + PHRASES_HELD]
                     counts = seg.count[terms]
                     alive = np.flatnonzero(counts.min(axis=1) > 0)
-                    item, terms, counts = item[alive], terms[alive], counts[alive]
+                    item, terms, counts = item[alive], terms[alive].astype(np.int64), counts[alive]
                     order = np.argsort(counts, axis=1, kind="stable")
                     width = terms.shape[1]
                     load = np.take_along_axis(counts, order[:, :1], 1)[:, 0]
@@ -179,7 +191,7 @@ def search_phrases(index: DataFrame, phrases: list[tuple[int, tuple[str, ...]]])
                         doc = seg.doc_of(start)
                         kept = start + width <= seg.ends[doc] if len(doc) else np.empty(0, bool)
                         hits.append((doc[kept], item[which[kept]], start[kept], start[kept] + width))
-                yield seg.rows(row["segment"], *(np.concatenate(x) for x in zip(*hits)))
+            yield seg.rows(*(np.concatenate(x) for x in zip(*hits)))
 
     return index.mapInArrow(look, MATCH_SCHEMA.format(index.schema["doc_ids"].dataType.elementType.simpleString()))
 
@@ -194,31 +206,29 @@ def search_proximity(index: DataFrame, queries: list[tuple[int, tuple[str, ...]]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, q in queries for w in q}))}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                seg = _Segment(row["doc_ids"], row["n_words"], row["terms"], row["counts"], row["positions"], vocabulary, batch.schema.field("doc_ids").type.value_type)
-                hits = [(np.empty(0, np.int64),) * 4]
-                for item, query in queries:
-                    terms = sorted((vocabulary[w] for w in query), key=lambda t: seg.count[t])
-                    if not seg.count[terms[0]]:
-                        continue
-                    list_of = lambda t: seg.keys[seg.first[t] : seg.first[t] + seg.count[t]] - t * seg.span
-                    spot = list_of(terms[0])
-                    low, high = spot.copy(), spot.copy()
-                    for t in terms[1:]:
-                        doc = seg.doc_of(spot)
-                        there = list_of(t)
-                        i = np.searchsorted(there, spot)
-                        padded = np.concatenate(([-(10**12)], there, [10**12]))
-                        before, after = padded[i], padded[i + 1]
-                        before = np.where((before >= seg.begins[doc]) & (spot - before <= slop), before, -(10**12))
-                        after = np.where((after < seg.ends[doc]) & (after - spot <= slop), after, 10**12)
-                        near = np.where(spot - before <= after - spot, before, after)
-                        kept = np.abs(near - spot) <= slop
-                        spot, near, low, high = spot[kept], near[kept], low[kept], high[kept]
-                        low, high = np.minimum(low, near), np.maximum(high, near)
-                    hits.append((seg.doc_of(spot), np.full(len(spot), item), low, high + 1))
-                yield seg.rows(row["segment"], *(np.concatenate(x) for x in zip(*hits)))
+        for seg in _segments(batches, vocabulary):
+            hits = [(np.empty(0, np.int64),) * 4]
+            for item, query in queries:
+                terms = sorted((vocabulary[w] for w in query), key=lambda t: seg.count[t])
+                if not seg.count[terms[0]]:
+                    continue
+                list_of = lambda t: seg.keys[seg.first[t] : seg.first[t] + seg.count[t]] - t * seg.span
+                spot = list_of(terms[0])
+                low, high = spot.copy(), spot.copy()
+                for t in terms[1:]:
+                    doc = seg.doc_of(spot)
+                    there = list_of(t)
+                    i = np.searchsorted(there, spot)
+                    padded = np.concatenate(([-(10**12)], there, [10**12]))
+                    before, after = padded[i], padded[i + 1]
+                    before = np.where((before >= seg.begins[doc]) & (spot - before <= slop), before, -(10**12))
+                    after = np.where((after < seg.ends[doc]) & (after - spot <= slop), after, 10**12)
+                    near = np.where(spot - before <= after - spot, before, after)
+                    kept = np.abs(near - spot) <= slop
+                    spot, near, low, high = spot[kept], near[kept], low[kept], high[kept]
+                    low, high = np.minimum(low, near), np.maximum(high, near)
+                hits.append((seg.doc_of(spot), np.full(len(spot), item), low, high + 1))
+            yield seg.rows(*(np.concatenate(x) for x in zip(*hits)))
 
     return index.mapInArrow(look, MATCH_SCHEMA.format(index.schema["doc_ids"].dataType.elementType.simpleString()))
 
@@ -244,12 +254,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    index = stored(build_index(docs), "postings")
+    # Parquet's row groups are written whole from memory and read whole: a segment takes megabytes, so few make one.
+    index = stored(build_index(docs), "postings", **{"parquet.block.row.count.limit": SEGMENTS_HELD})
     found = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         one = search_phrases(index, windows(((r[0], r[1]) for r in block.toLocalIterator()), size))
         found = one if found is None else found.unionByName(one)
+    if blocks == 1:
+        return found.select("segment", "ordinal", "doc_id", "n_words", "runs")
     return found.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"))
 
 

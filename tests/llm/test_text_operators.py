@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,3 +148,15 @@ def test_contexts_find_more(spark):
 
 def test_hash_is_stable():
     assert hashlib.sha256(str(plain_print("a b c")).encode()).hexdigest() == hashlib.sha256(str(S.fingerprint("A b\tC")).encode()).hexdigest()
+
+
+def test_postings_are_held_a_few_segments_at_a_time(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(D, "stored", lambda *a, f=D.stored, **b: made.append(f(*a, **b)) or made[-1])
+    monkeypatch.setattr(D, "SEGMENT_WORDS", 3)
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(50)], "doc_id bigint, text string").coalesce(1)
+    found = D.contamination(docs, spark.createDataFrame([(1, "b c")], "item_id bigint, text string"))
+    assert found.where("runs[0].start = 1 and runs[0].stop = 3").count() == 50
+    groups = [file.metadata.row_group(i).num_rows for f in made[0].inputFiles() for file in [pq.ParquetFile(f.removeprefix("file://"))] for i in range(file.metadata.num_row_groups)]
+    # All 50 were one group before, written and read from memory.
+    assert sum(groups) == 50 and max(groups) <= D.SEGMENTS_HELD
