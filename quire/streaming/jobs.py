@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from quire.operators.history import TERMINAL, replayer
 from quire.operators.manifest import window_counter
 
 TTL_SECONDS = 1800
+#: Groups of jobs that share a state: a call and its frames cost more than the rows of one job.
+JOB_GROUPS = 1024
+#: The moment of what has none.
+_NEVER = np.iinfo(np.int64).max
 
 
 def _ordered(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
@@ -28,36 +33,86 @@ def _ordered(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return rows if len(rows) < 2 else rows.sort_values(list(by), kind="stable")
 
 
-def job_lifecycle(events: DataFrame, late: str = "1 hour", ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+class _Lives:
+    """The jobs of a group: number, end of life, timer, and whether a terminal state was seen, in order of number."""
+
+    KINDS = {"job": np.int64, "ends": np.int64, "timer": np.int64, "ended": np.bool_}
+    SCHEMA = ", ".join(f"{c} binary" for c in KINDS)
+
+    def __init__(self, held: tuple | None = None):
+        self.columns = [np.frombuffer(x, t) for x, t in zip(held or (b"",) * 4, self.KINDS.values())]
+
+    def state(self) -> tuple:
+        return tuple(x.tobytes() for x in self.columns)
+
+    def take(self, job: np.ndarray, at: np.ndarray, final: np.ndarray, ttl_ms: int, watermark: int) -> np.ndarray:
+        """Which events, in order of job and time, come after a terminal state of their job; the timers of these jobs begin anew."""
+        own, first = np.unique(job, return_index=True)
+        after = np.append(first[1:], len(job))
+        known, ends, timer, ended = self.columns
+        place = np.searchsorted(known, own)
+        old = np.zeros(len(own), bool)
+        old[place < len(known)] = known[place[place < len(known)]] == own[place < len(known)]
+        began = at[first]
+        my_ends, my_ended = np.where(began == _NEVER, _NEVER, np.minimum(began, _NEVER - ttl_ms) + ttl_ms), np.zeros(len(own), bool)
+        held = ends[place[old]]
+        my_ends[old], my_ended[old] = np.where(held == _NEVER, my_ends[old], held), ended[place[old]]
+        counted = np.concatenate(([0], np.cumsum(final)))
+        late = np.repeat(my_ended, after - first) | (counted[:-1] > np.repeat(counted[first], after - first))
+        others = np.ones(len(known), bool)
+        others[place[old]] = False
+        mine = own, my_ends, np.maximum(my_ends, watermark + 1), my_ended | (counted[after] > counted[first])
+        both = [np.concatenate((x[others], y)) for x, y in zip(self.columns, mine)]
+        order = np.argsort(both[0], kind="stable")
+        self.columns = [x[order] for x in both]
+        return late
+
+    def drop(self, watermark: int) -> tuple[np.ndarray, np.ndarray]:
+        """The jobs whose timers the watermark has passed go; (number, end) of the unfinished ones."""
+        job, ends, timer, ended = self.columns
+        gone = timer < watermark
+        self.columns = [x[~gone] for x in self.columns]
+        return job[gone & ~ended], ends[gone & ~ended]
+
+
+def job_lifecycle(events: DataFrame, late: str = "1 hour", ttl_seconds: int = TTL_SECONDS, groups: int = JOB_GROUPS) -> DataFrame:
     """job_id, event_id, status, at, outcome (accepted, rejected, expired) of (job_id bigint, event_id bigint, status, updated_at).
 
     A job's first terminal state is final: later events are rejected conflicts. A job lives for ttl_seconds from its first event; when the
     watermark has passed that, an unfinished one is given out as expired (event_id null), and its state goes, so events that come after begin a new job.
-    Events of a micro-batch are taken in order of time and event_id.
+    Events of a micro-batch are taken in order of time and event_id, those without a time last; a job without any time does not expire.
+    Jobs are dealt to groups by a hash of job_id, each of which keeps its jobs' lives as arrays; a checkpoint holds for one number of groups.
     """
-    watched = events.select("job_id", "event_id", "status", F.col("updated_at").cast("timestamp").alias("updated_at")).withColumn("ms", F.unix_millis("updated_at")).withWatermark("updated_at", late)
+    group = F.when(F.col("job_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("job_id"), F.lit(groups)).cast("int"))
+    at = F.col("updated_at").cast("timestamp")
+    # Frames would turn whole numbers with nulls among them into floats.
+    watched = events.select(group.alias("group"), F.coalesce("job_id", F.lit(0)).alias("job_id"), F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("event_id").isNull().alias("no_event"), "status", at.alias("updated_at"))
+    watched = watched.withColumn("ms", F.coalesce(F.unix_millis("updated_at"), F.lit(int(_NEVER)))).withWatermark("updated_at", late)
 
     def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            ends, ended = state.get
+        lives, watermark, out = _Lives(state.get if state.exists else None), state.getCurrentWatermarkMs(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            rows = rows.take(np.lexsort([rows[c].to_numpy() for c in ("event_id", "no_event", "ms", "job_id")]))
+            job, at = rows["job_id"].to_numpy(), rows["ms"].to_numpy()
+            rejected = lives.take(job, at, rows["status"].isin(TERMINAL).to_numpy(), ttl_seconds * 1000, watermark)
+            out.append(pd.DataFrame({"job_id": job, "event_id": pd.arrays.IntegerArray(rows["event_id"].to_numpy(), rows["no_event"].to_numpy()), "status": rows["status"].array, "ms": pd.arrays.IntegerArray(at, at == _NEVER), "outcome": np.where(rejected, "rejected", "accepted")}))
+        job, ends = lives.drop(watermark)
+        if len(job):
+            out.append(pd.DataFrame({"job_id": job, "event_id": pd.array([None] * len(job), "Int64"), "status": "expired", "ms": ends, "outcome": "expired"}))
+        timer = lives.columns[2]
+        if len(timer):
+            state.update(lives.state())
+            if timer.min() < _NEVER:
+                state.setTimeoutTimestamp(int(timer.min()))
+        elif state.exists:
             state.remove()
-            if not ended:
-                yield pd.DataFrame({"job_id": [key[0]], "event_id": pd.array([None], "Int64"), "status": ["expired"], "ms": [ends], "outcome": ["expired"]})
-            return
-        rows = _ordered(frames, "ms", "event_id")
-        ends, ended = state.get if state.exists else (None, False)
-        outcome = []
-        for status, at in zip(rows["status"].tolist(), rows["ms"].tolist()):
-            ends = ends if ends is not None else at + ttl_seconds * 1000
-            outcome.append("rejected" if ended else "accepted")
-            ended = ended or status in TERMINAL
-        state.update((ends, ended))
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({c: rows[c].array for c in ("job_id", "event_id", "status", "ms")} | {"outcome": outcome})
-
-    schema = "job_id bigint, event_id bigint, status string, ms bigint, outcome string"
-    found = watched.groupBy("job_id").applyInPandasWithState(step, schema, "ends bigint, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select("job_id", "event_id", "status", F.timestamp_millis("ms").alias("at"), "outcome")
+        for rows in out:
+            yield rows.assign(no_job=key[0] < 0)
+
+    schema = "job_id bigint, event_id bigint, status string, ms bigint, outcome string, no_job boolean"
+    found = watched.groupBy("group").applyInPandasWithState(step, schema, _Lives.SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.when(~F.col("no_job"), F.col("job_id")).alias("job_id"), "event_id", "status", F.timestamp_millis("ms").alias("at"), "outcome")
 
 
 def expire_jobs(events: DataFrame, now, ttl_seconds: int = TTL_SECONDS) -> DataFrame:

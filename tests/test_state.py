@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.operators import history as K
+from quire.streaming import jobs as M
 from quire.streaming import state as T
 
 START = datetime.datetime(2024, 1, 1)
@@ -135,3 +136,26 @@ def test_chat_lines_out_of_order(spark, tmp_path):
     batch = T.chat_answers(spark.createDataFrame(lines, "stream_id bigint, seq bigint, line string"))
     assert rows(found, *found.columns) == rows(batch, *found.columns)
     assert (7, "open", "never ended", 1, False, None) in rows(found)
+
+
+def test_jobs_share_a_state(spark, tmp_path):
+    r = random.Random(11)
+    big = 2**60 + 1
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(r.choice([None, 1, 2, 3, big, big + 2]), r.choice([None, big + 2 * i]), r.choice(["queued", "running", None, "failed", "succeeded"] + ["running"] * 9), at + datetime.timedelta(seconds=r.randint(0, 900), microseconds=999)) for i in range(120)]
+    schema = "job_id bigint, event_id bigint, status string, updated_at timestamp"
+    parts = [rows[:50], rows[50:], [(9, 1, "queued", at + datetime.timedelta(hours=9))], [(8, 2, "queued", at + datetime.timedelta(hours=30))]]
+    expected, ended, first = collections.Counter(), set(), {}
+    for part in parts:
+        for j, e, s, t in sorted(part, key=lambda x: (x[3], x[1] is None, x[1] or 0)):
+            first.setdefault(j, t)
+            expected[(j, e, s, t.replace(microsecond=0), "rejected" if j in ended else "accepted")] += 1
+            ended |= {j} if s in ("failed", "succeeded") else set()
+    for j in set(first) - ended - {8}:
+        expected[(j, None, "expired", (first[j] + datetime.timedelta(hours=8)).replace(microsecond=0), "expired")] += 1
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/source/{n}")
+    for groups in (1, 3):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/source")
+        found = M.replayed(M.job_lifecycle(stream, "1 hour", 8 * 3600, groups), "jobs")
+        assert collections.Counter(map(tuple, found.collect())) == expected
