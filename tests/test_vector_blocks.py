@@ -28,3 +28,15 @@ def test_blocks_are_bounded():
     # All scores of two blocks leave a task as one table; a search holds a slice's scores alone.
     assert np.prod(held(R.vector_scores)) <= 2**20
     assert R.SLICE * held(R.vector_search)[1] <= 2**20
+
+
+def test_scores_send_each_vector_seldom(spark, monkeypatch):
+    kind, dealt = type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow, **b: dealt.append(self) or f(self, *a, **b))
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)] if i % 50 else None) for i in range(3000)]
+    queries = spark.createDataFrame(rows[:1000], "query_id bigint, vector array<float>")
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    assert R.vector_scores(queries, chunks).distinct().count() == 980 * 2940
+    # Before, each side was sent for every 512 queries or 2,048 chunks of the other, as doubles.
+    assert dict(dealt[0].dtypes)["v"] == "array<float>" and dealt[0].count() <= 2940 + 980 * spark.sparkContext.defaultParallelism
