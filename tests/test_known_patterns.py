@@ -39,3 +39,21 @@ def test_known_patterns_find_what_java_finds(spark, monkeypatch):
     for i, (pattern, _, _) in enumerate(asked):
         assert [x[f"f{i}"] for x in found] == [x[f"p{i}"] for x in found], pattern
         assert any(x[f"f{i}"] for x in found), pattern
+
+
+def test_known_patterns_take_one_pass(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(E, "find_known", lambda *a, **b: asked.append((a, b)) or S.find_known(*a, **b))
+    for hits, _, _ in E.KINDS.values():
+        hits(F.col("text"))
+    r = random.Random(8)
+    odd = [*PARTS, *"ſ K ı İ \x0b \x1c \x85 \xa0 ﷒ \r - , . : / 12 MA jan ST".split(" "), " ", "", "\n"]
+    texts = [("".join(r.choice(odd) + r.choice(["", " ", "-", "\n"]) for _ in range(50)),) for _ in range(150)]
+    docs = spark.createDataFrame([*texts, ("",), (None,)], "text string").coalesce(1)
+    # Before, Python tried each pattern at every character.
+    assert len(asked) == 26 and all(S.linear(a[1]) for a, _ in asked)
+    found = docs.select(*[S.find_known(*a, **b).alias(f"f{i}") for i, (a, b) in enumerate(asked)], *[S.find_by_python(*a, **b).alias(f"p{i}") for i, (a, b) in enumerate(asked)]).collect()
+    for i, (a, _) in enumerate(asked):
+        assert [x[f"f{i}"] for x in found] == [x[f"p{i}"] for x in found], a[1]
+    assert S.linear("(?<=a)b") is None and S.linear("(?!a)b") is None
+    assert [[(m["start"], m["text"], m["groups"]) for m in x["m"]] for x in docs.limit(0).union(spark.createDataFrame([("xab",)], "text string")).select(S.find_known(F.col("text"), "(?<=a)(b)", groups=1).alias("m")).collect()] == [[(2, "b", ["b"])]]
